@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from minutewise.llm.license_scan import licenses_query
+from minutewise.llm.packing import packing_query
+from minutewise.llm.quality_rules import quality_query
+from minutewise.llm.secret_scan import secrets_query
 from minutewise.llm.sharding import shards_query
 from minutewise.llm.token_counts import token_counts_query
 from minutewise.llm.token_files import token_files_query
@@ -30,9 +34,25 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards_query(documents(spark, sf_dir))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses_query(documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_query(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_shards, op5_token_files)}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_query(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_query(documents(spark, sf_dir))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_shards, op3_licenses, op5_token_files, op6_packing, op7_secrets, op8_quality)}
 SQL: dict[str, str] = {}
