@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from minutewise.llm.decontaminate import DECONTAMINATION_SQL, decontamination_query
 from minutewise.llm.license_scan import licenses_query
+from minutewise.llm.near_dups import near_duplicates_query
 from minutewise.llm.packing import packing_query
 from minutewise.llm.quality_rules import quality_query
 from minutewise.llm.secret_scan import secrets_query
@@ -38,6 +40,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses_query(documents(spark, sf_dir))
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates_query(documents(spark, sf_dir))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files_query(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -54,5 +60,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_shards, op3_licenses, op5_token_files, op6_packing, op7_secrets, op8_quality)}
-SQL: dict[str, str] = {}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_shards, op3_licenses, op4_near_dups, op5_token_files, op6_packing, op7_secrets, op8_quality, op10_decontamination,
+    )
+}
+SQL: dict[str, str] = {"op10_decontamination": DECONTAMINATION_SQL}
