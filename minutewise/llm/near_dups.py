@@ -241,8 +241,8 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80) ->
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those that link to a smaller doc_id, with their own columns; a repeated doc_id stays once."""
     gone = near_duplicate_classes(docs, size, percent).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def near_duplicates_query(docs: DataFrame) -> DataFrame:

@@ -169,7 +169,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return judge(docs, labels, stratum).where(~F.col("_q.base_failed") & ~F.col("_q.rejected")).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", "text", stratum)
+    return judge(rows, labels, stratum).where(~F.col("_q.base_failed") & ~F.col("_q.rejected")).select("_row.*")
 
 
 def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

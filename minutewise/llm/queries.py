@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from minutewise.llm.decontaminate import DECONTAMINATION_SQL, decontamination_query
+from minutewise.llm.html_main import main_text_query
 from minutewise.llm.license_scan import licenses_query
 from minutewise.llm.near_dups import near_duplicates_query
 from minutewise.llm.packing import packing_query
@@ -60,6 +61,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text_query(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -67,7 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_shards, op3_licenses, op4_near_dups, op5_token_files, op6_packing, op7_secrets, op8_quality, op10_decontamination,
+        op1_token_counts, op2_shards, op3_licenses, op4_near_dups, op5_token_files, op6_packing, op7_secrets, op8_quality, op9_main_text, op10_decontamination,
     )
 }
 SQL: dict[str, str] = {"op10_decontamination": DECONTAMINATION_SQL}
