@@ -35,7 +35,7 @@ def running(ties: DataFrame, keys: list[str], score: str = "score", columns: tup
 def pr_auc(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """keys, pr_auc: sum over score steps of recall gained times precision; null without positives."""
     steps = running(by_score(scores, keys, score, y), keys, score)
-    return steps.groupBy(*keys).agg(F.when(F.max("tp") > 0, F.sum(F.col("p") / F.col("tp") * F.col("cp") / F.col("cn"))).alias("pr_auc"))
+    return steps.groupBy(*keys).agg(F.when(F.max("tp") > 0, F.sum(F.try_divide("p", "tp") * F.col("cp") / F.col("cn"))).alias("pr_auc"))
 
 
 def roc_auc(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:

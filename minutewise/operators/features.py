@@ -33,12 +33,12 @@ def anova_f(values: DataFrame, series: list[str] = SERIES, value: str = "value",
     """series, f: between over within class variance for two classes. Values are centred by series first."""
     centred = demean(values.where(F.col(value).isNotNull()), series, value)
     x = F.col(value)
-    m = centred.groupBy(*series, label).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("ss"))
-    g = m.groupBy(*series).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"))
-    between = F.col("b") - F.col("s") * F.col("s") / F.col("n")
-    within = F.col("ss") - F.col("b")
+    m = centred.groupBy(*series, label).agg(F.count("*").alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_ss"))
+    square = F.col("_s") * F.col("_s") / F.col("_n")
+    g = m.groupBy(*series).agg(F.sum("_n").alias("_n"), F.count("*").alias("_k"), F.sum("_s").alias("_s"), F.sum("_ss").alias("_ss"), F.sum(square).alias("_b"))
+    between, within = F.col("_b") - square, F.col("_ss") - F.col("_b")
     # As in the study, an infinite F (no spread within the classes) counts as 0.
-    f = F.when((F.col("k") == 2) & (F.col("n") > 2) & (within > 1e-12), between / (within / (F.col("n") - 2))).otherwise(0.0)
+    f = F.when((F.col("_k") == 2) & (F.col("_n") > 2) & (within > 1e-12), between / (within / (F.col("_n") - 2))).otherwise(0.0)
     return g.select(*series, f.alias("f"))
 
 
