@@ -39,6 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that end an open paragraph are all block elements; these end an open one of their own kind.
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAGS = frozenset("nav header footer aside form article main section figure figcaption table ul ol li dl h1 h2 h3 h4 h5 h6 p blockquote pre div td address button select textarea fieldset dialog menu details".split())
+LANDMARKS = frozenset("nav header footer aside form article main dialog menu button".split())
 #: Words in class, id and role names, by what they tell.
 NAMED = {
     "advert": "ad ads adv advert advertisement advertorial adslot adsense banner sponsor sponsored promo promoted promotion",
@@ -151,6 +152,16 @@ def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
         for word in re.split(r"[^a-z]+", names):
             if word in WORD_OF:
                 out.add(f"named {WORD_OF[word]}")
+    # The innermost ancestor that tells what it holds.
+    for depth in range(len(path) - 1, -1, -1):
+        tag, names = path[depth]
+        told = [WORD_OF[w] for w in re.split(r"[^a-z]+", names) if w in WORD_OF]
+        if told or tag in LANDMARKS:
+            within = any(t in ("article", "main") for t, _ in path[:depth])
+            out |= {f"closest {k}" for k in told or [tag]} | {f"closest {k} within {within}" for k in told or [tag]}
+            if told and tag in LANDMARKS:
+                out.add(f"closest {tag} named {told[0]}")
+            break
     return tuple(sorted(out))
 
 
@@ -298,7 +309,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[int]]]:
             if kind == "menu":
                 return wrap(links(0, rng.randrange(3, 9)), "nav", ("nav", "menu", "navbar", "breadcrumbs"))
             if kind == "ad":
-                return wrap(block(some(paragraph(), sentence(), f'<a href="#">{sentence()}</a>'), 0), some("div", "aside"), ("ad", "ads", "advert", "sponsored", "promo", "ad-slot"), some("names", style))
+                return wrap(block(some(paragraph(), sentence(), f'<a href="#">{sentence()}</a>'), 0), some("div", "aside"), ("ad", "ads", "advert", "advertisement", "sponsored", "promo", "ad-slot"), some("names", style))
             if kind == "notice":
                 return wrap("<p>" + block(some("We use cookies. ", "") + sentence(), 0) + "</p><button>" + block(some("OK", "Accept"), 0) + "</button>", some("div", "dialog"), ("cookie-notice", "notice", "consent", "alert"), some("names", style))
             if kind == "form":
@@ -307,7 +318,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[int]]]:
                 return wrap("<h3>" + block(some("Related", "More", sentence(1, 4)), 0) + "</h3>" + links(0, rng.randrange(2, 6)) + "<p>" + block(paragraph(), 0) + "</p>", "aside", ("sidebar", "related", "widget", "trending"))
             if kind == "comments":
                 shown = "".join("<div>" + "<p>" + block(paragraph(), 0) + "</p></div>" for _ in range(rng.randrange(1, 5)))
-                return wrap("<h3>" + block(some("Comments", "Replies", "3 comments"), 0) + "</h3>" + shown, "section", ("comments", "comment-list", "replies", "disqus"), some("names", "both"))
+                return wrap(some("<h2>", "<h3>") + block(some("Comments", "Replies", "3 comments", "Discussion"), 0) + "</h3>" + shown, some("section", "div", "ol"), ("comments", "comment-list", "replies", "disqus", "reader-comments", "user-comments", "discussion"), some("names", "both"))
             if kind == "share":
                 return wrap(links(0, 3), "div", ("share", "social", "share-bar"), "names")
             return ""
@@ -315,7 +326,7 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[int]]]:
         body = []
         if rng.random() < 0.6:
             inner = some("<h1>", "<div>", "<p>")
-            body.append(wrap(inner + block(some(word().capitalize(), sentence(1, 5)), 0) + inner.replace("<", "</") + (clutter("menu") if rng.random() < 0.5 else ""), "header", ("header", "masthead", "site-header", "topbar")))
+            body.append(wrap(inner + block(some(word().capitalize(), sentence(1, 5)), 0) + inner.replace("<", "</") + ("<p>" + block(paragraph(), 0) + "</p>" if rng.random() < 0.4 else "") + (clutter("menu") if rng.random() < 0.5 else ""), "header", ("header", "masthead", "site-header", "topbar")))
         for kind in ("menu", "notice", "ad", "form", "side"):
             if rng.random() < (0.8 if kind == "menu" else 0.35):
                 body.append(clutter(kind))
@@ -333,15 +344,20 @@ def labelled_pages(n: int = 300, seed: int = 7) -> list[tuple[str, list[int]]]:
             elif r < 0.93:
                 story.append("<div>" + block(paragraph(), 1) + "</div>")
             elif k:
-                story.append(clutter(some("ad", "share", "form")))
-        if rng.random() < 0.25:
-            story.append(clutter("comments"))
+                story.append(clutter(some("ad", "share", "form", "side", "notice", "ad")))
+        if rng.random() < 0.15:
+            story[:1] = [f"<header>{story[0]}</header>"]
+        for kind in ("share", "side", "notice", "form", "ad", "comments", "comments"):
+            if rng.random() < 0.15:
+                story.append(clutter(kind))
+        if rng.random() < 0.1:
+            story.append("<footer>" + block(sentence(2, 6), 0) + "</footer>")
         body.append(wrap("".join(story), some("article", "article", "main"), ("content", "article", "post", "entry-content", "story")))
         for kind in ("comments", "ad", "side", "form", "notice"):
             if rng.random() < 0.3:
                 body.append(clutter(kind))
         if rng.random() < 0.8:
-            body.append(wrap(some("", "<p>") + block(some("&copy; ", "Copyright ", "") + sentence(2, 8), 0), "footer", ("footer", "site-footer", "copyright")))
+            body.append(wrap(some("", "<p>") + block(some("&copy; ", "Copyright ", "") + some(sentence(2, 8), sentence(2, 8), paragraph()), 0), "footer", ("footer", "site-footer", "copyright")))
         pages.append(("<!DOCTYPE html><html><head><title>" + word() + '</title><script>var t="</p>";</script></head><body>' + "".join(body) + some("</body></html>", ""), labels))
     return pages
 
