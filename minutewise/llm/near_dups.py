@@ -11,10 +11,11 @@
    0.8 a pair shares none of the 32 bands with probability 5e-8.
 4. In each band group every document is held against the group's smallest: as many pairs as documents. Pairs are
    verified on the full sets; the links' components are found by alternating large-star and small-star steps.
-5. Band groups that still hold several components are searched in full, pairs of different components only: small
-   groups by a join, large ones in blocks of `BLOCK` documents, where the sketches alone decide which pairs are worth
-   verifying (an estimate `SLACK` below the threshold has a chance under 1e-6 at the threshold, by Hoeffding's bound).
-   Their links join the components. No group is gathered in one task, and no group's pairs are all written out.
+5. Band groups that still hold several components are searched in full, pairs of different components only: groups
+   that share documents are searched as one, in cells of about `BLOCK` documents or, if they are larger, in pairs of
+   blocks. Within a cell the sketches tell which pairs are worth verifying (an estimate `SLACK` below the threshold has
+   a chance of 1e-7 at the threshold, by Chernoff's bound), and those are verified on their full sets at once; only the
+   links that join components leave the cell. No group is gathered in one task, no group's pairs are written out.
 
 Sets of copies never meet as pairs: they are one class from step 2 on. Sets are compared by 64-bit hashes of word
 pairs; within one document of 100,000 shingles a collision has a chance under 1e-9.
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from minutewise.llm.shared import BLANKS, ascii_lower, staged, words
 
 COORDINATES, ROWS = 128, 4
-BLOCK, SMALL = 1_024, 64
-SLACK = 0.25
+BLOCK = 1_024
+SLACK = 0.22
 SEED = 0x9E3779B97F4A7C15
 SKETCHED = "id long, n_shingles long, d1 long, d2 long, sketch binary"
 
@@ -168,47 +169,88 @@ def components(links: DataFrame) -> DataFrame:
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         return moved.where("u <> v").distinct()
 
-    known = None
+    # Done when only stars are left: each u has one v, and no v is a u. The steps keep what is connected together.
     while True:
         edges = staged(star(star(edges, True), False), "links")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == known:
+        several = edges.groupBy("u").count().where("count > 1").select("u")
+        inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
+        if several.union(inner).isEmpty():
             break
-        known = tuple(state)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def crossing_pairs(rest: DataFrame, sketches_of: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within band groups (rows: band, id, component) that still hold several."""
-    sizes = staged(rest.groupBy("band").agg(F.count("*").alias("n")), "sizes")
-    small = rest.join(sizes.where(F.col("n") <= SMALL), "band").select("band", "id", "component")
-    other = small.withColumnsRenamed({"id": "b", "component": "component_b"})
-    near = small.join(other, "band").where("id < b and component <> component_b").select(F.col("id").alias("a"), "b")
-    # Large groups: blocks of documents, each pair of blocks in a place of its own.
-    large = rest.join(sizes.where(F.col("n") > SMALL), "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    large = large.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = (
-        large.join(sketches_of.select("id", "sketch"), "id")
-        .withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "component", "sketch")
-    )
-    least = (percent / 100 - SLACK) * COORDINATES
+def search(ids: np.ndarray, comps: np.ndarray, grid: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, main: int, percent: int) -> list[tuple[int, int]]:
+    """Links between different components, of the rows `left` (none of component `main`) with the rows `right`.
 
-    def searched(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        block = table.column("block").to_numpy()
-        ids, comps = table.column("id").to_numpy(), table.column("component").to_numpy()
+    Pairs whose sketches reach the threshold less SLACK are verified on their sets, the most alike first; a pair whose
+    components have met by then is left out, so that at most as many links as components come back.
+    """
+    least = (percent / 100 - SLACK) * COORDINATES
+    met: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while met.get(c, c) != c:
+            c = met[c]
+        return c
+
+    links = []
+    for x in left.tolist():
+        alike = (grid[right] == grid[x]).sum(axis=1)
+        ok = (alike >= least) & (comps[right] != comps[x]) & ((comps[right] == main) | (ids[right] > ids[x]))
+        near = right[ok]
+        for y in near[np.argsort(-alike[ok], kind="stable")].tolist():
+            a, b = root(int(comps[x])), root(int(comps[y]))
+            if a == b:
+                continue
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                met[max(a, b)] = min(a, b)
+                links.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+    return links
+
+
+def crossing_links(rest: DataFrame, sketches_of: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components left in band groups (rows: band, id, component).
+
+    Band groups that share documents form one candidate group, so that a pair is looked at once, not once a band. In a
+    candidate group only documents outside its most frequent component are held against all others. Groups of up to
+    BLOCK documents are dealt to cells of about BLOCK rows; larger ones are cut into blocks, each pair of blocks in a
+    place of its own.
+    """
+    first = rest.groupBy("band").agg(F.min("id").alias("a"))
+    grouped = components(rest.join(first, "band").select("a", F.col("id").alias("b"))).withColumnRenamed("component", "g")
+    members = staged(rest.select("id", "component").distinct().join(grouped, "id"), "candidates")
+    parts = members.groupBy("g", "component").agg(F.count("*").alias("n"))
+    about = staged(parts.groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("n_main"), F.max_by("component", F.struct("n", "component")).alias("main")), "groups")
+    cells = max(1, -(-members.count() // BLOCK))
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    told = members.join(about, "g").withColumns({"big": F.col("n") > BLOCK, "n_left": F.col("n") - F.col("n_main"), "other": F.col("component") != F.col("main")})
+    told = told.withColumns({"nl": F.greatest(F.lit(1), blocks("n_left")), "nr": blocks("n")})
+    block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda cell, i, j, side: F.struct(F.xxhash64(cell).alias("cell"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    as_right = F.transform(upto("nl"), lambda i: place(F.col("g"), i, block("nr", 1), "r"))
+    as_left = F.when(F.col("other"), F.transform(upto("nr"), lambda j: place(F.col("g"), block("nl", 2), j, "l"))).otherwise(F.slice(as_right, 1, 0))
+    alone = F.array(place(F.pmod(F.xxhash64("g"), F.lit(cells)), F.lit(-1), F.lit(-1), "b"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    whole = told.join(sketches_of.select("id", "sketch").dropDuplicates(["id"]), "id").join(texts, "id").dropDuplicates(["id"])
+    whole = whole.select("id", "g", "component", "main", "sketch", hashed_words(F.col("text")).alias("hashes"), F.when(F.col("big"), F.concat(as_right, as_left)).otherwise(alone).alias("places"))
+    dealt = whole.withColumn("p", F.explode("places")).select("p.*", "id", "g", "component", "main", "sketch", "hashes")
+
+    def searched(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, comps, g, main = (table.column(c).to_numpy() for c in ("id", "component", "g", "main"))
+        side = np.array(table.column("side").to_pylist())
         grid = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(len(ids), COORDINATES)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out_a, out_b = [], []
-        for x in left:
-            hits = right[((grid[right] == grid[x]).sum(axis=1) >= least) & (comps[right] != comps[x]) & ((ids[right] > ids[x]) | (i != j))]
-            out_a.append(np.minimum(ids[hits], ids[x]))
-            out_b.append(np.maximum(ids[hits], ids[x]))
-        return pa.table({"a": np.concatenate(out_a or [ids[:0]]), "b": np.concatenate(out_b or [ids[:0]])})
+        sets = shingle_sets(table.column("hashes").chunk(0), size)
+        links = []
+        order = np.argsort(g, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+            left = rows[(comps[rows] != main[rows[0]]) & (side[rows] != "r")]
+            links += search(ids, comps, grid, sets, left, rows[side[rows] != "l"], int(main[rows[0]]), percent)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    far = dealt.groupBy("band", "i", "j").applyInArrow(searched, "a long, b long")
-    return near.union(far).distinct()
+    return dealt.groupBy("cell", "i", "j").applyInArrow(searched, "a long, b long").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -227,9 +269,10 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80) ->
     named = members.select("band", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     rest = staged(named.join(several, "band"), "rest")
-    more = staged(crossing_pairs(rest, full, percent).join(stars, ["a", "b"], "left_anti"), "crossing")
-    if not more.isEmpty():
-        found = components(links.union(verified(more, docs, size, percent)))
+    if not rest.isEmpty():
+        crossing = staged(crossing_links(rest, full, docs, size, percent), "crossing")
+        if not crossing.isEmpty():
+            found = components(links.union(crossing))
     found = staged(found, "components")
     # Back to all documents: by set, then by component. Classes of one document need no table.
     with_rep = every.join(classes.where("n > 1").select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
@@ -247,3 +290,22 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
 
 def near_duplicates_query(docs: DataFrame) -> DataFrame:
     return near_duplicate_classes(docs, size=2)
+
+
+#: The same result by counting the shingles that any two documents share, and a walk along the links.
+NEAR_DUPLICATES_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(id, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, u.b FROM r JOIN u ON r.reach = u.a),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
