@@ -179,3 +179,47 @@ def quality_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), *(q[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")),
         (~q["base_failed"] & ~q["rejected"]).alias("kept"),
     )
+
+
+#: The same result; the binomial tail by the logarithms of its terms.
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (
+  SELECT doc_id, array_to_string(w[i : i + 7], ' ') AS win, list(i) AS places
+  FROM d, LATERAL (SELECT unnest(generate_series(1, len(w) - 7)) AS i) WHERE len(w) >= 9 GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT doc_id, unnest(generate_series(i, i + 7)) AS p FROM (SELECT doc_id, unnest(places) AS i FROM g)) GROUP BY doc_id),
+c AS (
+  SELECT d.doc_id, lang, text, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         length(coalesce(text, '')) - length(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN rep USING (doc_id)),
+v AS (
+  SELECT *, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols_per_word, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share,
+         CASE WHEN word_chars > 0 THEN n_upper / word_chars ELSE 0 END AS upper_share, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_length FROM c),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+hold AS (SELECT DISTINCT lang, text, symbols_per_word, dup_line_share, upper_share, word_length FROM v JOIN good USING (doc_id)),
+long AS (UNPIVOT hold ON symbols_per_word, dup_line_share, upper_share, word_length INTO NAME signal VALUE value),
+cuts AS (CUTS),
+t AS (
+  SELECT lang, signal, step, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k FROM long JOIN cuts USING (signal) GROUP BY ALL),
+tail AS (
+  SELECT lang, signal, step, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(RATE) + (n - i) * ln(1 - RATE))) AS p
+  FROM t, LATERAL (SELECT unnest(generate_series(0, k)) AS i) WHERE k < n * RATE GROUP BY ALL),
+fails AS (
+  SELECT lang, signal, min(step) AS fail FROM t LEFT JOIN tail USING (lang, signal, step)
+  WHERE coalesce(p, 1) > DELTA / (SIGNALS * (SELECT count(DISTINCT lang) FROM hold)) GROUP BY ALL),
+chosen AS (SELECT lang, signal, min(cutoff) AS cutoff FROM t LEFT JOIN fails USING (lang, signal) WHERE step < coalesce(fail, 1000000) GROUP BY ALL),
+over AS (
+  SELECT DISTINCT doc_id FROM (UNPIVOT (SELECT doc_id, lang, symbols_per_word, dup_line_share, upper_share, word_length FROM v) ON symbols_per_word, dup_line_share, upper_share, word_length INTO NAME signal VALUE value) x
+  JOIN chosen USING (lang, signal) WHERE value > cutoff),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over) AS kept FROM b
+"""
+for _name, _value in {
+    "CUTS": " UNION ALL ".join(f"SELECT '{s}' AS signal, {i} AS step, {c}::DOUBLE AS cutoff" for s, cuts in SIGNALS.items() for i, c in enumerate(cuts)),
+    "RATE": f"{ALPHA / len(SIGNALS)}", "DELTA": f"{DELTA}::DOUBLE", "SIGNALS": f"{len(SIGNALS)}",
+}.items():
+    QUALITY_SQL = QUALITY_SQL.replace(_name, _value)

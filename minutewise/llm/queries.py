@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from minutewise.llm.decontaminate import DECONTAMINATION_SQL, decontamination_query
 from minutewise.llm.html_main import main_text_query
 from minutewise.llm.license_scan import licenses_query
-from minutewise.llm.near_dups import near_duplicates_query
+from minutewise.llm.near_dups import NEAR_DUPLICATES_SQL, near_duplicates_query
 from minutewise.llm.packing import packing_query
-from minutewise.llm.quality_rules import quality_query
+from minutewise.llm.quality_rules import QUALITY_SQL, quality_query
 from minutewise.llm.secret_scan import secrets_query
 from minutewise.llm.sharding import shards_query
 from minutewise.llm.token_counts import token_counts_query
@@ -75,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_counts, op2_shards, op3_licenses, op4_near_dups, op5_token_files, op6_packing, op7_secrets, op8_quality, op9_main_text, op10_decontamination,
     )
 }
-SQL: dict[str, str] = {"op10_decontamination": DECONTAMINATION_SQL}
+SQL: dict[str, str] = {"op4_near_dups": NEAR_DUPLICATES_SQL, "op8_quality": QUALITY_SQL, "op10_decontamination": DECONTAMINATION_SQL}

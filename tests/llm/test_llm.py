@@ -139,15 +139,15 @@ def test_near_duplicates(docs, size):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), want[i], want[i] == i)
 
 
-def test_near_duplicates_of_nothing_and_of_large_groups(spark, empty, monkeypatch):
+@pytest.mark.parametrize("block", [3, 1024])
+def test_near_duplicates_of_nothing_and_of_large_groups(spark, empty, monkeypatch, block):
     assert near_dups.near_duplicate_classes(empty).count() == 0
     rng = random.Random(2)
     # A chain: neighbours are alike, the ends are not; block search has to find links that no group's smallest has.
     words = [f"w{i}" for i in range(400)]
     rows = [(k, " ".join(words[5 * k : 5 * k + 100])) for k in range(40)]
     rows = [(i, t) for (_, t), i in zip(rows, rng.sample(range(40), 40), strict=True)]
-    monkeypatch.setattr(near_dups, "SMALL", 2)
-    monkeypatch.setattr(near_dups, "BLOCK", 3)
+    monkeypatch.setattr(near_dups, "BLOCK", block)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = classes({i: shingles(t, 2) for i, t in rows})
     assert {r["doc_id"]: r["component_id"] for r in near_dups.near_duplicate_classes(df, 2).collect()} == want
