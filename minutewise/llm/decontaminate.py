@@ -77,14 +77,17 @@ class Index:
         return self.postings.select("row", F.col("term_id").alias(term), "pos").join(self.rarest, term).withColumn("diagonal", F.col("pos") - F.col(off))
 
     def candidates(self, slack: int = 0) -> DataFrame:
-        """row, item, diagonal of the windows whose two rarest words stand in place (or `slack` words from it)."""
+        """row, item, diagonal of the windows whose two rarest words stand in place (or `slack` words from it).
+
+        A document that opens in the middle of an item has a diagonal below 0.
+        """
         first = self.shifted("off1", "term1").select("row", "item", "off1", "off2", "term2", "diagonal")
         other = self.postings.join(self.rarest.select(F.col("term2").alias("term_id")).distinct(), "term_id", "left_semi").select("row", F.col("term_id").alias("term2"), F.col("pos").alias("pos2"))
         if slack:
             both = first.join(other, ["row", "term2"]).where(F.abs(F.col("pos2") - F.col("diagonal") - F.col("off2")) <= slack)
         else:
             both = first.withColumn("pos2", F.col("diagonal") + F.col("off2")).join(other, ["row", "term2", "pos2"], "left_semi")
-        return both.select("row", "item", "diagonal").union(first.where("term2 is null").select("row", "item", "diagonal")).where("diagonal >= 0").distinct()
+        return both.select("row", "item", "diagonal").union(first.where("term2 is null").select("row", "item", "diagonal")).distinct()
 
     def occurrences(self) -> DataFrame:
         """row, item_id, diagonal, starts: the item words at which an occurring window begins."""

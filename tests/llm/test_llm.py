@@ -375,6 +375,21 @@ def test_decontamination(docs, empty, spark):
     assert decontaminate.near_matches(docs, bench, slack=2).where("item_id = '2'").count() > 0
 
 
+def test_decontamination_of_documents_that_open_or_end_inside_an_item(spark):
+    w = [f"w{k}" for k in range(30)]
+    items = [(1, " ".join(w)), (2, " ".join(f"v{k}" for k in range(20)))]
+    tail = " ".join(f"v{k}" for k in range(10, 20))
+    rows = [" ".join(w[10:]), tail + " and more words follow", " ".join(w[21:]) + " too few", "before it " + " ".join(w[:15]), tail + " " + " ".join(w[20:])]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = hits(rows, items)
+    got = {r["doc_id"]: tuple(r[1:]) for r in decontaminate.decontamination_query(df, bench).collect()}
+    assert got == want and [got[i][1] for i in range(5)] == [20, 10, 0, 15, 20]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()] == [2]
+    near = {(r["doc_id"], r["item_id"], r["place"]) for r in decontaminate.near_matches(df, bench, slack=2).collect()}
+    assert {(0, "1", -10), (1, "2", -10)} <= near
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
