@@ -6,7 +6,8 @@ costs the logarithm of the guesses it takes; a value whose cheapest segmentation
 is a secret of kind `guess`. Placeholders ("changeme", "xxxxxxxx") are cheap and so are left alone.
 
 Kinds: `assign`, `access`, `hex` by the fixed patterns, all of them, leftmost and non-overlapping for each kind, whole
-match, code points; `guess` spans cover the value only, and only where no fixed span covers it.
+match, code points; `guess` spans cover the value only, and are left out where fixed spans cover all of it. A value that
+fixed spans cover in part has both, and redact() replaces them as one.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned one by one; extra columns are kept by
 redact() and ignored by scan_secrets().
@@ -149,6 +150,15 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_covered(a: int, z: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether the spans (start, end), sorted, cover a..z together."""
+    for s, e in spans:
+        if s > a:
+            break
+        a = max(a, e)
+    return a >= z
+
+
 def all_spans(text: str, guesses: GuessCost, least: float = MIN_LOG10) -> list[tuple[int, int, int, float | None]]:
     """(start, order of kind, end, log10 of guesses) of every span, sorted."""
     base = fixed_spans(text)
@@ -156,11 +166,11 @@ def all_spans(text: str, guesses: GuessCost, least: float = MIN_LOG10) -> list[t
     low = text.lower()
     if any(h in low for h in HINTS):
         values = {m.span(1) for p in (CONTEXT, ADDRESS) for m in p.finditer(text)}
-        taken = -1
+        fixed, taken = [(s, e) for s, _, e in base], -1
         for a, z in sorted(values):
             while z > a and text[z - 1] in ".:!?)]}":
                 z -= 1
-            if a < taken or z - a < 6 or any(s < z and a < e for s, _, e in base):
+            if z <= taken or z - a < 6 or is_covered(a, z, fixed):
                 continue
             value = text[a:z]
             # A word of a language is no password; a value has a digit, a sign or mixed case.

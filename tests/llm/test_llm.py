@@ -247,6 +247,18 @@ def test_secrets(docs, empty, spark):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+def test_secrets_that_fixed_spans_cover_in_part(spark):
+    rows = [
+        ("password = Kq7xZm2pLw9R!vT$e8#uB and more", "[secret] and more"), ("pwd: Xy!9-deadbeefdeadbeef-zQ$4, so", "pwd: [secret], so"),
+        ("token: 'abcdefghij12345'", "[secret]'"), ("token=abc://u:x7$Kq!9z,zT%4w@host/", "token=[secret]@host/"),
+    ]
+    df = spark.createDataFrame([(i, t, len(t)) for i, (t, _) in enumerate(rows)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r for r in secret_scan.secrets_query(df).collect()}
+    assert got[0]["spans"] == "assign:0:23,guess:11:32" and got[1]["spans"] == "guess:5:31,hex:10:26" and got[2]["spans"] == "assign:0:23"
+    assert all(got[i]["base_sha256"] == hashlib.sha256(base_spans(t).encode()).hexdigest() for i, (t, _) in enumerate(rows))
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()} == {i: t for i, (_, t) in enumerate(rows)}
+
+
 def test_guess_costs_are_ordered():
     cost = secret_scan.GuessCost().cost
     assert cost("password") < cost("password123") < cost("hunter2") + 3
