@@ -3,7 +3,8 @@
 A value that follows a credential word ("passwd:", "pin =", a password in a connection address) is taken apart by the
 cheapest segmentation into known words, dates, repeats, keyboard walks, runs and brute-force spans, where each segment
 costs the logarithm of the guesses it takes; a value whose cheapest segmentation still takes 10**`MIN_LOG10` guesses
-is a secret of kind `guess`. Placeholders ("changeme", "xxxxxxxx") are cheap and so are left alone.
+is a secret of kind `guess`. Placeholders ("changeme", "xxxxxxxx") are cheap and so are left alone. Values have any
+length; repeats of blocks of more than `BLOCK` characters are no segments.
 
 Kinds: `assign`, `access`, `hex` by the fixed patterns, all of them, leftmost and non-overlapping for each kind, whole
 match, code points; `guess` spans cover the value only, and are left out where fixed spans cover all of it. A value that
@@ -29,6 +30,8 @@ from minutewise.llm.shared import per_worker
 from minutewise.llm.token_counts import slices
 
 MIN_LOG10 = 7.0
+#: The longest block of a repeat, and the longest value whose cost is kept.
+BLOCK, KEPT = 64, 128
 KINDS = ("assign", "access", "hex", "guess")
 SPANS = "array<struct<kind:string,start:int,end:int,log10_guesses:double>>"
 
@@ -39,9 +42,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Words before a value that make it a credential (several languages), and passwords inside addresses.
 CONTEXT = re.compile(
-    r"""(?i)(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pw|pin|secret|token|api[_-]?key|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|contrase(?:ñ|n)a|clave|passwort|kennwort|mot\x20de\x20passe)["']?\x20*(?:[:=]|\bis\b)\x20*["']?([^\s"'<>,;]{6,128})"""
+    r"""(?i)(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pw|pin|secret|token|api[_-]?key|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|contrase(?:ñ|n)a|clave|passwort|kennwort|mot\x20de\x20passe)["']?\x20*(?:[:=]|\bis\b)\x20*["']?([^\s"'<>,;]++)"""
 )
-ADDRESS = re.compile(r"""[a-z][a-z0-9+]{1,15}://[^\s/:@"']{1,64}:([^\s/@"']{6,128})@""")
+ADDRESS = re.compile(r"""[a-z][a-z0-9+]{1,15}://[^\s/:@"']++:([^\s/@"']++)@""")
 HINTS = ("pass", "pwd", "pw", "pin", "secret", "token", "key", "credential", "auth", "bearer", "contrase", "clave", "kennwort", "mot de passe", "://")
 
 #: Frequent passwords and words in them, most frequent first: a word's rank is its number of guesses.
@@ -111,7 +114,7 @@ class GuessCost:
             i = max(i + 1, max(j, k if k - i >= 3 else 0) - 1)
 
     def cost(self, text: str) -> float:
-        """log10 of the guesses for a value."""
+        """log10 of the guesses for a value of any length, in steps that grow with its length only."""
         if text in self.seen:
             return self.seen[text]
         n = len(text)
@@ -120,20 +123,21 @@ class GuessCost:
             ending[j].append((i, c))
         letter = math.log10(self.alphabet(text))
         best = [0.0] + [math.inf] * n
+        #: For each block size, how many characters before j equal those so many places before.
+        same = [0] * (BLOCK + 1)
         for j in range(1, n + 1):
             best[j] = best[j - 1] + letter
             for i, c in ending[j]:
                 best[j] = min(best[j], best[i] + c)
             # Repeats: the stretch before j is one block, two times or more; it costs the block and its count.
-            for size in range(1, j // 2 + 1):
-                if text[j - size : j] == text[j - 2 * size : j - size]:
-                    times = 2
-                    while j - size * (times + 1) >= 0 and text[j - size * (times + 1) : j - size * times] == text[j - size : j]:
-                        times += 1
+            for size in range(1, min(j - 1, BLOCK) + 1):
+                same[size] = same[size] + 1 if text[j - 1] == text[j - 1 - size] else 0
+                if same[size] >= size:
+                    times = 1 + same[size] // size
                     start = j - size * times
                     block = min(size * letter, self.cost(text[start : start + size]))
                     best[j] = min(best[j], best[start] + block + math.log10(times))
-        if len(self.seen) < 100_000:
+        if n <= KEPT and len(self.seen) < 100_000:
             self.seen[text] = best[n]
         return best[n]
 
@@ -170,7 +174,7 @@ def all_spans(text: str, guesses: GuessCost, least: float = MIN_LOG10) -> list[t
         for a, z in sorted(values):
             while z > a and text[z - 1] in ".:!?)]}":
                 z -= 1
-            if z <= taken or z - a < 6 or is_covered(a, z, fixed):
+            if z <= taken or z == a or is_covered(a, z, fixed):
                 continue
             value = text[a:z]
             # A word of a language is no password; a value has a digit, a sign or mixed case.

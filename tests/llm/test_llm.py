@@ -259,6 +259,20 @@ def test_secrets_that_fixed_spans_cover_in_part(spark):
     assert {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()} == {i: t for i, (_, t) in enumerate(rows)}
 
 
+def test_secrets_of_any_length(spark):
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choices("abXY12$%kQ", k=n))
+    long, password, name = some(240), some(300), "u" * 100
+    rows = [
+        (f"pwd: {long} end", "pwd: [secret] end"), (f"db://me:{password}@host", "db://me:[secret]@host"), (f"db://{name}:{long[:20]}@host", f"db://{name}:[secret]@host"),
+        ("pw: k$9Q~ end", "pw: [secret] end"), ("pin: 8391 pw: ab1", "pin: 8391 pw: ab1"), ("pwd: " + "x" * 5000, "pwd: " + "x" * 5000),
+    ]
+    df = spark.createDataFrame([(i, t, len(t)) for i, (t, _) in enumerate(rows)], "doc_id long, text string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()} == {i: t for i, (_, t) in enumerate(rows)}
+    cost = secret_scan.GuessCost().cost
+    assert cost("aX9$kLm2Qz" * 500) < cost("aX9$kLm2Qz") + 3 and cost(some(50_000)) > 10_000
+
+
 def test_guess_costs_are_ordered():
     cost = secret_scan.GuessCost().cost
     assert cost("password") < cost("password123") < cost("hunter2") + 3
