@@ -7,7 +7,8 @@ log-likelihood, on labelled pages that `labelled_pages` lays out from a seed: ar
 sidebars, notices, adverts, forms and reader comments, told by elements, by class names, by both or, for some pages, by
 neither. No page of a corpus is used for training.
 
-Scripts, styles, templates, comments and the head are no blocks. Character references are decoded, white space within
+Scripts, styles, templates, comments and the head are no blocks; a head without its end tag ends at the body, at the
+first element that no head may hold or at the first text, and a self-closed svg holds nothing. Character references are decoded, white space within
 a block becomes one blank, and the main blocks are joined by line feeds in page order.
 
 Defined results: null and empty pages, and pages without a main block, give an empty text; unclosed elements end where
@@ -29,10 +30,13 @@ from pyspark.sql import functions as F
 
 from minutewise.llm.token_counts import slices
 
-SKIPPED = "script|style|noscript|template|svg|iframe|object|canvas|head"
+SKIPPED = "script|style|noscript|template|svg|iframe|object|canvas"
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({SKIPPED})\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-z][^>]*+(?:>|\Z)""", re.S | re.I
+    rf"""<!--.*?(?:-->|\Z)|<({SKIPPED})(?=[\s/>])(?:(?<=<svg)[^>]*+(?<=/)>|[^>]*+>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-z][^>]*+(?:>|\Z)""", re.S | re.I
 )
+#: What a head may hold; anything else, and text, begins the body, as the end tag of the head may be left out.
+IN_HEAD = frozenset("head html base basefont bgsound link meta title script style noscript template".split())
+TITLE_END = re.compile(r"</title\s*>|(?=</head[\s>]|<body[\s/>])", re.I)
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,6 +74,7 @@ def leaf_blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked = anchors = 0
+    in_head, titles_end = False, True
 
     def flush() -> None:
         nonlocal linked
@@ -94,13 +99,30 @@ def leaf_blocks(page: str) -> list[Block]:
                 linked += len(piece)
 
     at = 0
-    for m in TOKEN.finditer(page):
-        text_of(page[at : m.start()])
+    while m := TOKEN.search(page, at):
+        piece = page[at : m.start()]
         at = m.end()
         tag = m[3]
+        if in_head:
+            name = (m[1] or tag or "head").lower()
+            in_head = not piece.strip() and (name in IN_HEAD if not m[2] else name not in ("head", "body", "html"))
+        if not in_head:
+            text_of(piece)
         if tag is None:
             continue
         tag = tag.lower()
+        if tag == "head" and not m[2]:
+            flush()
+            in_head = True
+            continue
+        if in_head:
+            if tag == "title" and not m[2]:
+                # Its text is no markup; without an end tag it ends where the next tag begins.
+                end = TITLE_END.search(page, at) if titles_end else None
+                titles_end = end is not None
+                following = page.find("<", at)
+                at = end.end() if end else following if following >= 0 else len(page)
+            continue
         if m[2]:
             if tag in INLINE:
                 for i in range(len(stack) - 1, -1, -1):

@@ -356,6 +356,20 @@ def test_main_text_cases(field, spark):
     assert html_main.main_text_query(df.limit(0)).count() == 0
 
 
+def test_pages_without_end_of_head_with_custom_elements_and_closed_drawings():
+    found = lambda page: [b.text for b in html_main.leaf_blocks(page)]
+    head = "<html><head><meta charset=utf-8><title>A <b>&amp; B</title><script>var t='<p>';</script>"
+    for start in ("<body><p>", "<p>", "<BODY class=a><article><p>", "</head><body><p>", "<div/><p>", "<svg/><p>", ""):
+        assert found(head + start + "One.<p>Two.") == ["One.", "Two."]
+    assert found("<head><title>T</head><body><p>One.") == found("<head><title>T<body><p>One.") == found("<head><title>T<p>One.") == ["One."]
+    assert found("<head><title>T") == found("<head>") == found("<head><title>") == []
+    for name in ("svg-icon", "template-card", "head-line", "object-view"):
+        assert found(f"<p>One.</p><{name} a='b'>Two.</{name}><p>Three.</p><svg><text>no</text></svg>") == ["One.", "Two.", "Three."]
+        assert found(f"<p>One.</p><{name}><p>Two.<p>Three.") == ["One.", "Two.", "Three."]
+    assert found("<p>One.<svg class='x' />more<p>Two.<svg/><p>Three.<SVG a=b/></p><svg width=1><text>no</text></svg>") == ["One.more", "Two.", "Three."]
+    assert found("<p>One.<script src=a /><p>no</p></script><p>Two.") == ["One.", "Two."]
+
+
 def test_viterbi_is_the_best_path(field):
     blocks = html_main.leaf_blocks(html_main.labelled_pages(3, seed=4)[1][0])[:8]
     scores = [np.add(field.of_path(b.path), field.score(html_main.text_features(b))) for b in blocks]
