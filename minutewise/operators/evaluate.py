@@ -6,7 +6,6 @@ summed first, and running sums inside a range start from the sum of the ranges b
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,19 +84,33 @@ def false_alarm_episodes(scores: DataFrame, keys: list[str], row: str = "row", y
     return marked.where(F.col("_fa") & ~follows).drop("_fa", "_pf", "_pr")
 
 
-def block_bootstrap(scores: DataFrame, keys: list[str], n_rows: int, row: str = "i", reps: int = 300, block: int = 60, seed: int = 20260916) -> DataFrame:
-    """keys, pr_auc_lo, pr_auc_hi: 2.5 and 97.5 percentiles of PR-AUC over block resamples of the rows 0..n_rows-1 of each key.
+def row_numbers(rows: DataFrame, keys: list[str], order: str, row: str = "i") -> tuple[DataFrame, DataFrame]:
+    """The rows with their number from 0 in the order of `order` within each key, and the keys with n_rows.
 
-    The drawn block starts, reps x (n_rows / block) numbers, are a table that is joined by row; repetitions without
-    positives are left out.
+    Numbers are running sums over ranges of `order`, so no key is sorted in one task.
     """
-    spark = scores.sparkSession
-    rng = np.random.default_rng(seed)
-    per = max(1, -(-n_rows // block))
-    starts = rng.integers(0, max(1, n_rows - block + 1), size=(reps, per))
-    draws = spark.createDataFrame([(r, int(s)) for r in range(reps) for s in starts[r]], "rep int, start long")
-    drawn = draws.select("rep", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + block, F.lit(n_rows)) - 1)).alias(row))
-    aps = pr_auc(scores.join(drawn, row), [*keys, "rep"])
+    numbered = running(rows.withColumn("_one", F.lit(1).cast("long")), keys, order, ("_one",), descending=False)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    return numbered.withColumn(row, F.col("c_one") - 1).drop("_one", "c_one", "t_one"), counts
+
+
+def block_draws(counts: DataFrame, reps: int = 300, block: int = 60, seed: int = 20260916) -> DataFrame:
+    """keys, rep, start, upto for each key of counts (keys, n_rows): blocks start..upto-1 of the key's own rows."""
+    per = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / block)).cast("long")
+    asked = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), per - 1)))
+    starts = asked.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "rep", "_b"), F.greatest(F.lit(1).cast("long"), F.col("n_rows") - block + 1)))
+    return starts.withColumn("upto", F.least(F.col("start") + block, F.col("n_rows"))).drop("_b", "n_rows")
+
+
+def block_bootstrap(scores: DataFrame, keys: list[str], n_rows: int | DataFrame, row: str = "i", reps: int = 300, block: int = 60, seed: int = 20260916) -> DataFrame:
+    """keys, pr_auc_lo, pr_auc_hi: 2.5 and 97.5 percentiles of PR-AUC over block resamples of all rows 0..n_rows-1 of each key.
+
+    n_rows: a number that all keys share, or a table keys, n_rows. The drawn block starts, reps x (n_rows / block) numbers
+    a key, are a table that is joined by key and row; repetitions without positives are left out.
+    """
+    counts = n_rows if isinstance(n_rows, DataFrame) else scores.select(*keys).distinct().withColumn("n_rows", F.lit(n_rows).cast("long"))
+    drawn = block_draws(counts, reps, block, seed).select(*keys, "rep", F.explode(F.sequence(F.col("start"), F.col("upto") - 1)).alias(row))
+    aps = pr_auc(scores.join(drawn, [*keys, row]), [*keys, "rep"])
     q = F.percentile("pr_auc", F.array(F.lit(0.025), F.lit(0.975)))
     return aps.groupBy(*keys).agg(q.alias("_q")).select(*keys, F.col("_q")[0].alias("pr_auc_lo"), F.col("_q")[1].alias("pr_auc_hi"))
 

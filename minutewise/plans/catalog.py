@@ -341,10 +341,8 @@ def threshold_confusion(spark, sf):
 @query()
 def bootstrap_ci(spark, sf):
     s = T.table(spark, sf, "labels").join(T.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
-    # Block starts are drawn among the first 200 rows in order of doc_id within each fifth.
-    ranked = s.withColumn("g", F.col("doc_id") % 5).withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("doc_id")).cast("long") - 1)
-    n = ranked.groupBy("g").count().agg(F.min("count")).first()[0] or 1
-    return evaluate.block_bootstrap(ranked.select("g", "i", F.col("quality").alias("y"), F.col("n_chars").alias("score")), ["g"], int(n), reps=100, block=20)
+    ranked, n = evaluate.row_numbers(s.withColumn("g", F.col("doc_id") % 5), ["g"], "doc_id")
+    return evaluate.block_bootstrap(ranked.select("g", "i", F.col("quality").alias("y"), F.col("n_chars").alias("score")), ["g"], n)
 
 
 # Events

@@ -129,6 +129,30 @@ def test_bootstrap_interval_holds_the_estimate(spark):
     assert r["pr_auc_lo"] < evaluate.pr_auc(df, ["k"]).first()["pr_auc"] < r["pr_auc_hi"]
 
 
+def test_bootstrap_draws_all_rows_of_uneven_groups(spark):
+    rng = np.random.default_rng(5)
+    sizes = {"a": 7, "b": 90, "c": 400}
+    rows = [(k, 3 * i + 1, int(rng.random() < 0.4), int(rng.integers(0, 30))) for k, n in sizes.items() for i in range(n)]
+    df = frame(spark, rows, "k string, id long, y int, score int")
+    numbered, counts = evaluate.row_numbers(df, ["k"], "id")
+    assert all(r["id"] == 3 * r["i"] + 1 for r in numbered.collect()) and {r["k"]: r["n_rows"] for r in counts.collect()} == sizes
+    drawn = {}
+    for r in evaluate.block_draws(counts, 40, 20).collect():
+        drawn.setdefault(r["k"], {}).setdefault(r["rep"], []).extend(range(r["start"], r["upto"]))
+    assert {k: sorted({i for d in reps.values() for i in d}) for k, reps in drawn.items()} == {k: list(range(n)) for k, n in sizes.items()}
+    got = {r["k"]: (r["pr_auc_lo"], r["pr_auc_hi"]) for r in evaluate.block_bootstrap(numbered, ["k"], counts, reps=40, block=20).collect()}
+    for k, reps in drawn.items():
+        of = [(y, s) for key, _, y, s in rows if key == k]
+        aps = []
+        for d in reps.values():
+            ys = [of[i] for i in d]
+            p = sum(y for y, _ in ys)
+            if p:
+                steps = [(sum(y for y, s in ys if s == t), [y for y, s in ys if s >= t]) for t in {s for _, s in ys}]
+                aps.append(sum(n / p * sum(above) / len(above) for n, above in steps))
+        assert np.allclose(got[k], np.percentile(aps, [2.5, 97.5]))
+
+
 def test_hand_worked_cell_and_gradients():
     net = lstm.Lstm(1, 1, 0)
     net.p = {"wx": np.array([[0.8, 0.6, 0.9, 0.4]]), "wh": np.array([[0.1, -0.2, 0.3, 0.2]]), "bx": np.array([0.3, 0.5, 0.4, 0.6]), "bh": np.zeros(4), "v": np.ones(1), "c": np.zeros(1)}
