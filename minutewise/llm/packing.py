@@ -1,12 +1,16 @@
 """Packing token pieces into sequences by bin completion over the histogram of lengths.
 
 A piece has 1 to `capacity` tokens, so all pieces of a corpus are a histogram of at most `capacity` lengths, whatever
-its size. Bins are completed on that histogram: around the largest length left, the undominated fillings of the rest of
-the bin are enumerated by branch and bound, pruned by the waste that can still be afforded and by the fullest filling
-found so far; the best-fit filling (largest length that fits, again and again) is the first incumbent. A filling is
-applied as often as the histogram allows, which uses up at least one length, so there are about as many different
-fillings as lengths. Best-fit decreasing over the whole histogram is the incumbent for the whole packing: the plan with
-fewer bins is taken, and the search stops early at the lower bound ceil(tokens / capacity).
+its size. The search branches over the fillings of one bin after another. At each node it takes the largest length left
+and enumerates the undominated fillings around it, the fullest first and the largest pieces first among equally full
+ones; a filling is dominated (Martello and Toth) if some of its pieces can be exchanged for one larger piece that is
+still there. A filling is first applied as often as the histogram allows, which uses up at least one length, so that
+the first dive takes about as many steps as there are lengths; on the way back it is applied once, so that no packing is
+out of reach. A branch is left when its bins and the lower bound of what is left (Martello and Toth's L2) are more than
+the incumbent has, or if its waste is more than such a packing can afford. The incumbent is best-fit decreasing at first.
+
+The plan of the search is taken if it has no more bins than best fit. It is proven optimal if it meets the lower bound or
+the search ends before `NODES` nodes; else `plan_gap` tells how far from the bound it may be.
 
 The plan is a list of fillings with multiplicities: a few thousand numbers at most, proven by the number of lengths. A
 piece's sequence follows from its rank among the pieces of its length, by arithmetic: ranks come from prefix sums over
@@ -14,7 +18,8 @@ the parts in which the pieces were written, so neither a length that a third of
 is gathered in one place.
 
 Defined results: a null or empty text is one piece that holds the end id; a text over `capacity` ids is cut into full
-pieces, of which the first takes the remainder; repeated rows are packed one by one; an empty table gives no sequences.
+pieces, of which the first takes the remainder; repeated rows, null ids and ties are packed one by one; an empty table
+gives no sequences; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +39,8 @@ from minutewise.llm.token_ids import PieceEncoder
 
 CAPACITY = 2048
 END = 0
-#: Nodes of the search around one bin; beyond, its best filling so far is taken.
-NODES = 2_000
+#: Nodes of the search; beyond, the best plan so far is taken.
+NODES = 12_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -89,77 +94,156 @@ def apply(left: np.ndarray, filling: list[int]) -> int:
     return times
 
 
-def complete(left: np.ndarray, capacity: int, afford: int) -> list[int]:
-    """The fullest filling around the largest length left.
+def lower_bound(left: np.ndarray, capacity: int) -> int:
+    """Martello and Toth's L2: for each k, pieces over capacity - k stand alone, those over half need a bin each, those from k
+    up to half fill up what these leave. Also, of pieces over capacity / (m + 1) no more than m share a bin."""
+    n, t = np.r_[0, np.cumsum(left)], np.r_[0, np.cumsum(left * np.arange(capacity + 1))]
+    half = capacity // 2
+    k = np.arange(half + 1)
+    alone, middle = n[-1] - n[capacity - k + 1], n[capacity - k + 1] - n[half + 1]
+    room = middle * capacity - (t[capacity - k + 1] - t[half + 1])
+    small = t[half + 1] - t[k]
+    m = np.arange(1, capacity + 1)
+    large = n[-1] - n[capacity // (m + 1) + 1]
+    return int(max((alone + middle + np.maximum(0, -(-(small - room) // capacity))).max(), (-(-large // m)).max()))
+
+
+def copies(reach: int, n: int, stock: int) -> int:
+    """The sums (bits) that up to `stock` more pieces of length n make."""
+    step = 1
+    while stock > 0:
+        take = min(step, stock)
+        reach |= reach << (n * take)
+        stock -= take
+        step *= 2
+    return reach
+
+
+def is_dominated(filling: list[int], slack: int, stock: dict[int, int]) -> bool:
+    """Whether one piece that is left over could take the place of several, or of a smaller one."""
+    one = several = 0
+    for n in filling:
+        several |= several << n | one << n
+        one |= 1 << n
+    used = {n: filling.count(n) for n in set(filling)}
+    for x, there in stock.items():
+        if there > used.get(x, 0):
+            window = ((1 << (slack + 1)) - 1) << max(0, x - slack) if x >= slack else (1 << (x + 1)) - 1
+            if several & window & ((1 << (x + 1)) - 1) or one & window & ((1 << x) - 1):
+                return True
+    return False
 
-    Fillings are enumerated with their sizes in descending order and as many copies of a size as fit first, so that a
-    filling comes before those that it dominates (those with the same size cut smaller or left out). A branch is left
-    when all that could follow wastes no less than the incumbent; a filling whose waste can be afforded ends the search.
+
+def fillings(left: np.ndarray, capacity: int, most_waste: int) -> Iterator[tuple[list[int], int]]:
+    """The undominated fillings around the largest length left, with their waste, from full ones on up to `most_waste`.
+
+    Sums within reach of the lengths from each place on (bits of a number) lead the enumeration, so that it has no dead ends.
     """
     largest = int(np.flatnonzero(left)[-1])
-    lengths = np.flatnonzero(left)[::-1].tolist()
-    stock = {n: int(left[n]) for n in lengths}
-    stock[largest] -= 1
     rest = capacity - largest
-    # The incumbent: best fit.
-    best, room, used = [], rest, dict.fromkeys(lengths, 0)
-    for n in lengths:
-        while n <= room and used[n] < stock[n]:
-            best.append(n)
-            used[n] += 1
-            room -= n
-    best_waste, nodes = room, 0
-    if best_waste == 0:
-        return [largest, *best]
-    there = np.zeros(capacity + 1, bool)
-    there[lengths] = True
-    # What all lengths from a place on hold together: less than the room means that this much is wasted at least.
-    holds = np.r_[np.cumsum([n * stock[n] for n in lengths][::-1])[::-1], 0].tolist()
-
-    def search(at: int, room: int, chosen: list[tuple[int, int]]) -> bool:
-        """True ends the search."""
-        nonlocal best, best_waste, nodes
-        if room < best_waste:
-            best, best_waste = [n for n, c in chosen for _ in range(c)], room
-        if best_waste == 0 or best_waste <= afford:
-            return True
-        if there[room] and stock[room] and (not chosen or room < chosen[-1][0]):
-            best, best_waste = [*(n for n, c in chosen for _ in range(c)), room], 0
-            return True
-        for i in range(at, len(lengths)):
-            n = lengths[i]
-            if n > room:
+    stock = {int(n): min(int(left[n]), rest // int(n)) for n in np.flatnonzero(left[: rest + 1])[::-1]}
+    if largest in stock:
+        stock[largest] = min(int(left[largest]) - 1, rest // largest)
+    lengths = [n for n in stock if stock[n]]
+    keep = (1 << (rest + 1)) - 1
+    reach = [1]
+    for n in reversed(lengths):
+        reach.append(copies(reach[-1], n, stock[n]) & keep)
+    reach.reverse()  # reach[i]: sums of lengths[i:]
+
+    def exact(i: int, total: int) -> Iterator[list[int]]:
+        if total == 0:
+            yield []
+            return
+        while i < len(lengths) and lengths[i] > total:
+            i += 1
+        if i == len(lengths) or not reach[i] >> total & 1:
+            return
+        n = lengths[i]
+        for c in range(min(stock[n], total // n), -1, -1):
+            if reach[i + 1] >> (total - n * c) & 1:
+                for more in exact(i + 1, total - n * c):
+                    yield [n] * c + more
+
+    for waste in range(min(rest, most_waste) + 1):
+        if reach[0] >> (rest - waste) & 1:
+            for f in exact(0, rest - waste):
+                if not is_dominated(f, waste, stock):
+                    yield [largest, *f], waste
+
+
+def search(counts: np.ndarray, capacity: int, most: int, bound: int, nodes: int) -> tuple[list[tuple[list[int], int]] | None, bool]:
+    """A packing of at most `most` bins, as few as the search finds, and whether it is proven that there are no fewer."""
+    size = np.arange(capacity + 1)
+    tokens = int((counts * size).sum())
+    best, plan = None, []
+    left, used, wasted = counts.copy(), 0, 0
+    # A node: its fillings still to come, and the ones to apply once on the way back.
+    stack: list[list] = []
+    down = True
+    while True:
+        if down:
+            if not left.any():
+                best, most = list(plan), used - 1
+                if used == bound:
+                    return best, True
+            elif used + lower_bound(left, capacity) <= most:
+                stack.append([fillings(left, capacity, most * capacity - tokens - wasted), None, None])
+        if not stack:
+            return best, True
+        node = stack[-1]
+        if node[2] is not None:  # takes back what the node applied
+            filling, times, waste = node[2]
+            plan.pop()
+            np.add.at(left, filling, times)
+            used, wasted, node[2] = used - times, wasted - times * waste, None
+        if node[1] is not None:
+            (filling, waste), node[1] = node[1], None
+            times = 1
+        else:
+            found = next(node[0], None)
+            if found is None:
+                stack.pop()
+                down = False
                 continue
-            if room - holds[i] >= best_waste:
-                return False
-            for c in range(min(stock[n], room // n), 0, -1):
-                nodes += 1
-                if nodes > NODES or search(i + 1, room - n * c, [*chosen, (n, c)]):
-                    return True
-        return False
+            filling, waste = found
+            sizes, uses = np.unique(filling, return_counts=True)
+            times = int((left[sizes] // uses).min())
+            if waste:
+                times = max(1, min(times, (most * capacity - tokens - wasted) // waste))
+            node[1] = found if times > 1 else None
+        if wasted + times * waste > most * capacity - tokens:
+            down = False
+            continue
+        nodes -= 1
+        if nodes < 0:
+            return best, False
+        np.subtract.at(left, filling, times)
+        plan.append((filling, times))
+        used, wasted, node[2] = used + times, wasted + times * waste, (filling, times, waste)
+        down = True
+
 
-    search(0, rest, [])
-    return [largest, *best]
+def bins(plan: list[tuple[list[int], int]]) -> int:
+    return sum(times for _, times in plan)
 
 
-def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY, nodes: int | None = None) -> list[tuple[list[int], int]]:
     """Fillings and how often each is used, for a histogram of lengths."""
     counts = np.zeros(capacity + 1, np.int64)
     for n, c in histogram.items():
         counts[n] = c
-    bound = -(-int((counts * np.arange(capacity + 1)).sum()) // capacity)
     incumbent = best_fit(counts, capacity)
-    if sum(t for _, t in incumbent) == bound:
-        return incumbent
-    left, plan = counts.copy(), []
-    while left.any():
-        tokens = int((left * np.arange(capacity + 1)).sum())
-        bins = -(-tokens // capacity)
-        # Waste that a bin can afford on average while the lower bound still holds.
-        afford = (bins * capacity - tokens) // max(1, bins)
-        filling = complete(left, capacity, afford)
-        plan.append((filling, apply(left, filling)))
-    return min(plan, incumbent, key=lambda p: sum(t for _, t in p))
+    found, _ = search(counts, capacity, bins(incumbent), lower_bound(counts, capacity), NODES if nodes is None else nodes)
+    return incumbent if found is None else found
+
+
+def plan_gap(histogram: dict[int, int], plan: list[tuple[list[int], int]], capacity: int = CAPACITY) -> int:
+    """Bins of the plan over the lower bound: 0 is proven optimal."""
+    counts = np.zeros(capacity + 1, np.int64)
+    for n, c in histogram.items():
+        counts[n] = c
+    return bins(plan) - lower_bound(counts, capacity)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
