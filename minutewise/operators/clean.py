@@ -57,3 +57,23 @@ def prep_summary(grid: DataFrame, train_days: DataFrame, max_missing: float = 0.
         F.count_if("_keep").alias("series_kept"),
     )
     return counts.crossJoin(left)
+
+
+def kept_series(grid: DataFrame, train_days: DataFrame, max_missing: float = 0.8, series: list[str] = SERIES) -> DataFrame:
+    """Series with a value on each training day and no more than `max_missing` of the training grid missing."""
+    train = grid.join(F.broadcast(train_days.select("day").distinct()), "day", "left_semi")
+    return missing_share(train, series).where(F.col("missing") <= max_missing).join(observed_every_day(grid, train_days, series), series, "left_semi").select(*series)
+
+
+def cleaned(grid: DataFrame, train_days: DataFrame, max_missing: float = 0.8, factor: int = 2, series: list[str] = SERIES) -> DataFrame:
+    """A fold's prepared grid: the kept series with `filled` (carried forward) and `clean` (the rest by training medians)."""
+    rows = grid.join(F.broadcast(kept_series(grid, train_days, max_missing, series)), series, "left_semi")
+    limits = fill_limits(rows.join(F.broadcast(train_days.select("day").distinct()), "day", "left_semi"), series, factor)
+    return fill_rest(bounded_ffill(rows, limits, series), train_days, series)
+
+
+def missingness(grid: DataFrame, train_days: DataFrame, max_missing: float = 0.8, factor: int = 2, series: list[str] = SERIES) -> DataFrame:
+    """series, raw, after_cleaning: shares missing on the whole grid, before and after carrying forward; null where the series is dropped."""
+    raw = missing_share(grid, series).withColumnRenamed("missing", "raw")
+    after = cleaned(grid, train_days, max_missing, factor, series).groupBy(*series).agg(F.avg(F.col("filled").isNull().cast("double")).alias("after_cleaning"))
+    return raw.join(after, series, "left")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from minutewise.operators.stage import kept
+
 RANGES = 64
 
 
@@ -17,15 +19,24 @@ def by_score(scores: DataFrame, keys: list[str], score: str = "score", y: str =
     return scores.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("p"))
 
 
+def ranged(rows: DataFrame, keys: list[str], score: str = "score", to: str = "_r") -> DataFrame:
+    """Adds the number of the row's range among `RANGES`, cut by approximate quantiles of the key."""
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"))
+    cut = rows.join(cuts, keys) if keys else rows.crossJoin(F.broadcast(cuts))
+    return cut.withColumn(to, F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
+
+
 def running(ties: DataFrame, keys: list[str], score: str = "score", columns: tuple[str, ...] = ("n", "p"), descending: bool = True) -> DataFrame:
-    """Adds c<column>: its sum over this score and all before it in order; t<column>: the key's total."""
-    cuts = ties.groupBy(*keys).agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"), *(F.sum(c).alias(f"t{c}") for c in columns))
-    cut = ties.join(cuts, keys) if keys else ties.crossJoin(F.broadcast(cuts))
-    cut = cut.withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
+    """Adds c<column>: its sum over this score and all before it in order; t<column>: the key's total.
+
+    Rows that bring their range along (ranged()) are not cut anew.
+    """
+    cut = ties if "_r" in ties.columns else ranged(ties, keys, score)
     order = F.desc("_r") if descending else F.asc("_r")
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
     sums = cut.groupBy(*keys, "_r").agg(*(F.sum(c).alias(f"_{c}") for c in columns))  # RANGES rows a key
-    sums = sums.select(*keys, "_r", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_b{c}") for c in columns))
+    sums = sums.select(*keys, "_r", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_b{c}") for c in columns), *(F.sum(f"_{c}").over(whole).alias(f"t{c}") for c in columns))
     inside = Window.partitionBy(*keys, "_r").orderBy(F.desc(score) if descending else F.asc(score)).rowsBetween(Window.unboundedPreceding, 0)
     out = cut.join(sums, [*keys, "_r"])
     return out.withColumns({f"c{c}": F.sum(c).over(inside) + F.col(f"_b{c}") for c in columns}).drop("_r", *(f"_b{c}" for c in columns))
@@ -45,10 +56,27 @@ def roc_auc(scores: DataFrame, keys: list[str], score: str = "score", y: str = "
     return steps.groupBy(*keys).agg(F.when((p > 0) & (p < n), (F.sum(rank * F.col("p")) - p * (p + 1) / 2) / (p * (n - p))).alias("roc_auc"))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys, and the exact quantile (linear interpolation) of each share, by name; nulls are left out.
+
+    Equal values are counted first and ranked over ranges, so no key's values meet in one task.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("n"))
+    steps = running(counted, keys, "_v", ("n",), descending=False)
+    at = lambda rank: F.max(F.when((F.col("cn") - F.col("n") <= rank) & (rank < F.col("cn")), F.col("_v").cast("double")))
+    found = {}
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("tn") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        found |= {f"_{name}_low": at(low), f"_{name}_high": at(high), f"_{name}_part": F.max(place - low)}
+    ends = steps.groupBy(*keys).agg(*(c.alias(k) for k, c in found.items()))
+    return ends.select(*keys, *((F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * F.col(f"_{n}_part")).alias(n) for n in shares))
+
+
 def thresholds(scores: DataFrame, keys: list[str], share: float = 30 / 1440, score: str = "score") -> DataFrame:
-    """keys, threshold: the score's quantile at 1 - share, in the score's own type."""
+    """keys, threshold: the score's quantile at 1 - share, in the score's own type. Take it from validation scores."""
     kind = scores.schema[score].dataType
-    return scores.groupBy(*keys).agg(F.percentile(score, F.lit(1 - share)).cast(kind).alias("threshold"))
+    return quantiles(scores, keys, score, {"threshold": 1 - share}).withColumn("threshold", F.col("threshold").cast(kind))
 
 
 def confusion(scores: DataFrame, keys: list[str], y: str = "y", alarm: str = "alarm") -> DataFrame:
@@ -60,10 +88,13 @@ def confusion(scores: DataFrame, keys: list[str], y: str = "y", alarm: str = "al
     return c.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "base_rate": ratio(tp + fn, tp + fp + fn + tn)})
 
 
-def event_detection(onsets: DataFrame, scores: DataFrame, keys: list[str], horizon: int, row: str = "row") -> DataFrame:
-    """onsets (keys, row, ...), scores (keys, row, alarm): each onset with detected and lead (rows, earliest alarm in [row - horizon, row - 1])."""
+def event_detection(onsets: DataFrame, scores: DataFrame, keys: list[str], horizon: int | str, row: str = "row") -> DataFrame:
+    """onsets (keys, row, ...), scores (keys, row, alarm): each onset with detected and lead (rows, earliest alarm in [row - horizon, row - 1]).
+
+    horizon: a number, or a column of the onsets."""
     id_columns = onsets.columns
-    asked = onsets.select(*id_columns, F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("_k")).withColumn("_at", F.col(row) - F.col("_k"))
+    upto = F.col(horizon) if isinstance(horizon, str) else F.lit(horizon)
+    asked = onsets.select(*id_columns, F.explode(F.sequence(F.lit(1), upto)).alias("_k")).withColumn("_at", F.col(row) - F.col("_k"))
     alarms = scores.where("alarm").select(*keys, F.col(row).alias("_at"), F.lit(True).alias("_hit")).distinct()
     met = asked.join(alarms, [*keys, "_at"], "left")
     return met.groupBy(*id_columns).agg(F.max(F.when(F.col("_hit"), F.col("_k"))).alias("lead")).withColumn("detected", F.col("lead").isNotNull())
@@ -76,7 +107,11 @@ def event_summary(detected: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def false_alarm_episodes(scores: DataFrame, keys: list[str], row: str = "row", y: str = "y") -> DataFrame:
-    """Starts of runs of alarmed negatives on adjacent usable rows. keys: what a sequence of rows belongs to (a day)."""
+    """Starts of runs of alarmed negatives on adjacent usable rows. keys: what a sequence of rows belongs to.
+
+    With the day among the keys no fold is sorted in one task; no run crosses midnight, as a day's last rows have no
+    whole look-ahead and its first ones no whole window.
+    """
     w = Window.partitionBy(*keys).orderBy(row)
     fa = F.col("alarm") & (F.col(y) == 0)
     marked = scores.withColumn("_fa", fa).withColumns({"_pf": F.lag("_fa").over(w), "_pr": F.lag(row).over(w)})
@@ -95,24 +130,63 @@ def row_numbers(rows: DataFrame, keys: list[str], order: str, row: str = "i") ->
 
 
 def block_draws(counts: DataFrame, reps: int = 300, block: int = 60, seed: int = 20260916) -> DataFrame:
-    """keys, rep, start, upto for each key of counts (keys, n_rows): blocks start..upto-1 of the key's own rows."""
-    per = F.greatest(F.lit(1), F.ceil(F.col("n_rows") / block)).cast("long")
+    """keys, rep, start, upto for each key of counts (keys, n_rows): n_rows div block blocks (one at least) of the key's own
+    rows, start..upto-1; starts are drawn up to n_rows - block by a hash of seed, repetition and block. (The study draws below that, so its last
+    row is in no block.)"""
+    per = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n_rows") / block))
     asked = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), per - 1)))
-    starts = asked.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "rep", "_b"), F.greatest(F.lit(1).cast("long"), F.col("n_rows") - block + 1)))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), "rep", "_b")), 1, 12), 16, 10).cast("long")
+    starts = asked.withColumn("start", drawn % F.greatest(F.lit(1).cast("long"), F.col("n_rows") - block + 1))
     return starts.withColumn("upto", F.least(F.col("start") + block, F.col("n_rows"))).drop("_b", "n_rows")
 
 
 def block_bootstrap(scores: DataFrame, keys: list[str], n_rows: int | DataFrame, row: str = "i", reps: int = 300, block: int = 60, seed: int = 20260916) -> DataFrame:
     """keys, pr_auc_lo, pr_auc_hi: 2.5 and 97.5 percentiles of PR-AUC over block resamples of all rows 0..n_rows-1 of each key.
 
-    n_rows: a number that all keys share, or a table keys, n_rows. The drawn block starts, reps x (n_rows / block) numbers
-    a key, are a table that is joined by key and row; repetitions without positives are left out.
+    n_rows: a number that all keys share, or a table keys, n_rows. The drawn blocks are a table that is joined by key and
+    row; repetitions of one class only are left out, and a key of one class has null bounds.
     """
     counts = n_rows if isinstance(n_rows, DataFrame) else scores.select(*keys).distinct().withColumn("n_rows", F.lit(n_rows).cast("long"))
     drawn = block_draws(counts, reps, block, seed).select(*keys, "rep", F.explode(F.sequence(F.col("start"), F.col("upto") - 1)).alias(row))
-    aps = pr_auc(scores.join(drawn, [*keys, row]), [*keys, "rep"])
-    q = F.percentile("pr_auc", F.array(F.lit(0.025), F.lit(0.975)))
-    return aps.groupBy(*keys).agg(q.alias("_q")).select(*keys, F.col("_q")[0].alias("pr_auc_lo"), F.col("_q")[1].alias("pr_auc_hi"))
+    # Ranges of the scores are cut once, not in each repetition.
+    drawn_scores = ranged(scores.select(*keys, row, "score", F.col("y").cast("long").alias("y")), keys).join(drawn, [*keys, row])
+    ties = drawn_scores.groupBy(*keys, "rep", "_r", "score").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    steps = running(ties, [*keys, "rep"])
+    both = (F.max("tp") > 0) & (F.max("tp") < F.max("tn"))
+    aps = steps.groupBy(*keys, "rep").agg(F.when(both, F.sum(F.try_divide("p", "tp") * F.col("cp") / F.col("cn"))).alias("pr_auc"))
+    q = F.percentile("pr_auc", F.array(F.lit(0.025), F.lit(0.975)))  # `reps` numbers a key
+    bounds = aps.groupBy(*keys).agg(q.alias("_q"))
+    classes = scores.groupBy(*keys).agg((F.min("y") < F.max("y")).alias("_both"))
+    out = classes.join(bounds, keys, "left")
+    told = lambda i: F.when(F.col("_both"), F.col("_q")[i])
+    return out.select(*keys, told(0).alias("pr_auc_lo"), told(1).alias("pr_auc_hi"))
+
+
+def metrics(predictions: DataFrame, onsets: DataFrame, test_days: DataFrame, run: list[str], horizon: str = "horizon", fold: str = "fold", reps: int = 300, block: int = 60) -> DataFrame:
+    """A row a run and horizon, its folds pooled: from alarms to base rate, PR-AUC with its interval, ROC-AUC, confusion, events, false alarms.
+
+    predictions: run, horizon, fold, day, row, y, score, alarm (of test rows); onsets: run, horizon, fold, row and columns
+    that tell them apart (of test days); test_days: run, fold, day. `run`: the columns that name a run.
+    """
+    keys = [*run, horizon]
+    predictions = kept(predictions)  # seven plans read it
+    counts = confusion(predictions, keys)
+    numbered, n_rows = row_numbers(predictions.select(*keys, "row", "y", "score"), keys, "row")
+    bounds = kept(block_bootstrap(kept(numbered), keys, n_rows, reps=reps, block=block))
+    events = event_detection(onsets, predictions, [*keys, fold], horizon)
+    caught = event_summary(events, keys)
+    starts = false_alarm_episodes(predictions, [*keys, fold, "day"]).groupBy(*keys).agg(F.count("*").alias("_starts"))
+    days = test_days.groupBy(*run).agg(F.count("*").alias("test_days"))
+    out = counts.join(pr_auc(predictions, keys), keys).join(roc_auc(predictions, keys), keys).join(bounds, keys).join(caught, keys, "left").join(starts, keys, "left").join(days, run)
+    # Each fold's rate weighted by its days: all starts over all days.
+    return out.withColumns(
+        {
+            "pr_lift": F.col("pr_auc") / F.col("base_rate"),
+            "n_events": F.coalesce("n_events", F.lit(0)),
+            "events_detected": F.coalesce("events_detected", F.lit(0)),
+            "false_alarms_per_day": F.coalesce("_starts", F.lit(0)) / F.col("test_days"),
+        }
+    ).withColumnRenamed("median_lead", "median_lead_min").drop("_starts")
 
 
 def weighted_mean(value: str, weight: str):

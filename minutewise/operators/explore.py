@@ -24,6 +24,11 @@ def onset_profile(times: DataFrame, values: DataFrame, ids: list[str], series: l
     return near.join(base, [*ids, *series]).groupBy(*ids, "minute").agg(F.avg(clip(F.abs(F.col(value) - F.col("_base")), 0.0, bound)).alias("change"))
 
 
+def by_spread(values: DataFrame, fit: DataFrame, series: list[str], value: str = "value") -> DataFrame:
+    """Adds `scaled` = value over the series' training range (q3 - q1); constant series are dropped."""
+    return values.join(fit.where("moving").select(*series, "iqr"), series).withColumn("scaled", F.col(value) / F.col("iqr")).drop("iqr")
+
+
 def whole_windows(times: DataFrame, buckets: int, before: int, after: int) -> DataFrame:
     return times.where((F.col("t") - before >= 0) & (F.col("t") + after <= buckets - 1))
 
@@ -42,15 +47,29 @@ def sample_rows(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
 
 
 def closeup(window: DataFrame, series: list[str], k: int = 4) -> DataFrame:
-    """window (minute, series, value): the k series with the largest contrast between the halves, scaled to 0..1."""
-    half = window.groupBy(*series).agg(
-        F.min("value").alias("low"), (F.max("value") - F.min("value")).alias("range"), F.avg(F.when(F.col("minute") < 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("minute") >= 0, F.col("value"))).alias("b")
+    """window (minute, series, value) of the faulty component: the k series that change most before the fault, scaled to 0..1.
+
+    The history before the fault is cut in two at the middle of its minutes (rounded down); a series' contrast is the
+    distance of the halves' means over its range in the whole window, 0 without a range or a half. Ties go by name.
+    """
+    first = window.agg(F.floor(F.min("minute") / 2).alias("_cut"))  # one number
+    cut = window.join(F.broadcast(first), (F.col("minute") < 0) & (F.col("minute") >= F.col("_cut")), "left")
+    late, early = F.col("_cut").isNotNull(), (F.col("minute") < 0) & F.col("_cut").isNull()
+    half = cut.groupBy(*series).agg(
+        F.min("value").alias("low"), (F.max("value") - F.min("value")).alias("range"), F.avg(F.when(early, F.col("value"))).alias("a"), F.avg(F.when(late, F.col("value"))).alias("b")
     )
-    scored = half.withColumn("contrast", F.when(F.col("range") > 0, F.abs(F.col("b") - F.col("a")) / F.col("range")).otherwise(0.0))
-    best = scored.orderBy(F.desc("contrast"), *series).limit(k)
+    contrast = F.when(F.col("range") > 0, F.coalesce(F.abs(F.col("b") - F.col("a")) / F.col("range"), F.lit(0.0))).otherwise(0.0)
+    best = half.withColumn("contrast", contrast).orderBy(F.desc("contrast"), *series).limit(k)
     return window.join(F.broadcast(best.select(*series, "low", "range", "contrast")), series).withColumn("scaled", (F.col("value") - F.col("low")) / F.when(F.col("range") > 0, F.col("range")).otherwise(1.0))
 
 
+def top_drift(train: DataFrame, series: list[str], k: int = 4) -> DataFrame:
+    """The k series that tell the classes apart best on usable training rows (value, y), each series' days made level first."""
+    from minutewise.operators.features import anova_f, demean, top_k
+
+    return top_k(anova_f(demean(train, [*series, "day"]), series), k, series).select(*series)
+
+
 def drift(values: DataFrame, fit: DataFrame, labels: DataFrame, folds: DataFrame, series: list[str]) -> DataFrame:
     """day, split, series, scaled_mean (all rows of the day), positive_rate (usable rows)."""
     means = values.groupBy("day", *series).agg(F.avg("value").alias("_m"))

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minutewise.functions.scalars import array_median, clip
+from minutewise.operators.evaluate import quantiles
 
 SERIES = ["component", "kpi"]
 
 
 def robust_fit(train: DataFrame, series: list[str] = SERIES, value: str = "value") -> DataFrame:
     """series, median, q1, q3, iqr (1 where it is no more than 1e-9). Exact percentiles, linear interpolation."""
-    fit = train.groupBy(*series).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return fit.select(*series, F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), F.when(iqr > 1e-9, iqr).otherwise(1.0).alias("iqr"), (iqr > 1e-9).alias("moving"))
+    fit = quantiles(train, series, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    iqr = F.col("q3") - F.col("q1")
+    return fit.select(*series, "median", "q1", "q3", F.when(iqr > 1e-9, iqr).otherwise(1.0).alias("iqr"), (iqr > 1e-9).alias("moving"))
 
 
 def robust_scale(values: DataFrame, fit: DataFrame, series: list[str] = SERIES, value: str = "value", bound: float = 10.0) -> DataFrame:
@@ -37,13 +38,15 @@ def anova_f(values: DataFrame, series: list[str] = SERIES, value: str = "value",
     square = F.col("_s") * F.col("_s") / F.col("_n")
     g = m.groupBy(*series).agg(F.sum("_n").alias("_n"), F.count("*").alias("_k"), F.sum("_s").alias("_s"), F.sum("_ss").alias("_ss"), F.sum(square).alias("_b"))
     between, within = F.col("_b") - square, F.col("_ss") - F.col("_b")
-    # As in the study, an infinite F (no spread within the classes) counts as 0.
-    f = F.when((F.col("_k") == 2) & (F.col("_n") > 2) & (within > 1e-12), between / (within / (F.col("_n") - 2))).otherwise(0.0)
+    # As in the study, an infinite F (no spread within the classes, up to rounding) counts as 0, at any scale of the values.
+    f = F.when((F.col("_k") == 2) & (F.col("_n") > 2) & (within > 1e-14 * F.col("_ss")), between / (within / (F.col("_n") - 2))).otherwise(0.0)
     return g.select(*series, f.alias("f"))
 
 
-def top_k(scores: DataFrame, k: int, series: list[str] = SERIES, by: list[str] | None = None, score: str = "f") -> DataFrame:
-    """The k series of the largest score (of each `by` group), ties by name, with their rank."""
+def top_k(scores: DataFrame, k: int, series: list[str] = SERIES, by: list[str] | None = None, score: str = "f", among: DataFrame | None = None) -> DataFrame:
+    """The k series of the largest score (of each `by` group), ties by name, with their rank. among: only these series."""
+    if among is not None:
+        scores = scores.join(among.select(*series).distinct(), series, "left_semi")
     order = [F.desc(score), *series]
     if by:
         return scores.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +47,3 @@ def subsample_rows(train: DataFrame, by: list[str], key: list[str], seed: int, p
     rank = F.row_number().over(Window.partitionBy(*by, "_r").orderBy("_h", *key))
     kept = inside.withColumn("_k", rank).where(F.col("_before") + F.col("_k") <= F.col("negative"))
     return train.where("y = 1").unionByName(kept.select(*train.columns))
-
-
-def any_of(conditions: list):
-    return reduce(lambda a, b: a | b, conditions)

@@ -24,7 +24,7 @@ def fit_logistic(train: DataFrame, columns: list[str], c: float):
     """0.5 |w|^2 + C * sum of weighted log losses, intercept free; trained by Spark over all partitions."""
     data = VectorAssembler(inputCols=columns, outputCol="x").transform(balanced(train)).select("x", F.col("y").cast("double").alias("y"), "weight")
     n = data.count()
-    return LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=100, tol=1e-7).fit(data)
+    return LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-7).fit(data)
 
 
 def score(model, rows: DataFrame, columns: list[str]) -> DataFrame:

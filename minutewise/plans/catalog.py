@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from minutewise.functions import scalars as S
 from minutewise.operators import clean, evaluate, explore, features, labels, logistic, lstm
 from minutewise.operators.grid import lengthen, widen
+from minutewise.operators.stage import kept
 from minutewise.plans import telemetry as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,18 @@ def r6(c) -> F.Column:
     return F.round(c, 6)
 
 
+def bootstrap_sql(source: str, keys: list[str], to: str, reps: int = 300, block: int = 60, seed: int = 20260916) -> str:
+    """Common table expressions up to `to` (keys, pr_auc_lo, pr_auc_hi) for a source of keys, i, y, score."""
+    k, on = ", ".join(keys), " AND ".join(f"d.{c} = s.{c}" for c in keys)
+    return f"""{to}_n AS (SELECT {k}, count(*) AS n_rows, min(y) < max(y) AS two FROM {source} GROUP BY ALL),
+{to}_b AS (SELECT {k}, n_rows, rep, unnest(range(greatest(1, n_rows // {block}))) AS b FROM (SELECT *, unnest(range({reps})) AS rep FROM {to}_n)),
+{to}_d AS (SELECT *, CAST('0x' || substr(md5('{seed}/' || rep || '/' || b), 1, 12) AS BIGINT) % greatest(1, n_rows - {block} + 1) AS start FROM {to}_b),
+{to}_t AS (SELECT {", ".join(f"d.{c}" for c in keys)}, rep, score, count(*) AS n, sum(y) AS p FROM {to}_d d JOIN {source} s ON {on} AND s.i >= d.start AND s.i < d.start + {block} GROUP BY ALL),
+{to}_c AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER (PARTITION BY {k}, rep) AS tp, sum(n) OVER (PARTITION BY {k}, rep) AS tn FROM {to}_t WINDOW w AS (PARTITION BY {k}, rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+{to}_a AS (SELECT {k}, rep, sum(p / tp * cp / cn) AS ap FROM {to}_c WHERE tp > 0 AND tp < tn GROUP BY ALL),
+{to} AS (SELECT n.*, lo AS pr_auc_lo, hi AS pr_auc_hi FROM {to}_n n LEFT JOIN (SELECT {k}, quantile_cont(ap, 0.025) AS lo, quantile_cont(ap, 0.975) AS hi FROM {to}_a GROUP BY ALL) USING ({k}))"""
+
+
 # Fault record and report tables
 
 
@@ -338,11 +351,16 @@ def threshold_confusion(spark, sf):
     return c.withColumns({k: r6(k) for k in ("precision", "recall", "f1", "base_rate")})
 
 
-@query()
+@query(
+    f"""WITH s AS (SELECT doc_id % 5 AS g, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY doc_id) - 1 AS i, quality AS y, n_chars AS score FROM labels JOIN documents USING (doc_id)),
+{bootstrap_sql("s", ["g"], "bt")} SELECT g, round(pr_auc_lo, 6) AS pr_auc_lo, round(pr_auc_hi, 6) AS pr_auc_hi FROM bt""",
+    base=False,
+)
 def bootstrap_ci(spark, sf):
     s = T.table(spark, sf, "labels").join(T.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
     ranked, n = evaluate.row_numbers(s.withColumn("g", F.col("doc_id") % 5), ["g"], "doc_id")
-    return evaluate.block_bootstrap(ranked.select("g", "i", F.col("quality").alias("y"), F.col("n_chars").alias("score")), ["g"], n)
+    out = evaluate.block_bootstrap(ranked.select("g", "i", F.col("quality").alias("y"), F.col("n_chars").alias("score")), ["g"], n)
+    return out.withColumns({c: r6(c) for c in ("pr_auc_lo", "pr_auc_hi")})
 
 
 # Events
@@ -371,7 +389,7 @@ EPISODES = "ep AS (SELECT *, alarm AND y = 0 AS fa_now, lag(alarm AND y = 0) OVE
 
 @query(f", {EPISODES} SELECT fold, day, t FROM st")
 def false_alarm_episodes(spark, sf):
-    return evaluate.false_alarm_episodes(T.predictions(spark, sf), ["fold"]).select("fold", "day", "t")
+    return evaluate.false_alarm_episodes(T.predictions(spark, sf), ["fold", "day"]).select("fold", "day", "t")
 
 
 @query(
@@ -382,7 +400,7 @@ SELECT 'pooled' AS fold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT)
 def pooled_metrics(spark, sf):
     p = T.predictions(spark, sf)
     by_fold = evaluate.confusion(p, ["fold"]).join(p.groupBy("fold").agg(F.count_distinct("day").alias("test_days")), "fold")
-    starts = evaluate.false_alarm_episodes(p, ["fold"]).groupBy("fold").agg(F.count("*").alias("starts"))
+    starts = evaluate.false_alarm_episodes(p, ["fold", "day"]).groupBy("fold").agg(F.count("*").alias("starts"))
     rates = by_fold.join(starts, "fold", "left").withColumn("rate", F.coalesce("starts", F.lit(0)) / F.col("test_days"))
     return rates.agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")), r6(evaluate.weighted_mean("rate", "test_days")).alias("false_alarms_per_day")).withColumn("fold", F.lit("pooled"))
 
@@ -406,8 +424,9 @@ def histogram(spark, sf):
     return li.groupBy("l_returnflag", F.floor(F.col("l_discount") / 0.025 + 1e-9).alias("bin")).agg(F.count("*").alias("n"))
 
 
-PROFILE = """tm AS (SELECT DISTINCT day, t, component, reason FROM fa WHERE t - 6 >= 0 AND t + 3 <= 47),
-nr AS (SELECT tm.day, tm.t, tm.reason, tm.component, m.component AS mc, m.kpi, m.t - tm.t AS minute, m.value FROM tm JOIN mn m ON m.day = tm.day AND m.t BETWEEN tm.t - 6 AND tm.t + 3),
+PROFILE = """sp AS (SELECT component, kpi, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS q FROM mn JOIN td USING (day) GROUP BY ALL HAVING q > 1e-9),
+tm AS (SELECT DISTINCT day, t, component, reason FROM fa WHERE t - 6 >= 0 AND t + 3 <= 47),
+nr AS (SELECT tm.day, tm.t, tm.reason, tm.component, m.component AS mc, m.kpi, m.t - tm.t AS minute, m.value / sp.q AS value FROM tm JOIN mn m ON m.day = tm.day AND m.t BETWEEN tm.t - 6 AND tm.t + 3 JOIN sp ON sp.component = m.component AND sp.kpi = m.kpi),
 bs AS (SELECT day, t, reason, component, mc, kpi, quantile_cont(value, 0.5) AS base FROM nr WHERE minute <= -4 GROUP BY ALL),
 pf AS (SELECT day, t, reason, component, minute, avg(least(abs(value - base), 10)) AS change FROM nr JOIN bs USING (day, t, reason, component, mc, kpi) GROUP BY ALL)"""
 
@@ -415,7 +434,9 @@ pf AS (SELECT day, t, reason, component, minute, avg(least(abs(value - base), 10
 def profile(spark, sf):
     times = explore.whole_windows(T.faults(spark, sf).select("day", "t", "component", "reason").distinct(), T.BUCKETS, 6, 3)
     ids = ["day", "onset", "component", "reason"]
-    values = T.means(spark, sf).select("day", "t", F.col("component").alias("mc"), "kpi", F.col("value").alias("scaled"))
+    means = T.means(spark, sf)
+    fit = features.robust_fit(means.join(F.broadcast(T.train_days(spark, sf)), "day", "left_semi"))
+    values = explore.by_spread(means, fit, SERIES).select("day", "t", F.col("component").alias("mc"), "kpi", "scaled")
     return explore.onset_profile(times.withColumn("onset", F.col("t")), values, ids, ["mc", "kpi"], 6, 3, 4)
 
 
@@ -461,14 +482,15 @@ def quiet_sample(spark, sf):
 
 
 @query(
-    """, f1 AS (SELECT day, t FROM fa ORDER BY ts, event_id LIMIT 1), wd AS (SELECT m.component, m.kpi, CAST(m.t - f1.t AS INTEGER) AS minute, m.value FROM mn m JOIN f1 ON m.day = f1.day AND m.t BETWEEN f1.t - 6 AND f1.t + 6),
-hf AS (SELECT component, kpi, min(value) AS low, max(value) - min(value) AS range, avg(value) FILTER (minute < 0) AS a, avg(value) FILTER (minute >= 0) AS b FROM wd GROUP BY ALL),
-bt AS (SELECT *, coalesce(CASE WHEN range > 0 THEN abs(b - a) / range ELSE 0 END, NULL) AS contrast FROM hf ORDER BY contrast DESC NULLS LAST, component, kpi LIMIT 4)
+    """, f1 AS (SELECT day, t, component FROM fa ORDER BY ts, event_id LIMIT 1), wd AS (SELECT m.component, m.kpi, CAST(m.t - f1.t AS INTEGER) AS minute, m.value FROM mn m JOIN f1 ON m.day = f1.day AND m.component = f1.component AND m.t BETWEEN f1.t - 6 AND f1.t + 6),
+cu AS (SELECT floor(min(minute) / 2) AS cut FROM wd),
+hf AS (SELECT component, kpi, min(value) AS low, max(value) - min(value) AS range, avg(value) FILTER (minute < cut) AS a, avg(value) FILTER (minute < 0 AND minute >= cut) AS b FROM wd, cu GROUP BY ALL),
+bt AS (SELECT *, CASE WHEN range > 0 THEN coalesce(abs(b - a) / range, 0) ELSE 0 END AS contrast FROM hf ORDER BY contrast DESC, component, kpi LIMIT 4)
 SELECT component, kpi, minute, round((value - low) / CASE WHEN range > 0 THEN range ELSE 1 END, 6) AS scaled FROM wd JOIN bt USING (component, kpi)"""
 )
 def closeup(spark, sf):
-    first = T.faults(spark, sf).orderBy("ts", "event_id").select("day", "t").limit(1)
-    window = explore.around(first, T.means(spark, sf).select("day", "t", *SERIES, "value"), 6, 6)
+    first = T.faults(spark, sf).orderBy("ts", "event_id").select("day", "t", F.col("component").alias("_of")).limit(1)
+    window = explore.around(first, T.means(spark, sf).select("day", "t", *SERIES, "value"), 6, 6).where("component = _of").drop("_of")
     return explore.closeup(window, SERIES).select(*SERIES, "minute", r6("scaled").alias("scaled"))
 
 
@@ -527,7 +549,7 @@ def string_funcs(spark, sf):
         F.regexp_extract("p_type", "^[^ ]+", 0).alias("first_word"),
         F.regexp_replace("p_type", "^[^ ]+ ", "").alias("rest"),
         F.regexp_replace("p_type", " ", ": ").alias("replaced"),
-        F.concat(F.upper(F.substring("p_brand", 1, 1)), F.lower(F.expr("substring(p_brand, 2)"))).alias("title"),
+        S.title_case(F.col("p_brand")).alias("title"),
         F.when(F.col("p_size") <= 10, "small").when(F.col("p_size") <= 30, "middle").otherwise("large").alias("size_class"),
     )
 
@@ -574,25 +596,64 @@ def model_rows(spark, sf):
 def logreg_scores(spark, sf):
     columns = ["last", "mean", "std", "min", "max", "delta"]
     rows = model_rows(spark, sf).drop("window")
-    scaled = features.standardise(rows, rows.where("split = 'train'"), ["fold"], columns).persist()
+    scaled = kept(features.standardise(rows, rows.where("split = 'train'"), ["fold"], columns))
     _, model, _ = logistic.choose_c(scaled.where("split = 'train'"), scaled.where("split = 'val'"), columns)
     return logistic.score(model, scaled.where("split = 'test'"), columns).select("fold", "day", "t", "y", "score")
 
 
-def lstm_rows(spark, sf):
-    return model_rows(spark, sf).select("fold", "split", "day", "t", "y", F.transform("window", lambda x: F.array((x - 50) / 25, F.abs(x - 50) / 25)).alias("window"))
+def lstm_rows(spark, sf, horizons=(1, 3, 6), length=T.LOOKBACK):
+    """fold, horizon, split, day, t, y, window (two features a step): training rows subsampled, both kinds of folds, so that each model's
+    group is bounded by its quota and a validation day."""
+    windows = features.look_back(bucket_scores(spark, sf), length, ["day"], "score", pad=length > T.LOOKBACK).withColumn("window", F.transform("window", lambda x: F.array((x - 50) / 25, F.abs(x - 50) / 25)))
+    folds = T.chrono(spark, sf).unionByName(T.cv(spark, sf))
+    rows = T.labels(spark, sf, list(horizons)).where("usable").join(folds, "day").join(windows, ["day", "t"]).select("fold", "horizon", "split", "day", "t", "y", "window")
+    return labels.subsample_rows(rows.where("split = 'train'"), ["fold", "horizon"], ["day", "t"], 20260916).unionByName(rows.where("split <> 'train'"))
+
+
+MODEL = ["fold", "horizon"]
+
+
+def lstm_fitted(spark, sf):
+    rows = kept(lstm_rows(spark, sf))
+    return rows, kept(lstm.fit_models(rows, MODEL))
+
+
+@query()
+def lstm_history(spark, sf):
+    return lstm.history(lstm_fitted(spark, sf)[1], MODEL)
 
 
 @query()
 def lstm_scores(spark, sf):
-    return lstm.lstm_scores(lstm_rows(spark, sf), ["fold"], hidden=8, epochs=3)
+    return lstm.lstm_scores(*lstm_fitted(spark, sf), MODEL)
 
 
 @query()
 def lstm_gates(spark, sf):
-    return lstm.lstm_gates(lstm_rows(spark, sf), ["fold"], hidden=8, epochs=2)
+    return lstm.lstm_gates(*lstm_fitted(spark, sf), MODEL)
 
 
 @query()
 def lstm_saliency(spark, sf):
-    return lstm.lstm_saliency(lstm_rows(spark, sf), ["fold"], hidden=8, epochs=2)
+    return lstm.saliency_time(lstm.lstm_saliency(*lstm_fitted(spark, sf), MODEL), MODEL)
+
+
+@query()
+def lstm_top_features(spark, sf):
+    return lstm.saliency_feature(lstm.lstm_saliency(*lstm_fitted(spark, sf), MODEL), MODEL)
+
+
+#: The study's settings: look-backs, sizes and seeds, the others at their defaults.
+STUDY = [(3, 64, 20260916), (6, 64, 20260916), (12, 64, 20260916), (6, 8, 20260916), (6, 16, 20260916), (6, 32, 20260916), (6, 64, 1), (6, 64, 2), (6, 64, 3), (6, 64, 4)]
+
+
+@query()
+def lstm_study(spark, sf):
+    rows = None
+    for lookback, hidden, seed in STUDY:
+        of = lstm_rows(spark, sf, [T.HORIZON], lookback).where("fold = 'chrono'")
+        one = of.withColumns({"lookback": F.lit(lookback), "hidden": F.lit(hidden), "seed": F.lit(seed).cast("long")})
+        rows = one if rows is None else rows.unionByName(one)
+    rows, by = kept(rows), ["lookback", "hidden", "seed"]
+    models = kept(lstm.fit_models(rows, by))
+    return lstm.sweep(lstm.lstm_scores(rows, models, by), models, by)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from minutewise.functions.scalars import interval, percent, series_component, series_kpi, signed, title_case
 
+#: Run names with their labels, and the prefixes that are cut from metric names. The other strings of this
+#: module (labels of stages, kinds, metrics and settings) are the report's too.
 RUNS = {"chrono-level": "Chronological, level", "chrono-change": "Chronological, change", "cv-level": "Cross-validation, level", "cv-change": "Cross-validation, change"}
 KPI_PREFIXES = r"^OSLinux-OSLinux_|^Mysql-MySQL_3306_|^redis-Redis_6379_"
 
@@ -59,9 +61,9 @@ def profile_band(profiles: DataFrame) -> DataFrame:  # Q7, profiles: system, kin
     return out.withColumns({"low": F.col("mean") - 1.96 * F.col("se"), "high": F.col("mean") + 1.96 * F.col("se")})
 
 
-def change_by_type(profiles: DataFrame) -> DataFrame:  # Q8, profiles: system, kind, reason, onset, minute, change
+def change_by_type(profiles: DataFrame, base_to: int = -30, onset_to: int = 5) -> DataFrame:  # Q8, profiles: system, kind, reason, onset, minute, change
     m = F.col("minute")
-    period = F.when(m < -30, "base").when(m < 0, "pre").when(m <= 5, "onset").otherwise("later")
+    period = F.when(m < base_to, "base").when(m < 0, "pre").when(m <= onset_to, "onset").otherwise("later")
     f = profiles.where("kind = 'fault'").withColumn("period", period)
     n = f.groupBy("system", "reason").agg(F.count_distinct("onset").alias("faults"))
     wide = f.groupBy("system", "reason").pivot("period", ["base", "pre", "onset", "later"]).agg(F.avg("change"))
@@ -69,13 +71,14 @@ def change_by_type(profiles: DataFrame) -> DataFrame:  # Q8, profiles: system, k
     return out.orderBy("system", F.desc("faults"), "reason")
 
 
-def metrics_table(metrics: DataFrame, predictions: DataFrame | None = None) -> DataFrame:  # Q9
-    """The alarmed share comes from predictions, or, where these are gone, from the confusion counts, which give the same."""
+def metrics_table(metrics: DataFrame, predictions: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:  # Q9
+    """A row a horizon (of each of `keys`). The alarmed share comes from predictions, or, where these are gone, from the confusion counts, which give the same."""
     if predictions is None:
         alarmed = metrics.withColumn("alarmed", (F.col("tp") + F.col("fp")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
     else:
-        alarmed = metrics.join(predictions.groupBy("horizon").agg(F.avg(F.col("alarm").cast("double")).alias("alarmed")), "horizon", "left")
+        alarmed = metrics.join(predictions.groupBy(*keys, "horizon").agg(F.avg(F.col("alarm").cast("double")).alias("alarmed")), [*keys, "horizon"], "left")
     return alarmed.select(
+        *keys,
         "horizon",
         F.bround("base_rate", 3).alias("base_rate"),
         interval(F.col("pr_auc"), F.col("pr_auc_lo"), F.col("pr_auc_hi")).alias("pr_auc"),
@@ -87,11 +90,11 @@ def metrics_table(metrics: DataFrame, predictions: DataFrame | None = None) -> D
     )
 
 
-def history_long(history: DataFrame) -> DataFrame:  # Q10
-    long = history.unpivot(["horizon", "epoch", "best_epoch", "fold"], ["train_loss", "val_pr_auc"], "metric", "value")
+def history_long(history: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:  # Q10
+    long = history.unpivot([*keys, "horizon", "epoch", "best_epoch", "fold"], ["train_loss", "val_pr_auc"], "metric", "value")
     name = F.when(F.col("metric") == "train_loss", "Training loss").otherwise("Validation PR-AUC")
     best = (F.col("epoch") == F.col("best_epoch")) & (F.col("metric") == "val_pr_auc")
-    return long.select("horizon", F.concat(F.lit("H = "), F.col("horizon")).alias("h"), "epoch", name.alias("metric"), "value", best.alias("is_best")).orderBy("horizon", "metric", "epoch")
+    return long.select(*keys, "horizon", F.concat(F.lit("H = "), F.col("horizon")).alias("h"), "epoch", name.alias("metric"), "value", best.alias("is_best")).orderBy("horizon", "metric", "epoch")
 
 
 def timeline(predictions: DataFrame, metrics: DataFrame, faults: DataFrame, system: str, test_start: str, horizon: int = 5, offset: int = 28800) -> tuple[DataFrame, DataFrame]:  # Q11
@@ -111,13 +114,13 @@ def drift_table(drift: DataFrame, strip: str) -> tuple[DataFrame, DataFrame]:  #
     return out, out.select("x", "label", "split").distinct()
 
 
-def lift_by_run(runs: DataFrame) -> DataFrame:  # Q13, runs: metrics with run, run_order
-    return runs.select("run", "run_order", "horizon", "pr_lift", (F.col("pr_auc_lo") / F.col("base_rate")).alias("lift_lo"), (F.col("pr_auc_hi") / F.col("base_rate")).alias("lift_hi")).orderBy("run_order", "horizon")
+def lift_by_run(runs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:  # Q13, runs: metrics with run, run_order
+    return runs.select(*keys, "run", "run_order", "horizon", "pr_lift", (F.col("pr_auc_lo") / F.col("base_rate")).alias("lift_lo"), (F.col("pr_auc_hi") / F.col("base_rate")).alias("lift_hi")).orderBy("run_order", "horizon")
 
 
-def split_table(splits: DataFrame, horizon: int = 5) -> DataFrame:  # Q14
+def split_table(splits: DataFrame, horizon: int = 5, year: str = "20(20|21)-") -> DataFrame:  # Q14
     s = splits.where(F.col("horizon") == horizon)
-    return s.select("system", title_case("split").alias("split"), F.regexp_replace("days", "20(20|21)-", "").alias("days"), "windows", "positive", percent(F.col("positive") / F.col("windows")).alias("share"), "shape")
+    return s.select("system", title_case("split").alias("split"), F.regexp_replace("days", year, "").alias("days"), "windows", "positive", percent(F.col("positive") / F.col("windows")).alias("share"), "shape")
 
 
 def study_lifts(lookback: DataFrame, hidden: DataFrame) -> DataFrame:  # Q15

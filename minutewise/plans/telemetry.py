@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from minutewise.operators.evaluate import thresholds
 from minutewise.operators.folds import chrono_folds, cv_folds
 from minutewise.operators.grid import bucket_of_time, exact_grid, grid_mean, reindex
 from minutewise.operators.labels import label_and_mask
@@ -57,12 +58,15 @@ def train_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chrono(spark, sf_dir).where("split = 'train'").select("day")
 
 
-def predictions(spark: SparkSession, sf_dir: str, share: float = 0.9) -> DataFrame:
-    """fold, day, t, row, y, score, threshold, alarm of usable test buckets: the score is the bucket's mean reading."""
+def predictions(spark: SparkSession, sf_dir: str, share: float = 0.1) -> DataFrame:
+    """fold, day, t, row, y, score, threshold, alarm of usable test buckets: the score is the bucket's mean reading.
+
+    A fold's threshold is cut from its validation scores, so that a share of these alarms.
+    """
     score = readings(spark, sf_dir).groupBy("day", "t").agg(F.round(F.avg("value"), 9).alias("score"))
-    usable = labels(spark, sf_dir).where("usable").join(cv(spark, sf_dir).where("split = 'test'"), "day").join(score, ["day", "t"])
-    cut = usable.groupBy("fold").agg(F.round(F.percentile("score", F.lit(share)), 6).alias("threshold"))
-    return usable.join(cut, "fold").select("fold", "day", "t", row_of("day", "t").alias("row"), "y", "score", "threshold", (F.col("score") >= F.col("threshold")).alias("alarm"))
+    usable = labels(spark, sf_dir).where("usable").join(cv(spark, sf_dir).where("split <> 'train'"), "day").join(score, ["day", "t"])
+    cut = thresholds(usable.where("split = 'val'"), ["fold"], share).withColumn("threshold", F.round("threshold", 6))
+    return usable.where("split = 'test'").join(cut, "fold").select("fold", "day", "t", row_of("day", "t").alias("row"), "y", "score", "threshold", (F.col("score") >= F.col("threshold")).alias("alarm"))
 
 
 def row_of(day: str, t: str):
@@ -92,7 +96,8 @@ td AS (SELECT day FROM ch WHERE split = 'train'),
 cp AS (SELECT k, day, i, i // 2 = k AS is_test, max(CASE WHEN i // 2 <> k THEN i END) OVER (PARTITION BY k) AS last FROM nd CROSS JOIN (SELECT DISTINCT i // 2 AS k FROM nd)),
 cf AS (SELECT 'cv' || (k + 1) AS fold, CASE WHEN is_test THEN 'test' WHEN i = last THEN 'val' ELSE 'train' END AS split, day FROM cp),
 sc AS (SELECT day, t, round(avg(value), 9) AS score FROM rd GROUP BY ALL),
-us AS (SELECT cf.fold, l.day, l.t, l.y, s.score FROM lb l JOIN cf ON cf.day = l.day AND cf.split = 'test' JOIN sc s ON s.day = l.day AND s.t = l.t WHERE l.horizon = 3 AND l.usable),
-ct AS (SELECT fold, round(quantile_cont(score, 0.9), 6) AS threshold FROM us GROUP BY fold),
+uv AS (SELECT cf.fold, cf.split, l.day, l.t, l.y, s.score FROM lb l JOIN cf ON cf.day = l.day AND cf.split <> 'train' JOIN sc s ON s.day = l.day AND s.t = l.t WHERE l.horizon = 3 AND l.usable),
+us AS (SELECT * EXCLUDE (split) FROM uv WHERE split = 'test'),
+ct AS (SELECT fold, round(quantile_cont(score, 0.9), 6) AS threshold FROM uv WHERE split = 'val' GROUP BY fold),
 pr AS (SELECT us.*, CAST(datediff('day', DATE '1970-01-01', us.day) AS BIGINT) * 48 + us.t AS row, threshold, score >= threshold AS alarm FROM us JOIN ct USING (fold))
 """

@@ -67,7 +67,7 @@ def test_ranking_metrics_like_numpy(spark):
     ap = {r["k"]: r["pr_auc"] for r in evaluate.pr_auc(df, ["k"]).collect()}
     roc = {r["k"]: r["roc_auc"] for r in evaluate.roc_auc(df, ["k"]).collect()}
     for k, g in p.groupby("k"):
-        assert abs(ap[k] - lstm.average_precision(g.y.to_numpy(), g.score.to_numpy())) < 1e-12
+        assert abs(ap[k] - lstm.pr_area(g.y.to_numpy(), g.score.to_numpy())) < 1e-12
         ranks, n = g.score.rank(), g.y.sum()
         assert abs(roc[k] - (ranks[g.y == 1].sum() - n * (n + 1) / 2) / (n * (len(g) - n))) < 1e-12
     assert evaluate.pr_auc(df.where("y = 0"), ["k"]).first()["pr_auc"] is None
@@ -81,7 +81,7 @@ def test_average_precision_ignores_row_order(rows, random):
     y, s = np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows])
     order = list(range(len(rows)))
     random.shuffle(order)
-    a, b = lstm.average_precision(y, s), lstm.average_precision(y[order], np.exp(s[order]))
+    a, b = lstm.pr_area(y, s), lstm.pr_area(y[order], np.exp(s[order]))
     assert (np.isnan(a) and np.isnan(b)) or abs(a - b) < 1e-12
 
 
@@ -195,3 +195,99 @@ def test_stream_minute_means(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["value"] for r in spark.table("minutes").collect()} == {15.0} and spark.table("minutes").count() == 3
+
+
+def test_exact_quantiles_over_ranges(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, None if rng.random() < 0.1 else float(rng.integers(0, 40) if k == "a" else rng.normal())) for k in "abc" for _ in range(500 if k != "c" else 1)]
+    rows[-1] = ("c", 2.5)
+    shares = {"low": 0.025, "mid": 0.5, "high": 0.9, "top": 1.0}
+    got = {r["k"]: r for r in evaluate.quantiles(frame(spark, rows, "k string, v double"), ["k"], "v", shares).collect()}
+    for k in "abc":
+        v = [x for key, x in rows if key == k and x is not None]
+        assert np.allclose([got[k][s] for s in shares], np.quantile(v, list(shares.values())))
+
+
+def test_closeup_by_the_halves_before_the_fault(spark):
+    rng = np.random.default_rng(8)
+    minutes = range(-7, 5)
+    table = {s: {m: float(rng.normal() + 3 * (s == "b" and m >= -4)) for m in minutes} for s in "abcdef"}
+    table["f"] = dict.fromkeys(minutes, 1.0)
+    got = explore.closeup(frame(spark, [(s, m, v) for s, vs in table.items() for m, v in vs.items()], "s string, minute int, value double"), ["s"], 3).collect()
+    contrast = {}
+    for s, vs in table.items():
+        late, early = [v for m, v in vs.items() if -4 <= m < 0], [v for m, v in vs.items() if m < -4]
+        spread = max(vs.values()) - min(vs.values())
+        contrast[s] = abs(np.mean(late) - np.mean(early)) / spread if spread else 0
+    best = sorted(contrast, key=lambda s: (-contrast[s], s))[:3]
+    assert {r["s"] for r in got} == set(best) and "b" in best
+    assert all(abs(r["scaled"] - (table[r["s"]][r["minute"]] - min(table[r["s"]].values())) / (max(table[r["s"]].values()) - min(table[r["s"]].values()))) < 1e-12 for r in got)
+
+
+def test_run_metrics_by_hand(spark):
+    rng = np.random.default_rng(9)
+    rows, onsets = [], [("r", 2, f, e, 48 * (3 * f + e) + 20) for f in (0, 1) for e in range(3)]
+    for f in (0, 1):
+        for d in range(3):
+            for t in range(5, 40):
+                row = 48 * (3 * f + d) + t
+                rows.append(("r", 2, f, 3 * f + d, row, int(t in (18, 19)), float(np.round(rng.random(), 2)), bool(rng.random() < 0.3)))
+    p = frame(spark, rows, "run string, horizon int, fold int, day int, row long, y int, score double, alarm boolean")
+    days = frame(spark, [("r", f, 3 * f + d) for f in (0, 1) for d in range(3)], "run string, fold int, day int")
+    m = evaluate.metrics(p, frame(spark, onsets, "run string, horizon int, fold int, event int, row long"), days, ["run"], reps=20, block=10).first()
+    y, s, a = (np.array([r[i] for r in rows]) for i in (5, 6, 7))
+    assert (m["tp"], m["fp"], m["fn"], m["tn"]) == (int((a & (y == 1)).sum()), int((a & (y == 0)).sum()), int((~a & (y == 1)).sum()), int((~a & (y == 0)).sum()))
+    steps = [(y[s == v].sum(), y[s >= v]) for v in np.unique(s)]
+    assert abs(m["pr_auc"] - sum(n / y.sum() * above.mean() for n, above in steps)) < 1e-12 and abs(m["base_rate"] - y.mean()) < 1e-12
+    assert abs(m["roc_auc"] - np.mean([(x > z) + 0.5 * (x == z) for x in s[y == 1] for z in s[y == 0]])) < 1e-12
+    alarmed = {r[4] for r in rows if r[7]}
+    leads = [next((k for k in (2, 1) if row - k in alarmed), None) for *_, row in onsets]
+    assert (m["n_events"], m["events_detected"]) == (6, sum(x is not None for x in leads)) and m["median_lead_min"] == np.median([x for x in leads if x])
+    false = [bool(r[7] and not r[5]) for r in rows]
+    starts = sum(f and not (false[i - 1] and rows[i][4] - rows[i - 1][4] == 1) if i else f for i, f in enumerate(false))
+    assert abs(m["false_alarms_per_day"] - starts / 6) < 1e-12 and m["test_days"] == 6 and m["pr_auc_lo"] < m["pr_auc_hi"]
+
+
+def test_anova_of_small_and_constant_series(spark):
+    rows = [("tiny", y, 1e-9 * (y + k / 10)) for y in (0, 1) for k in range(10)] + [("flat", y, 0.1) for y in (0, 1) for _ in range(10)] + [("split", y, 5.0 + y) for y in (0, 1) for _ in range(10)]
+    f = {r["s"]: r["f"] for r in features.anova_f(frame(spark, rows, "s string, y int, value double"), ["s"]).collect()}
+    assert f["tiny"] > 10 and f["flat"] == 0 and f["split"] == 0
+    assert [r["s"] for r in features.top_k(features.anova_f(frame(spark, rows, "s string, y int, value double"), ["s"]), 2, ["s"], among=frame(spark, [("flat",)], "s string")).collect()] == ["flat"]
+
+
+def test_pr_area_with_ties():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        y, s = rng.integers(0, 2, 40), rng.integers(0, 8, 40) / 8
+        want = sum(y[s == v].sum() / y.sum() * y[s >= v].mean() for v in np.unique(s))
+        assert abs(lstm.pr_area(y.astype(float), s) - want) < 1e-12
+    assert np.isnan(lstm.pr_area(np.zeros(3), np.ones(3))) and np.isnan(lstm.pr_area(np.zeros(0), np.zeros(0)))
+
+
+def test_models_are_rows_and_score_in_any_partition(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for fold in ("a", "b"):
+        for split, n in (("train", 160), ("val", 60), ("test", 60)):
+            for t in range(n):
+                y = int(rng.random() < 0.3)
+                rows.append((fold, split, 1, t, y, [[float(rng.normal() + 2 * y), float(rng.normal())] for _ in range(4)]))
+    df = frame(spark, rows, "fold string, split string, day int, t int, y int, window array<array<double>>").repartition(3)
+    models = lstm.fit_models(df, ["fold"], hidden=8, epochs=6).persist()
+    told = {r["fold"]: r for r in models.collect()}
+    assert set(told) == {"a", "b"} and all(r["params"] == lstm.n_parameters(2, 8) and len(r["epoch"]) <= 6 for r in told.values())
+    scores = lstm.lstm_scores(df, models, ["fold"]).collect()
+    assert len(scores) == 240
+    for fold, r in told.items():
+        net = lstm.restored(r["d"], np.array(r["weights"]))
+        x = {(s, t): w for f, s, _, t, _, w in rows if f == fold}
+        assert all(abs(float(net.scores(np.array([x[s["split"], s["t"]]]))[0]) - s["score"]) < 1e-5 for s in scores if s["fold"] == fold)
+    study = {r["fold"]: r for r in lstm.sweep(lstm.lstm_scores(df, models, ["fold"]), models, ["fold"]).collect()}
+    for f, r in study.items():
+        y, v = (np.array([s[c] for s in scores if s["fold"] == f and s["split"] == "test"]) for c in ("y", "score"))
+        assert abs(r["test_pr_auc"] - lstm.pr_area(y, v)) < 1e-9 and abs(r["test_lift"] - lstm.pr_area(y, v) / y.mean()) < 1e-9
+    gates = lstm.lstm_gates(df, models, ["fold"]).where("fold = 'a'").collect()
+    assert len(gates) == 4 * 3 * 2 and {r["label"] for r in gates} == {"other", "pre-fault"}
+    salient = lstm.lstm_saliency(df, models, ["fold"])
+    assert lstm.saliency_time(salient, ["fold"]).count() == 16 and sorted(r["fold"] for r in lstm.saliency_feature(salient, ["fold"], 1).collect()) == ["a", "b"]
+    assert lstm.history(models, ["fold"]).where("fold = 'b'").count() == len(told["b"]["epoch"])
