@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,6 +72,7 @@ class MergeRanks:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.find = regex.compile(pattern).findall
         shown = byte_symbols()
+        self.path, self.library, self.byte_of = path, None, {c: b for b, c in enumerate(shown)}
         self.inner = np.array([vocab[c] for c in shown], np.int64)
         self.last = np.array([vocab[c + end] for c in shown], np.int64)
         self.size = 1 << (len(vocab) + 1).bit_length()
@@ -158,6 +158,18 @@ class MergeRanks:
                     heapq.heappush(heap, (pairs[q][0], a, q))
         return left
 
+    def pre_tokens(self, part: str) -> list[bytes]:
+        """ASCII by the file's pattern; else the library's own normalizer and pre-tokenizer, which know its version of Unicode."""
+        if part.isascii():
+            return [t.encode() for t in self.find(part.lower())]
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        normal = self.library.normalizer
+        cut = self.library.pre_tokenizer.pre_tokenize_str(normal.normalize_str(part) if normal else part)
+        return [bytes(map(self.byte_of.__getitem__, t)) for t, _ in cut if t]
+
     def count_pieces(self, pieces: list[str]) -> list[int]:
         """Tokens of pieces of texts, cut at white space."""
         fixed, owner, found = [0] * len(pieces), [], []
@@ -167,12 +179,9 @@ class MergeRanks:
                 fixed[i] = len(self.split.findall(piece))
                 parts = self.split.split(piece)
             for part in parts:
-                if not part.isascii():
-                    # Lower case letter by letter: no final sigma, as in the library.
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                for token in self.find(part.lower()):
+                for token in self.pre_tokens(part):
                     owner.append(i)
-                    found.append(token.encode("utf-8", "surrogatepass"))
+                    found.append(token)
         if found:
             for i, n in zip(owner, self.surviving(found).tolist(), strict=True):
                 fixed[i] += n
