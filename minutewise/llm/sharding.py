@@ -13,25 +13,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minutewise.llm.shared import running_totals
+from minutewise.llm.shared import running_totals, staged
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """Returns doc_id, size, text_crc32, start (bytes before it), shard, slot (place in its shard)."""
+def assign_shards(docs: DataFrame, n_shards: int = 8, also: str | None = None) -> DataFrame:
+    """Returns doc_id, size, text_crc32, start (bytes before it), shard, slot (place in its shard). also: a column that comes along."""
     text = F.coalesce("text", F.lit(""))
-    small = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit(1).cast("long").alias("one"))
-    placed, sums = running_totals(small, ["doc_id", "text_crc32", "size"], {"start": "size", "row": "one"}, "shards")
+    more = [also] if also else []
+    small = docs.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit(1).cast("long").alias("one"), *more)
+    placed, sums = running_totals(small, ["doc_id", "text_crc32", "size", *more], {"start": "size", "row": "one"}, "shards")
     total = max(1, sums["start"])
     shard = F.least(F.expr(f"int(((2 * start + size) * {n_shards}L) div (2L * {total}L))"), F.lit(n_shards - 1))
     placed = placed.withColumn("shard", shard)
     first = placed.groupBy("shard").agg(F.min("row").alias("first_row"))  # a row a shard
-    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "start", "shard", (F.col("row") - F.col("first_row")).alias("slot"))
+    return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "start", "shard", (F.col("row") - F.col("first_row")).alias("slot"), *more)
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> None:
-    """Writes the documents, all their columns, to one folder a shard (shard=0 and so on), in order within it."""
-    placed = assign_shards(docs.select("doc_id", "text"), n_shards).select("doc_id", "shard", "slot")
-    docs.join(placed, docs["doc_id"].eqNullSafe(placed["doc_id"])).drop(placed["doc_id"]).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Writes the documents, all their columns, to one folder a shard (shard=0 and so on), in order within it.
+
+    Rows are told apart by a number of their own, written with them first, so that repeated and null ids stay as they are.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    placed = assign_shards(rows, n_shards, "_row").select("_row", "shard", "slot")
+    rows.join(placed, "_row").drop("_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shards_query(docs: DataFrame, n_shards: int = 8) -> DataFrame:
