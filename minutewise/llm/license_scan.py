@@ -1,9 +1,11 @@
 """License detection by ordered signature rules.
 
-A text becomes its lower-cased words, one blank apart; rules are regular expressions over that line. Hundreds of rules
-come from a table of license families (names, short names, versions) and a handful of phrase forms, each with a
-priority and a score. A rule runs only if a keyword of one of its family's names stands in the text. Where detections overlap, priority decides: a detection that lies within one of higher priority,
-or of the same priority and longer, is dropped.
+A text becomes its lower-cased words, one blank apart; rules are regular expressions over that line, written by hand:
+sentences of license texts and notices (`TEXTS`), and a table of license families (names, short names, versions) in a
+handful of phrase forms, SPDX tags and "or later" grants among them, each with a priority and a score. A rule runs only
+if a keyword of it stands in the text. Where detections overlap, priority decides: a detection that lies within one of
+higher priority, or of the same priority and longer, is dropped (ties: the earlier place, then the rule's name). Scanning
+takes time in proportion to the text, suppression n log n for n detections.
 
 The three base phrases are found apart from this, at all their places, and are never suppressed.
 
@@ -13,10 +15,12 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +86,31 @@ CC_KINDS = ["by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"]
 CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 GRANT = "(?:licen[sc]ed|released|distributed|available|published|provided|covered|offered) (?:under|by|with) (?:the )?(?:terms of )?(?:the )?(?:a )?"
 
+#: Sentences of license texts and standard notices: label, keyword, pattern over words.
+TEXTS = [
+    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("bsl-1.0", "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", "hereby", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd-3-clause", "endorse", "(?:neither the names? of (?:[^ ]+ ){1,12}nor the names of (?:its|their|any) contributors|the names? of (?:[^ ]+ ){1,12})may (?:not )?be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2.0", "apache", "licen[sc]ed under the apache licen[sc]e version 2 0 the licen[sc]e you may not use this file except in compliance with the licen[sc]e"),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0"),
+    ("epl", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors? be held liable for any damages arising from the use of this software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", "waived", "to the extent possible under law (?:[^ ]+ ){1,15}(?:has|have) waived all copyright and related or neighbou?ring rights"),
+    ("wtfpl", "fuck", "you just do what the fuck you want to"),
+    ("ofl-1.1", "font", "this font software is licen[sc]ed under the sil open font licen[sc]e version 1 1"),
+    ("artistic", "artistic", "you may distribute under the terms of either the gnu general public licen[sc]e or the artistic licen[sc]e"),
+    ("ncsa", "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+]
+#: Of the GNU licenses: the notice that names the version.
+GNU_NOTICES = [("gpl", "general", ["1.0", "2.0", "3.0"]), ("lgpl", "(?:lesser|library) general", ["2.0", "2.1", "3.0"]), ("agpl", "affero general", ["1.0", "3.0"])]
+#: Short names that stand for a license even alone.
+DISTINCT = {"wtfpl", "0bsd", "cc0"}
+
+
 class Rule(NamedTuple):
     name: str
     label: str
@@ -120,21 +149,49 @@ def rules() -> list[Rule]:
             digits = v.replace(".", " ")
             if v.endswith(".0"):
                 digits = f"{v[:-2]}(?: 0)?"
-            number = f"(?: licen[sc]e)?(?: (?:version|v|ver)|) ?{digits}" if v else ""
-            later = f"{names}{number} (?:or|and) (?:any|later|newer)"
+            number = f"(?: licen[sc]e)?(?: ?(?:version|ver|v))? ?{digits}" if v else ""
+            later = f"(?:{GRANT})?{every}{number} (?:or (?:any|later|newer|at your option)|and (?:any|later|newer))(?: (?:any )?later)?(?: versions?)?"
             add(f"{label} tag", label, 0, 1.0, f"spdx licen[sc]e identifier {re.escape(stem).replace('-', ' ').replace(chr(92), '')}{' ' + digits if v else ''}", (b"spdx",))
             add(f"{label} grant", label, 1 if v else 3, 0.95 if v else 0.85, GRANT + every + number, keywords(full + short))
             add(f"{label} name", label, 2 if v else 4, 0.9 if v else 0.7, names + number, keywords(full))
-            if v and "gpl" in stem:
-                add(f"{label} or later", f"{label}-or-later", 0, 1.0, later, keywords(full))
+            if v and ("gpl" in stem or stem == "gfdl"):
+                add(f"{label} or later", f"{label}-or-later", 0, 1.0, later, keywords(full + short))
+                add(f"{label} tag or later", f"{label}-or-later", 0, 1.0, f"spdx licen[sc]e identifier {stem} {v.replace('.', ' ')} or later", (b"spdx",))
             if v and short:
-                add(f"{label} short", label, 2, 0.8, f"(?:{'|'.join(short)})(?: licen[sc]e)?(?: (?:version|v)|) ?{digits}", keywords(short))
+                add(f"{label} short", label, 2, 0.8, f"(?:{'|'.join(short)}){number}", keywords(short))
+            if not v and DISTINCT & set(short):
+                add(f"{label} short", label, 4, 0.6, f"(?:{'|'.join(sorted(DISTINCT & set(short)))})", keywords(short))
         if "" not in versions:
             add(f"{stem} grant", stem, 3, 0.8, GRANT + every, keywords(full + short))
             add(f"{stem} name", stem, 4, 0.6, names, keywords(full))
+    for i, (label, key, pattern) in enumerate(TEXTS):
+        add(f"{label} text {i}", label, 0, 1.0, pattern, (key.encode(),))
+    for stem, name, versions in GNU_NOTICES:
+        for v in versions:
+            number = f"either version {v.removesuffix('.0').replace('.', ' ')}(?: 0)? of the licen[sc]e or at your option any later version"
+            add(f"{stem}-{v} notice", f"{stem}-{v}-or-later", 0, 1.0, f"under the terms of the gnu {name} public licen[sc]e as published by the free software foundation {number}", (b"foundation",))
     return sorted(made, key=lambda r: (r.priority, r.name))
 
 
+def unsuppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
+    """The detections that lie within none of higher priority (or of the same and longer), by a tree of the furthest ends."""
+    starts = sorted({a for a, _, _ in found})
+    tree = [-1] * (len(starts) + 1)
+    kept = []
+    for a, z, r in sorted(found, key=lambda f: (f[2].priority, f[0] - f[1], f[0], f[2].name)):
+        i, furthest = bisect.bisect_right(starts, a), -1
+        while i:
+            furthest = max(furthest, tree[i])
+            i &= i - 1
+        if furthest < z:
+            kept.append((a, z, r))
+            i = bisect.bisect_right(starts, a)
+            while i < len(tree):
+                tree[i] = max(tree[i], z)
+                i += i & -i
+    return sorted(kept, key=lambda f: f[:2])
+
+
 class Scanner:
     def __init__(self) -> None:
         self.rules = rules()
@@ -151,14 +208,17 @@ class Scanner:
         """Number of words; base places (first word, words, label); detections (first word, end, label, rule, score)."""
         words = text.translate(self.table).split()
         line = b" ".join(words)
-        base = []
+        base: list[tuple[int, int, str]] = []
+        # Where each word begins: a place's number of words before it.
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        before = lambda at: int(np.searchsorted(begins, at))
         for phrase, label in BASE.items():
             size = phrase.count(b" ") + 1
             at = line.find(phrase)
             while at >= 0:
                 end = at + len(phrase)
                 if (at == 0 or line[at - 1] == 32) and (end == len(line) or line[end] == 32):
-                    base.append((line.count(b" ", 0, at), size, label))
+                    base.append((before(at), size, label))
                 at = line.find(phrase, at + 1)
         found: list[tuple[int, int, Rule]] = []
         there = set(words)
@@ -169,11 +229,7 @@ class Scanner:
             if there.isdisjoint(r.keywords):
                 continue
             found += [(m.start(), m.end(), r) for m in r.pattern.finditer(line)]
-        kept: list[tuple[int, int, Rule]] = []
-        for a, z, r in sorted(found, key=lambda f: (f[2].priority, f[0] - f[1], f[0], f[2].name)):
-            if not any(b <= a and z <= y for b, y, _ in kept):
-                kept.append((a, z, r))
-        spans = [(line.count(b" ", 0, a), line.count(b" ", 0, z) + 1, r.label, r.name, r.score) for a, z, r in sorted(kept, key=lambda f: f[:2])]
+        spans = [(before(a), before(z + 1), r.label, r.name, r.score) for a, z, r in unsuppressed(found)]
         return len(words), sorted(base), spans
 
 
