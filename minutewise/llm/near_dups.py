@@ -38,6 +38,8 @@ from minutewise.llm.shared import BLANKS, ascii_lower, staged, words
 
 COORDINATES, ROWS = 128, 4
 BLOCK = 1_024
+#: No more bands than this are joined by a broadcast.
+HOT = 1_000
 SLACK = 0.22
 SEED = 0x9E3779B97F4A7C15
 SKETCHED = "id long, n_shingles long, d1 long, d2 long, sketch binary"
@@ -209,7 +211,7 @@ def search(ids: np.ndarray, comps: np.ndarray, grid: np.ndarray, sets: list[np.n
     return links
 
 
-def crossing_links(rest: DataFrame, sketches_of: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def crossing_links(rest: DataFrame, hot: DataFrame, sketches_of: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between the components left in band groups (rows: band, id, component).
 
     Band groups that share documents form one candidate group, so that a pair is looked at once, not once a band. In a
@@ -218,7 +220,7 @@ def crossing_links(rest: DataFrame, sketches_of: DataFrame, docs: DataFrame, siz
     place of its own.
     """
     first = rest.groupBy("band").agg(F.min("id").alias("a"))
-    grouped = components(rest.join(first, "band").select("a", F.col("id").alias("b"))).withColumnRenamed("component", "g")
+    grouped = components(joined_on_band(rest, staged(first, "first"), hot).select("a", F.col("id").alias("b"))).withColumnRenamed("component", "g")
     members = staged(rest.select("id", "component").distinct().join(grouped, "id"), "candidates")
     parts = members.groupBy("g", "component").agg(F.count("*").alias("n"))
     about = staged(parts.groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("n_main"), F.max_by("component", F.struct("n", "component")).alias("main")), "groups")
@@ -253,6 +255,13 @@ def crossing_links(rest: DataFrame, sketches_of: DataFrame, docs: DataFrame, siz
     return dealt.groupBy("cell", "i", "j").applyInArrow(searched, "a long, b long").distinct()
 
 
+def joined_on_band(rows: DataFrame, table: DataFrame, hot: DataFrame) -> DataFrame:
+    """rows join table on band; the bands in `hot` (`HOT` at most) by a broadcast, so that no task gets all rows of one."""
+    known = table.join(F.broadcast(hot), "band", "left_semi")
+    rest = table.join(F.broadcast(hot), "band", "left_anti")
+    return rows.join(F.broadcast(known), "band").unionByName(rows.join(F.broadcast(hot), "band", "left_anti").join(rest, "band"))
+
+
 def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """A row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
     every = staged(sketched(docs, size), "sketches")
@@ -260,17 +269,19 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80) ->
     classes = staged(full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     # One document of each set: its smallest id (a repeated id is there once).
     bands = staged(band_rows(full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])), "bands")
-    groups = bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    members = staged(bands.join(groups.select("band", "a"), "band"), "members")
+    groups = staged(bands.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1"), "groups")
+    # Bands that hold more than one of HOT equal shares of all rows: fewer than HOT, whatever the data.
+    hot = staged(groups.where(F.col("n") * HOT > bands.count()).select("band"), "hot")
+    members = staged(joined_on_band(bands, groups.select("band", "a"), hot), "members")
     stars = staged(members.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
     links = staged(verified(stars, docs, size, percent), "verified")
     found = components(links)
     # Band groups in which several components are left.
     named = members.select("band", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    rest = staged(named.join(several, "band"), "rest")
+    rest = staged(joined_on_band(named, staged(several, "several"), hot), "rest")
     if not rest.isEmpty():
-        crossing = staged(crossing_links(rest, full, docs, size, percent), "crossing")
+        crossing = staged(crossing_links(rest, hot, full, docs, size, percent), "crossing")
         if not crossing.isEmpty():
             found = components(links.union(crossing))
     found = staged(found, "components")
