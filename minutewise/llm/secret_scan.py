@@ -10,12 +10,14 @@ Kinds: `assign`, `access`, `hex` by the fixed patterns, all of them, leftmost an
 match, code points; `guess` spans cover the value only, and are left out where fixed spans cover all of it. A value that
 fixed spans cover in part has both, and redact() replaces them as one.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned one by one; extra columns are kept by
+Defined results: null and empty texts have no spans; spans that start alike stand in the order of kinds; of guess values
+that start alike the shorter is told first, and one that ends within a told one is left out; null ids stay; repeated rows are scanned one by one; extra columns are kept by
 redact() and ignored by scan_secrets().
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -42,8 +44,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Words before a value that make it a credential (several languages), and passwords inside addresses.
 CONTEXT = re.compile(
-    r"""(?i)(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pw|pin|secret|token|api[_-]?key|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|contrase(?:ñ|n)a|clave|passwort|kennwort|mot\x20de\x20passe)["']?\x20*(?:[:=]|\bis\b)\x20*["']?([^\s"'<>,;]++)"""
+    r"""(?i)(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pw|pin|secret|token|api[_-]?key|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|contrase(?:ñ|n)a|clave|passwort|kennwort|mot\x20de\x20passe)["']?\x20*(?:\bis\b\x20*[:=]?|:=|=>|[:=])\x20*["']?(?:(?:bearer|basic)\x20+)?([^\s"'<>,;]++)"""
 )
+BEARER = re.compile(r"(?i)(?<![a-z0-9])bearer\x20+([a-z0-9._~+/=-]++)")
 ADDRESS = re.compile(r"""[a-z][a-z0-9+]{1,15}://[^\s/:@"']++:([^\s/@"']++)@""")
 HINTS = ("pass", "pwd", "pw", "pin", "secret", "token", "key", "credential", "auth", "bearer", "contrase", "clave", "kennwort", "mot de passe", "://")
 
@@ -113,10 +116,16 @@ class GuessCost:
                 yield i, k, math.log10(30 * (k - i))
             i = max(i + 1, max(j, k if k - i >= 3 else 0) - 1)
 
-    def cost(self, text: str) -> float:
-        """log10 of the guesses for a value of any length, in steps that grow with its length only."""
+    def cost(self, text: str, blocks: dict[str, float] | None = None) -> float:
+        """log10 of the guesses for a value of any length, in steps that grow with its length only.
+
+        blocks: the costs of the repeated blocks met in this value, each taken apart once.
+        """
         if text in self.seen:
             return self.seen[text]
+        blocks = {} if blocks is None else blocks
+        if text in blocks:
+            return blocks[text]
         n = len(text)
         ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
         for i, j, c in self.segments(text):
@@ -135,8 +144,9 @@ class GuessCost:
                 if same[size] >= size:
                     times = 1 + same[size] // size
                     start = j - size * times
-                    block = min(size * letter, self.cost(text[start : start + size]))
+                    block = min(size * letter, self.cost(text[start : start + size], blocks))
                     best[j] = min(best[j], best[start] + block + math.log10(times))
+        blocks[text] = best[n]
         if n <= KEPT and len(self.seen) < 100_000:
             self.seen[text] = best[n]
         return best[n]
@@ -154,13 +164,17 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def is_covered(a: int, z: int, spans: list[tuple[int, int]]) -> bool:
-    """Whether the spans (start, end), sorted, cover a..z together."""
-    for s, e in spans:
-        if s > a:
-            break
-        a = max(a, e)
-    return a >= z
+def covers(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the sorted spans cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, z in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], z)
+        else:
+            starts.append(a)
+            ends.append(z)
+    return starts, ends
 
 
 def all_spans(text: str, guesses: GuessCost, least: float = MIN_LOG10) -> list[tuple[int, int, int, float | None]]:
@@ -169,12 +183,14 @@ def all_spans(text: str, guesses: GuessCost, least: float = MIN_LOG10) -> list[t
     spans: list[tuple[int, int, int, float | None]] = [(*s, None) for s in base]
     low = text.lower()
     if any(h in low for h in HINTS):
-        values = {m.span(1) for p in (CONTEXT, ADDRESS) for m in p.finditer(text)}
-        fixed, taken = [(s, e) for s, _, e in base], -1
+        values = {m.span(1) for p in (CONTEXT, ADDRESS, BEARER) for m in p.finditer(text)}
+        starts, ends = covers(base)
+        taken = -1
         for a, z in sorted(values):
             while z > a and text[z - 1] in ".:!?)]}":
                 z -= 1
-            if z <= taken or z == a or is_covered(a, z, fixed):
+            at = bisect.bisect_right(starts, a) - 1
+            if z <= taken or z == a or (at >= 0 and z <= ends[at]):
                 continue
             value = text[a:z]
             # A word of a language is no password; a value has a digit, a sign or mixed case.
