@@ -3,22 +3,24 @@
 1. Index: a row a posting (document row, term, position), written once, for the terms that the benchmark holds; each
    document adds one posting of the end mark, whose position is its number of words. Documents stay where they are read:
    the index is partitioned by document and costs no shuffle.
-2. The postings' counts tell how rare each term is in the corpus. Of each window of `WINDOW` consecutive item words the
-   rarest term is looked up first; windows with a term that no document holds are out.
-3. The lists of the rarest terms, shifted by their place in the item, give candidate diagonals (document, item, where
-   the item's first word would stand); intersecting them with the shifted lists of the second rarest terms leaves few.
-4. Along the diagonals left, all of the item's shifted lists are intersected: the item words that stand in place. Where
-   `WINDOW` places in a row match, the window occurs; words under any window are hit, each counted once.
+2. Windows of `WINDOW` consecutive item words are classes: equal ones, of one item or of many, are looked up once. The
+   postings' counts tell how rare each term is in the corpus; windows with a term that no document holds are out.
+3. The rarest terms come first: of each window its two rarest terms and the distance between them; windows that share
+   these share the look-up. The second term's list, shifted by the distance, is intersected with the first's.
+4. Where the two stand in place, each of the windows' words is looked up there: all of them, and the window occurs. Words
+   under any window are hit, each counted once. A posting of a rarest term meets a window's words once, however often
+   the words repeat in the document or in the item.
 
 near_matches() stops after step 3 with a slack: windows whose two rarest terms stand near their distance.
 
-The benchmark's tables (terms, windows, item words) are written before they are joined, so that Spark knows their size
+The benchmark's tables (terms, windows, pairs) are written before they are joined, so that Spark knows their size
 and broadcasts them only if it allows; beyond, the same joins shuffle. A term that a third of all postings hold is then
 a skewed join key, which adaptive execution splits.
 
 Defined results: null texts and texts without words have 0 words and no hits; an item without words is no item; items
-that share an item_id count once; repeated rows are judged one by one; extra columns are ignored, or kept by
-drop_contaminated(), which keeps documents without an id; an empty benchmark or document table gives no hits or no rows.
+that share an item_id count once, those with a null id not by name; repeated rows are judged one by one; ties in rarity
+go by place; extra columns, also of the benchmark, are ignored, or kept by drop_contaminated(), which keeps documents
+without an id; an empty benchmark or document table gives no hits or no rows. Windows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,10 +35,13 @@ WINDOW = 10
 END_MARK = "\x00"
 
 
-def item_words(benchmark: DataFrame) -> DataFrame:
-    """item (a number of its own), item_id, n (words of the item), off, term: a row a word."""
-    items = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("string").alias("item_id"), words(ascii_lower(F.col("text")), NON_WORDS).alias("w")).where(F.size("w") > 0)
-    return items.select("item", "item_id", F.size("w").alias("n"), F.posexplode("w").alias("off", "term"))
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id, start (the window's first word in its item), window (a number for its words), w (its term ids)."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.transform(words(ascii_lower(F.col("text")), NON_WORDS), lambda x: F.xxhash64(x)).alias("_w")).where(F.size("_w") > 0)
+    size = F.least(F.size("_w"), F.lit(window))
+    placed = items.select("item_id", F.explode(F.sequence(F.lit(0), F.size("_w") - size)).alias("start"), size.alias("_n"), "_w")
+    cut = F.expr("slice(_w, start + 1, _n)")
+    return placed.select("item_id", "start", cut.alias("w")).select("item_id", "start", F.xxhash64("w").alias("window"), "w")
 
 
 def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -47,59 +52,47 @@ def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return placed.join(terms, "term").select("row", "doc_id", "term_id", "pos")
 
 
-def rarest_terms(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """item, off1, term1, off2, term2: the rarest and second rarest word (null in items of one word) of each window."""
-    known = items.join(counts, "term_id", "left").groupBy("item", "n").agg(F.array_sort(F.collect_list(F.struct("off", "term_id", F.coalesce("count", F.lit(0)).alias("f")))).alias("w"))
-    size = F.least("n", F.lit(window))
-    starts = known.select("item", "w", size.alias("size"), F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("start"))
-    by_rarity = F.array_sort(F.transform(F.slice("w", F.col("start") + 1, F.col("size")), lambda x: F.struct(x["f"].alias("f"), x["off"].alias("off"), x["term_id"].alias("term_id"))))
+def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """window, off1, term1, term2, gap: each window's rarest word, its second rarest (null in windows of one word) and how far that is off."""
+    known = windows.select("window", F.posexplode("w").alias("off", "term_id")).join(counts, "term_id", "left")
+    ranked = known.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("f"), "off", "term_id"))).alias("r"))  # `WINDOW` words
     first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
-    found = starts.select("item", by_rarity.alias("r")).where(first["f"] > 0)
-    return found.select("item", first["off"].alias("off1"), first["term_id"].alias("term1"), second["off"].alias("off2"), second["term_id"].alias("term2")).distinct()
+    found = ranked.where(first["f"] > 0)
+    return found.select("window", first["off"].alias("off1"), first["term_id"].alias("term1"), second["term_id"].alias("term2"), (second["off"] - first["off"]).alias("gap"))
 
 
 class Index:
     """The staged tables of one benchmark over one corpus."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW):
-        spelled = staged(item_words(benchmark), "item_words")
-        terms = spelled.select("term").distinct().withColumn("term_id", F.xxhash64("term"))
+        spelled = benchmark.select(F.explode(words(ascii_lower(F.col("text")), NON_WORDS)).alias("term")).distinct().withColumn("term_id", F.xxhash64("term"))
         mark = docs.sparkSession.range(1).select(F.lit(END_MARK).alias("term"), F.lit(-1).cast("long").alias("term_id"))
-        self.window = window
-        self.items = staged(spelled.withColumn("term_id", F.xxhash64("term")), "items")
-        self.postings = staged(positional_index(docs, staged(terms.union(mark), "terms")), "postings")
+        self.placed = staged(item_windows(benchmark, window), "item_windows")
+        self.windows = staged(self.placed.groupBy("window").agg(F.first("w").alias("w")), "windows")
+        self.postings = staged(positional_index(docs, staged(spelled.union(mark), "terms")), "postings")
         self.documents = self.postings.where("term_id = -1").select("row", "doc_id", F.col("pos").cast("long").alias("n_words"))
         counts = staged(self.postings.groupBy("term_id").count(), "counts")
-        self.rarest = staged(rarest_terms(self.items, counts, window), "rarest")
-
-    def shifted(self, off: str, term: str) -> DataFrame:
-        """Where the item would begin, by the postings of the words in column `term`."""
-        return self.postings.select("row", F.col("term_id").alias(term), "pos").join(self.rarest, term).withColumn("diagonal", F.col("pos") - F.col(off))
+        self.rarest = staged(rarest_terms(self.windows, counts), "rarest")
 
     def candidates(self, slack: int = 0) -> DataFrame:
-        """row, item, diagonal of the windows whose two rarest words stand in place (or `slack` words from it).
-
-        A document that opens in the middle of an item has a diagonal below 0.
-        """
-        first = self.shifted("off1", "term1").select("row", "item", "off1", "off2", "term2", "diagonal")
+        """row, window, start of the windows whose two rarest words stand in place (or `slack` words from it)."""
+        pairs = self.rarest.select("term1", "term2", "gap").distinct()
+        first = self.postings.select("row", F.col("term_id").alias("term1"), "pos").join(pairs, "term1")
         other = self.postings.join(self.rarest.select(F.col("term2").alias("term_id")).distinct(), "term_id", "left_semi").select("row", F.col("term_id").alias("term2"), F.col("pos").alias("pos2"))
         if slack:
-            both = first.join(other, ["row", "term2"]).where(F.abs(F.col("pos2") - F.col("diagonal") - F.col("off2")) <= slack)
+            both = first.join(other, ["row", "term2"]).where(F.abs(F.col("pos2") - F.col("pos") - F.col("gap")) <= slack).select(*first.columns).distinct()
         else:
-            both = first.withColumn("pos2", F.col("diagonal") + F.col("off2")).join(other, ["row", "term2", "pos2"], "left_semi")
-        return both.select("row", "item", "diagonal").union(first.where("term2 is null").select("row", "item", "diagonal")).distinct()
+            both = first.withColumn("pos2", F.col("pos") + F.col("gap")).join(other, ["row", "term2", "pos2"], "left_semi").select(*first.columns)
+        met = both.join(self.rarest, ["term1", "term2", "gap"]).unionByName(first.where("term2 is null").join(self.rarest.where("term2 is null").drop("term2", "gap"), "term1"))
+        return met.select("row", "window", (F.col("pos") - F.col("off1")).alias("start"))
 
     def occurrences(self) -> DataFrame:
-        """row, item_id, diagonal, starts: the item words at which an occurring window begins."""
-        diagonals = staged(self.candidates(), "diagonals")
-        there = self.postings.join(diagonals.select("row").distinct(), "row", "left_semi").select("row", "term_id", "pos")
-        asked = diagonals.join(self.items.select("item", "item_id", "n", "off", "term_id"), "item").withColumn("pos", F.col("diagonal") + F.col("off"))
-        met = asked.join(there, ["row", "term_id", "pos"])
-        size = F.least("n", F.lit(self.window))
-        # `size` ascending places in a row: the place `size` - 1 further on is that much larger.
-        lined = met.groupBy("row", "item", "item_id", "n", "diagonal").agg(F.array_sort(F.collect_set("off")).alias("at")).withColumn("size", size)
-        found = lined.withColumn("starts", F.filter("at", lambda x, i: F.coalesce(F.get("at", i + F.col("size") - 1) == x + F.col("size") - 1, F.lit(False))))
-        return found.where(F.size("starts") > 0).select("row", "item_id", "diagonal", "size", "starts")
+        """row, window, start, size: where windows occur, all their words in place."""
+        candidates = staged(self.candidates(), "candidates")
+        there = self.postings.join(candidates.select("row").distinct(), "row", "left_semi").select("row", "term_id", "pos")
+        asked = candidates.join(self.windows, "window").select("row", "window", "start", F.size("w").alias("size"), F.posexplode("w").alias("off", "term_id"))
+        met = asked.withColumn("pos", F.col("start") + F.col("off")).join(there, ["row", "term_id", "pos"])
+        return met.groupBy("row", "window", "start", "size").agg(F.count("*").alias("n")).where("n = size").drop("n")
 
 
 def covered(spans: Column) -> Column:
@@ -112,18 +105,22 @@ def covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """A row a document: doc_id, n_words, n_hit, items (ids of the items with occurring windows, sorted as strings)."""
     index = Index(docs, benchmark, window)
-    spans = F.transform("starts", lambda s: F.struct((F.col("diagonal") + s).alias("from"), (F.col("diagonal") + s + F.col("size")).alias("to")))
-    # One document's windows: as many as its words and the items they belong to.
-    hits = index.occurrences().groupBy("row").agg(covered(F.flatten(F.collect_list(spans))).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    out = index.documents.join(hits, "row", "left")
+    found = staged(index.occurrences(), "occurrences")
+    # One document's spans: no more than its words times the sizes of windows (one, but for short items).
+    span = F.struct(F.col("start").alias("from"), (F.col("start") + F.col("size")).alias("to"))
+    hits = found.groupBy("row").agg(covered(F.collect_set(span)).alias("n_hit"))
+    named = found.select("row", "window").distinct().join(index.placed.select("window", "item_id").distinct(), "window")
+    items = named.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    out = index.documents.join(hits.join(items, "row"), "row", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def near_matches(docs: DataFrame, benchmark: DataFrame, slack: int = 3, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, place: proximity matches, two rarest words of a window at most `slack` words from their distance."""
     index = Index(docs, benchmark, window)
-    ids = index.items.select("item", "item_id").distinct()
-    return index.candidates(slack).join(ids, "item").join(index.documents, "row").select("doc_id", "item_id", F.col("diagonal").alias("place")).distinct()
+    of = index.placed.select("item_id", "window", F.col("start").alias("_in_item"))
+    met = index.candidates(slack).join(of, "window").withColumn("place", F.col("start") - F.col("_in_item"))
+    return met.join(index.documents, "row").select("doc_id", "item_id", "place").distinct()
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
