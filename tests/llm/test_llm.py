@@ -558,3 +558,109 @@ def test_pipeline(spark, tmp_path):
     ids = dict(zip(kept, library(BYTE, [clean[i] for i in kept]), strict=True))
     assert {r["doc_id"]: r["ids_crc32"] for r in out} == {i: zlib.crc32(np.array([*x, 0], "<u4").tobytes()) for i, x in ids.items()}
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_counts_like_the_library_all_over_unicode():
+    rng = random.Random(12)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    fuzz = ["ู\U00018dd9", "aꟋb", "aꟜb"] + [f"a{c}b {c}{rng.choice(points)} 1{c}" for c in rng.sample(points, 30_000)]
+    assert token_counts.MergeRanks(WORD).count(pa.array(fuzz)).tolist() == [len(x) for x in library(WORD, fuzz)]
+
+
+def test_write_shards_keeps_repeated_and_null_ids(spark, tmp_path):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (None, "c"), (None, None), (2, "dd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sharding.write_shards(df, str(tmp_path / "s"), 2)
+    back = [(r["doc_id"], r["text"]) for r in spark.read.parquet(str(tmp_path / "s")).collect()]
+    assert collections.Counter(back) == collections.Counter(rows)
+
+
+def test_license_texts_notices_and_suppression(spark):
+    cases = {
+        "GPLv3": {"gpl-3.0"}, "AGPLv3": {"agpl-3.0"}, "WTFPL": {"wtfpl"}, "SPDX-License-Identifier: GPL-3.0-or-later": {"gpl-3.0-or-later"}, "GPL version 2 or later": {"gpl-2.0-or-later"},
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")": {"mit"},
+        "Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the Acme Corp nor the names of its contributors may be used to endorse or promote products derived from this software": {"bsd", "bsd-3-clause"},
+        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": {"gpl-3.0-or-later"},
+        "permission to dance was granted, free of charge": set(),
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in license_scan.licenses_query(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    rng = random.Random(4)
+    rules = [license_scan.Rule(f"r{p}{k}", "x", p, 1.0, (), re.compile(b"x")) for p in range(3) for k in range(3)]
+    for _ in range(200):
+        found = list({(a, a + rng.randrange(1, 12), rng.choice(rules)) for a in rng.choices(range(30), k=15)})
+        want = []
+        for a, z, r in sorted(found, key=lambda f: (f[2].priority, f[0] - f[1], f[0], f[2].name)):
+            if not any(b <= a and z <= y for b, y, _ in want):
+                want.append((a, z, r))
+        assert license_scan.unsuppressed(found) == sorted(want, key=lambda f: f[:2])
+    words = [rng.choice(["under", "the", "mit", "license", "cc", "by", "nc", "apache", "version", "2"]) for _ in range(3000)]
+    text = " ".join(words)
+    row = license_scan.licenses_query(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    phrases = [p.decode().split() for p in license_scan.BASE]
+    at = [i for p in phrases for i in range(len(words)) if words[i : i + len(p)] == p]
+    assert (row["n_base"], row["first_word"], row["last_word"]) == (len(at), min(at), max(at))
+
+
+def test_secrets_behind_bearer_and_is_and_in_long_runs():
+    guesses = secret_scan.GuessCost()
+    guess = lambda t: [t[a:z] for a, k, z, _ in secret_scan.all_spans(t, guesses) if k == 3]
+    assert guess("Authorization: Bearer eyJhbGciOi9.x7Qp") == ["eyJhbGciOi9.x7Qp"] == guess("bearer eyJhbGciOi9.x7Qp")
+    assert guess("password is: k$9Qm2Lx") == ["k$9Qm2Lx"] and guess("the bearer of good news") == [] == guess("pass: Bearer")
+    full = secret_scan.GuessCost()
+    full.seen = {f"#{i}": 1.0 for i in range(100_000)}
+    import time
+
+    began = time.perf_counter()
+    assert full.cost("x" * 128) < 5 and full.cost("ab" * 64) < 6
+    many = " ".join(f"token=abcdefghij{i:06d} pwd: aX9$k{i}Lm" for i in range(6000))
+    assert len(secret_scan.all_spans(many, guesses)) == 12_000
+    assert time.perf_counter() - began < 10
+    # What fixed spans cover together, also where they only touch.
+    assert secret_scan.covers([(0, 0, 5), (3, 2, 9), (9, 2, 12), (20, 0, 25)]) == ([0, 20], [12, 25])
+
+
+def test_decontamination_of_repeated_words_and_shared_windows(spark):
+    rng = random.Random(3)
+    w = [f"t{k}" for k in range(15)]
+    items = [(1, "same " * 3000), (2, " ".join(w)), (3, " ".join(w)), (None, " ".join(reversed(w))), (4, " ".join(rng.choices("abc", k=40))), (5, "a b")]
+    rows = ["same " * 3000, " ".join(w), " ".join(rng.choices("abc", k=300)), "x " + " ".join(reversed(w)) + " y", "same " * 9]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    bench = spark.createDataFrame([(*i, 7, "en") for i in items], "item_id long, text string, row int, doc_id string")
+    want = hits(rows, items)
+    for r in decontaminate.decontamination_query(df, bench).collect():
+        got = tuple(r[1:])
+        # An item without an id has no name to tell.
+        assert got[:2] == want[r["doc_id"]][:2] and got[4] == want[r["doc_id"]][4] and (r["doc_id"] == 3 or got == want[r["doc_id"]])
+
+
+def test_near_duplicates_with_hot_bands_and_null_ids(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(2000)}" for _ in range(120)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else f"z{rng.randrange(99)}" for w in base)) for i in range(120)]
+    rows += [(1000 + i, " ".join(f"q{rng.randrange(5000)}" for _ in range(40))) for i in range(60)]
+    df = spark.createDataFrame([*rows, (None, rows[0][1]), (None, None)], "doc_id long, text string").repartition(5)
+    want = classes({i: shingles(t, 2) for i, t in rows})
+    for hot in (1_000, 3):
+        monkeypatch.setattr(near_dups, "HOT", hot)
+        got = near_dups.near_duplicate_classes(df, 2).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want and len(got) == len(rows) + 2
+    assert near_dups.drop_near_duplicates(df, 2).where("doc_id is null").count() == 2
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    say = " ".join(f"w{k}" for k in range(40))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, id string, quality int"
+    rows = [(1, say, None, None, None, 1, "x", 0), (1, say, "en", None, 9, 1, "x", 0), (2, None, None, "s", 0, None, None, None), (3, "", "en", "s", 0, 1, "y", 1), (4, "v " + say[::-1], "en", "s", 9, 1, "y", 1)]
+    labels = spark.createDataFrame([(1, None, 0, "c"), (None, 1, 0, "c")], "doc_id long, quality int, toxic int, text string")
+    bench = spark.createDataFrame([(1, None, 5), (None, "", 5)], "item_id long, text string, doc_id int")
+    for name, table in (("some", spark.createDataFrame(rows, schema)), ("none", spark.createDataFrame([], schema))):
+        folder = tmp_path / name
+        table.write.parquet(str(folder / "documents.parquet"))
+        labels.write.parquet(str(folder / "labels.parquet"))
+        bench.write.parquet(str(folder / "benchmark.parquet"))
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        assert sorted({r["doc_id"] for r in out}) == ([1, 4] if name == "some" else [])
