@@ -10,7 +10,9 @@ which a stratum (language) goes is what its labelled holdouts certify:
 * a step passes if the chance of so few false rejections or fewer, were the true rate of the whole joint rule `alpha`,
   is at most the family's level: the exact binomial upper bound (Clopper-Pearson) then lies under `alpha`;
 * steps are tried in order and the first that fails ends the search (fixed-sequence testing: the level needs no
-  correction along the sequence); the level is `delta` over the number of families (Bonferroni).
+  correction along the sequence); the level is `delta` over the number of families (Bonferroni);
+* of the steps that pass, the rule goes no further than labelled bad documents tell: the last one at which one more of
+  the family's bad documents is rejected. A milder rule loses no more good documents, so the bound stays.
 
 Families: a stratum with so many holdouts that it could pass without a false rejection is a family of its own. All
 others share one: of their pooled holdouts, or, if these are too few as well, of all holdouts. Which strata are pooled
@@ -32,7 +34,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from minutewise.llm.shared import BLANKS, UPPER, staged
@@ -53,7 +55,7 @@ SIGNALS: dict[str, list[float]] = {
 #: The joint rule of step i rejects what a cutoff of the steps 0 to i rejects.
 STEPS = [(name, cut) for name, cuts in SIGNALS.items() for cut in cuts]
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Good labelled ids that are broadcast, so that only their documents are measured first (8 MB); more are joined by numbers.
+#: Labelled ids that are broadcast, so that only their documents are measured first (8 MB); more are joined by numbers.
 BROADCAST_IDS = 1_000_000
 
 
@@ -154,30 +156,31 @@ def log_tail(n: Column, k: Column, p: Column) -> Column:
     return F.when(k >= n * p, F.lit(0.0)).otherwise(top + F.log(F.aggregate(terms, one, step)["sum"]))
 
 
-def good_ids(labels: DataFrame) -> DataFrame:
-    """doc_id of the documents whose worst label is good."""
+def labelled_ids(labels: DataFrame) -> DataFrame:
+    """_id and _good of the labelled documents, by their worst label."""
     told = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
-    return staged(told.where("q = 1").select(F.col("doc_id").alias("_id")), "good")
+    return staged(told.select(F.col("doc_id").alias("_id"), (F.col("q") == 1).alias("_good")), "labelled")
 
 
-def holdout_numbers(docs: DataFrame, good: DataFrame, stratum: str) -> DataFrame:
-    """doc_id, _stratum, _text (a hash), _rejected_at of the labelled good documents, measured alone if a broadcast can tell them."""
+def holdout_numbers(docs: DataFrame, labelled: DataFrame, stratum: str) -> DataFrame:
+    """doc_id, _stratum, _text (a hash), _rejected_at of the labelled documents, measured alone if a broadcast can tell them."""
     text = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")
     small = docs.select("doc_id", "text", F.col(stratum).cast("string").alias("_stratum"))
-    if good.count() <= BROADCAST_IDS:
-        small = small.join(F.broadcast(good), small["doc_id"] == good["_id"], "left_semi")
+    if labelled.count() <= BROADCAST_IDS:
+        small = small.join(F.broadcast(labelled), small["doc_id"] == labelled["_id"], "left_semi")
     return measured(small).select("doc_id", "_stratum", text, "_rejected_at")
 
 
-def certified_steps(numbers: DataFrame, good: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> tuple[DataFrame, int]:
+def certified_steps(numbers: DataFrame, labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> tuple[DataFrame, int]:
     """A table _stratum, last_step of the strata that are families of their own, and the last step of the shared family.
 
-    numbers: doc_id, _stratum, _text, _rejected_at. A last step of -1 certifies nothing.
+    numbers: doc_id, _stratum, _text, _rejected_at. A last step of -1 rejects nothing.
     """
-    distinct = numbers.join(good, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("_stratum", "_text").agg(F.min("_rejected_at").alias("_at"))
-    over = [F.count_if(F.col("_at") <= i).alias(f"k{i}") for i in range(len(STEPS))]
-    tried = staged(distinct.groupBy("_stratum").agg(F.count("*").alias("n"), *over), "holdouts")  # a row a stratum
-    n_strata = tried.count()
+    distinct = numbers.join(labelled, F.col("doc_id") == F.col("_id")).groupBy("_stratum", "_text", "_good").agg(F.min("_rejected_at").alias("_at"))
+    over = [F.count_if(F.col("_good") & (F.col("_at") <= i)).alias(f"k{i}") for i in range(len(STEPS))]
+    bad = [F.count_if(~F.col("_good") & (F.col("_at") == i)).alias(f"b{i}") for i in range(len(STEPS))]
+    tried = staged(distinct.groupBy("_stratum").agg(F.count_if("_good").alias("n"), *over, *bad), "holdouts")  # a row a stratum
+    n_strata = tried.where("n > 0").count()
     need = math.log(delta / (n_strata + 1)) / math.log1p(-alpha)
     own = F.col("n") >= need
     told = tried.agg(F.count_if(own).alias("own"), F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)).alias("n")).first()
@@ -185,10 +188,12 @@ def certified_steps(numbers: DataFrame, good: DataFrame, alpha: float = ALPHA, d
     shared = (tried.where(~own) if told["n"] >= need else tried).agg(*sums).where("n > 0")
     families = tried.where(own).withColumn("own", F.lit(True)).unionByName(shared.withColumns({"own": F.lit(False), "_stratum": F.lit(None).cast("string")}))
     level = math.log(delta / (told["own"] + 1))
-    tests = families.select("own", "_stratum", "n", F.posexplode(F.array(*(F.col(f"k{i}") for i in range(len(STEPS))))).alias("step", "k"))
-    fails = F.min(F.when(log_tail(F.col("n"), F.col("k"), F.lit(alpha)) > level, F.col("step")))
-    # The steps before the first that fails.
-    judged = staged(tests.groupBy("own", "_stratum").agg((F.coalesce(fails, F.lit(len(STEPS))) - 1).alias("last_step")), "cutoffs")
+    counts = F.array(*(F.struct(F.col(f"k{i}").alias("k"), F.col(f"b{i}").alias("b")) for i in range(len(STEPS))))
+    tests = families.select("own", "_stratum", "n", F.posexplode(counts).alias("step", "c"))
+    fails = F.min(F.when(log_tail(F.col("n"), F.col("c.k"), F.lit(alpha)) > level, F.col("step"))).over(Window.partitionBy("own", "_stratum"))
+    # Of the steps before the first that fails, the last that rejects another bad document.
+    useful = F.max(F.when((F.col("c.b") > 0) & (F.col("step") < F.coalesce("fails", F.lit(len(STEPS)))), F.col("step")))
+    judged = staged(tests.withColumn("fails", fails).groupBy("own", "_stratum").agg(F.coalesce(useful, F.lit(-1)).alias("last_step")), "cutoffs")
     rest = judged.where("not own").first()
     return judged.where("own").select("_stratum", "last_step"), rest["last_step"] if rest else -1
 
@@ -203,8 +208,8 @@ def verdicts(rows: DataFrame, steps: DataFrame, shared: int, stratum: str) -> Da
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    good = good_ids(labels)
-    steps, shared = certified_steps(staged(holdout_numbers(docs, good, stratum), "numbers"), good, alpha, delta)
+    labelled = labelled_ids(labels)
+    steps, shared = certified_steps(staged(holdout_numbers(docs, labelled, stratum), "numbers"), labelled, alpha, delta)
     rows = measured(docs.select(F.struct("*").alias("_row"), "text", F.col(stratum).alias("_lang")))
     return verdicts(rows, steps, shared, "_lang").where("_kept").select("_row.*")
 
@@ -214,8 +219,7 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     text = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")
     rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(stratum).cast("string").alias("_stratum")))
     numbers = staged(rows.select("doc_id", "_stratum", text, *(f"_{c}" for c in COUNTS), "_rejected_at"), "numbers")
-    good = good_ids(labels)
-    steps, shared = certified_steps(numbers, good, alpha, delta)
+    steps, shared = certified_steps(numbers, labelled_ids(labels), alpha, delta)
     out = verdicts(numbers.withColumnRenamed("_stratum", "_lang"), steps, shared, "_lang")
     return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in COUNTS), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
@@ -247,8 +251,9 @@ v AS (
 cuts AS (CUTS),
 x AS (UNPIVOT (SELECT doc_id, symbols_per_word, same_next_share, word_length, upper_share, dup_line_share FROM v) ON symbols_per_word, same_next_share, word_length, upper_share, dup_line_share INTO NAME signal VALUE value),
 r AS (SELECT doc_id, min(step) AS step FROM x JOIN cuts USING (signal) WHERE value > cutoff GROUP BY doc_id),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-hold AS (SELECT DISTINCT lang, text, step FROM v JOIN good USING (doc_id) LEFT JOIN r USING (doc_id)),
+told AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+hold AS (SELECT DISTINCT lang, text, step FROM v JOIN told USING (doc_id) LEFT JOIN r USING (doc_id) WHERE good),
+bad AS (SELECT DISTINCT lang, step FROM v JOIN told USING (doc_id) JOIN r USING (doc_id) WHERE NOT good),
 z AS (SELECT lang, count(*) AS n, count(*) >= ln(DELTA / ((SELECT count(DISTINCT coalesce(lang, chr(0))) FROM hold) + 1)) / ln(1 - RATE) AS own,
         ln(DELTA / ((SELECT count(DISTINCT coalesce(lang, chr(0))) FROM hold) + 1)) / ln(1 - RATE) AS need FROM hold GROUP BY lang),
 fam AS (
@@ -265,10 +270,14 @@ failed AS (
   WHERE coalesce(p, 1) > DELTA / ((SELECT count(*) FILTER (own) FROM z) + 1) GROUP BY ALL),
 last AS (
   SELECT f.own, f.lang, coalesce(fail, 1000000) AS upto FROM (SELECT DISTINCT own, lang FROM fam) f LEFT JOIN failed ON failed.own = f.own AND failed.lang IS NOT DISTINCT FROM f.lang),
+useful AS (
+  SELECT last.own, last.lang, max(bad.step) AS step FROM last JOIN bad ON bad.step < upto
+    AND CASE WHEN last.own THEN bad.lang IS NOT DISTINCT FROM last.lang ELSE (SELECT coalesce(sum(n) FILTER (NOT own), 0) < any_value(need) FROM z) OR NOT EXISTS (SELECT 1 FROM z WHERE z.own AND z.lang IS NOT DISTINCT FROM bad.lang) END
+  GROUP BY ALL),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(r.step < coalesce(l.upto, (SELECT upto FROM last WHERE NOT own), 0), false) AS kept
-FROM b LEFT JOIN r USING (doc_id) LEFT JOIN last l ON l.own AND l.lang IS NOT DISTINCT FROM b.lang
+       NOT base_failed AND NOT coalesce(r.step <= CASE WHEN EXISTS (SELECT 1 FROM z WHERE z.own AND z.lang IS NOT DISTINCT FROM b.lang) THEN u.step ELSE (SELECT step FROM useful WHERE NOT own) END, false) AS kept
+FROM b LEFT JOIN r USING (doc_id) LEFT JOIN useful u ON u.own AND u.lang IS NOT DISTINCT FROM b.lang
 """
 for _name, _value in {
     "CUTS": " UNION ALL ".join(f"SELECT '{s}' AS signal, {i} AS step, {c}::DOUBLE AS cutoff" for i, (s, c) in enumerate(STEPS)),

@@ -381,6 +381,8 @@ def joint_rule(docs_, labels_, alpha=None, delta=None):
             if x >= n * alpha or sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(x + 1)) > delta / (len(own) + 1):
                 break
             last[f] = k
+        seen = {first_step(t or "") for i, t, s in docs_ if worst.get(i) == 0 and (s == f if f != "shared" else len(small) < need or s not in own)} - {None}
+        last[f] = max((k for k in seen if k <= last[f]), default=-1)
     over = {(s, t) for (s, t), k in at.items() if k is not None and k <= last[s if s in own else "shared"]}
     return last, over
 
@@ -392,19 +394,20 @@ def test_certified_cutoffs(spark):
     bad = [(10_000 + i, f"bad {i} " + marks, "en", 0) for i in range(500)]
     few = [(20_000 + i, f"few {i} " + marks, "xx", 0) for i in range(50)]
     none = [(30_000 + i, f"none {i} " + plain + " #" * (60 * (i % 2)), None, 0) for i in range(20)]
-    rows = good + bad + few + none
+    worse = [(40_000 + i, f"worse {i} " + plain + " #" * 56, "xx", 0) for i in range(9)]
+    rows = good + bad + few + none + worse
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
-    told = [(d[0], int(d[0] < 10_000 or 20_000 <= d[0] < 30_000), 0) for d in good + bad + few]
+    told = [(d[0], int(d[0] < 10_000 or 20_000 <= d[0] < 30_000), 0) for d in good + bad + few + worse]
     labels = spark.createDataFrame(told, "doc_id long, quality int, toxic int")
     last, over = joint_rule([d[:3] for d in rows], [t[:2] for t in told])
-    ids = quality_rules.good_ids(labels)
+    ids = quality_rules.labelled_ids(labels)
     steps, shared = quality_rules.certified_steps(quality_rules.holdout_numbers(df, ids, "lang"), ids)
     assert {r["_stratum"]: r["last_step"] for r in steps.collect()} | {"shared": shared} == last
-    # The large stratum certifies the whole rule, the small ones what all holdouts together allow.
-    assert last["en"] == len(quality_rules.STEPS) - 1 and 0 <= shared < last["en"]
+    # The large stratum goes as far as its bad documents tell, the small ones as far as all holdouts together allow.
+    assert quality_rules.STEPS[last["en"]] == ("symbols_per_word", 0.4) and quality_rules.STEPS[shared] == ("symbols_per_word", 0.6)
     kept = {r["doc_id"] for r in quality_rules.keep_good(df, labels).collect()}
     assert kept == {d[0] for d in rows if (d[2], d[1]) not in over and not quality(d[1])[5]}
-    assert all(d[0] in kept for d in few) and not any(d[0] in kept for d in bad)
+    assert all(d[0] in kept for d in few) and not any(d[0] in kept for d in bad + worse)
     assert {d[0] in kept for d in none if d[0] % 2} == {False} and {d[0] in kept for d in none if d[0] % 2 == 0} == {True}
     assert {r["doc_id"] for r in quality_rules.judge(df, labels).where("kept").collect()} == kept
 
@@ -420,7 +423,7 @@ def test_joint_rule_without_a_broadcast_and_with_few_labels(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)
     assert sorted(r["doc_id"] for r in quality_rules.keep_good(df, labels, alpha=0.1).collect()) == want
     assert sorted(r["doc_id"] for r in quality_rules.judge(df, labels, alpha=0.1).where("kept").collect()) == want
-    assert quality_rules.certified_steps(quality_rules.holdout_numbers(df, quality_rules.good_ids(labels.limit(0)), "lang"), quality_rules.good_ids(labels.limit(0)))[1] == -1
+    assert quality_rules.certified_steps(quality_rules.holdout_numbers(df, quality_rules.labelled_ids(labels.limit(0)), "lang"), quality_rules.labelled_ids(labels.limit(0)))[1] == -1
 
 
 def test_log_tail(spark):
