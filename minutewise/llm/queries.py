@@ -25,8 +25,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Tables of no more rows may lie in a single row group, which one task reads: their rows are dealt out to all cores first.
+SMALL = 10_240
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, whole; one of a few rows (counted from the files' footers) is spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.repartition(spark.sparkContext.defaultParallelism) if df.count() <= SMALL else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +72,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text_query(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return main_text_query(table(spark, sf_dir, "pages"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
