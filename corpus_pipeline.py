@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns what it keeps. All but the last
 return the columns of documents; each result is written as Parquet and read again as the next stage's documents.
+
+Defined results: null and empty texts fail the quality rules, so they go in the first stage; null languages are a stratum
+of their own; rows that repeat a doc_id stay once after near-dedup, those without an id all stay; columns beyond those of
+documents, whatever their names, come along up to packing; labels and items that are null or have no id decide nothing;
+ties (copies) keep the smallest doc_id; texts of any length are worked through whole; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from minutewise.llm.decontaminate import drop_contaminated
 from minutewise.llm.near_dups import drop_near_duplicates
 from minutewise.llm.packing import packing_query
 from minutewise.llm.quality_rules import keep_good
-from minutewise.llm.queries import vocabulary
+from minutewise.llm.queries import documents, vocabulary
 from minutewise.llm.secret_scan import redact
 from minutewise.llm.shared import staged
 
@@ -55,7 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)
