@@ -152,8 +152,8 @@ def observed_every_day(spark, sf):
 GAPS = "gp AS (SELECT component, kpi, t - lag(t) OVER (PARTITION BY component, kpi, day ORDER BY t) AS gap FROM gr JOIN td USING (day) WHERE value IS NOT NULL), lm AS (SELECT component, kpi, coalesce(median(gap), 1.0) AS median_gap, CAST(greatest(2, 2 * floor(coalesce(median(gap), 1.0))) AS INTEGER) AS lim FROM gp GROUP BY ALL)"
 
 
-def train_grid(spark, sf):
-    return T.grid(spark, sf).join(F.broadcast(T.train_days(spark, sf)), "day", "left_semi")
+def train_grid(spark, sf, grid=None):
+    return (T.grid(spark, sf) if grid is None else grid).join(F.broadcast(T.train_days(spark, sf)), "day", "left_semi")
 
 
 @query(f", {GAPS} SELECT component, kpi, median_gap, lim AS fill_limit FROM lm")
@@ -168,7 +168,8 @@ FILLED = "hd AS (SELECT *, last_value(value IGNORE NULLS) OVER w AS v, last_valu
     f", {GAPS}, {FILLED}, md AS (SELECT component, kpi, median(filled) AS m FROM fl JOIN td USING (day) GROUP BY ALL) SELECT day, t, component, kpi, round(filled, 6) AS filled, round(coalesce(filled, m, 0), 6) AS clean FROM fl LEFT JOIN md USING (component, kpi)"
 )
 def bounded_ffill(spark, sf):
-    filled = clean.bounded_ffill(T.grid(spark, sf), clean.fill_limits(train_grid(spark, sf)))
+    grid = kept(T.grid(spark, sf))  # three plans read it
+    filled = clean.bounded_ffill(grid, clean.fill_limits(train_grid(spark, sf, grid)))
     return clean.fill_rest(filled, T.train_days(spark, sf)).select("day", "t", *SERIES, r6("filled").alias("filled"), r6("clean").alias("clean"))
 
 
@@ -182,7 +183,7 @@ SELECT (SELECT count(*) FROM ev) AS series_raw, (SELECT count(*) FROM ev WHERE N
  (SELECT round(avg(CASE WHEN filled IS NULL THEN 1.0 ELSE 0.0 END), 6) FROM fl JOIN kp USING (component, kpi)) AS missing_after_ffill_all"""
 )
 def prep_summary(spark, sf):
-    out = clean.prep_summary(T.grid(spark, sf), T.train_days(spark, sf))
+    out = clean.prep_summary(kept(T.grid(spark, sf)), T.train_days(spark, sf))
     return out.withColumns({c: r6(c) for c in ("missing_after_ffill_train", "missing_after_ffill_all")})
 
 

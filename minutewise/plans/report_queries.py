@@ -178,7 +178,7 @@ ms AS (SELECT component, kpi, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END)
 
 
 def missingness(spark, sf):
-    return clean.missingness(T.grid(spark, sf), T.train_days(spark, sf))
+    return clean.missingness(kept(T.grid(spark, sf)), T.train_days(spark, sf))
 
 
 @query(f", {MISSING} SELECT component, kpi, round(raw, 6) AS raw, round(after_cleaning, 6) AS after_cleaning FROM ms")
@@ -196,7 +196,7 @@ def q5_missingness_histogram(spark, sf):
 
 @query(f", {MISSING}, hv AS (SELECT day, t, component, kpi, last_value(value IGNORE NULLS) OVER (PARTITION BY component, kpi, day ORDER BY t ROWS UNBOUNDED PRECEDING) AS v, seen_at FROM hd), fl AS (SELECT hv.*, CASE WHEN t - seen_at <= lim THEN v END AS filled FROM hv JOIN kp USING (component, kpi) JOIN lm USING (component, kpi)), md AS (SELECT component, kpi, median(filled) AS m FROM fl JOIN td USING (day) GROUP BY ALL) SELECT day, t, component, kpi, round(coalesce(filled, m, 0), 6) AS clean FROM fl LEFT JOIN md USING (component, kpi)")
 def prepared_fold(spark, sf):
-    return clean.cleaned(T.grid(spark, sf), T.train_days(spark, sf)).select("day", "t", *SERIES, r6("clean").alias("clean"))
+    return clean.cleaned(kept(T.grid(spark, sf)), T.train_days(spark, sf)).select("day", "t", *SERIES, r6("clean").alias("clean"))
 
 
 @query(
