@@ -24,16 +24,21 @@ def title_case(text: Column) -> Column:
     return F.initcap(text)
 
 
+def shown(form: str, value: Column) -> Column:
+    """A number in C's format; "NA" if there is none."""
+    return F.when(value.isNotNull(), F.format_string(form, value)).otherwise("NA")
+
+
 def percent(share: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f%%", F.lit(100.0) * share)
+    return shown(f"%.{digits}f%%", F.lit(100.0) * share)
 
 
 def signed(value: Column) -> Column:
-    return F.format_string("%+.3f", value.cast("double"))
+    return shown("%+.3f", value.cast("double"))
 
 
 def interval(mid: Column, low: Column, high: Column) -> Column:
-    return F.format_string("%.3f [%.3f, %.3f]", mid, low, high)
+    return F.concat(shown("%.3f", mid), F.lit(" ["), shown("%.3f", low), F.lit(", "), shown("%.3f", high), F.lit("]"))
 
 
 def clip(value: Column, low: float, high: float) -> Column:

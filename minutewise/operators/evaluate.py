@@ -88,6 +88,13 @@ def confusion(scores: DataFrame, keys: list[str], y: str = "y", alarm: str = "al
     return c.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn), "base_rate": ratio(tp + fn, tp + fp + fn + tn)})
 
 
+def located(onsets: DataFrame, grid: DataFrame, keys: list[str], row: str = "row") -> DataFrame:
+    """The onsets with the grid's row of their keys (such as day and bucket); reading an onset that the grid lacks is an error."""
+    met = onsets.join(grid.select(*keys, F.col(row).alias("_row")), keys, "left")
+    absent = F.raise_error(F.concat(F.lit("no grid row for the onset at "), F.concat_ws(" ", *keys))).cast("long")
+    return met.withColumn(row, F.coalesce(F.col("_row"), absent)).drop("_row")
+
+
 def event_detection(onsets: DataFrame, scores: DataFrame, keys: list[str], horizon: int | str, row: str = "row") -> DataFrame:
     """onsets (keys, row, ...), scores (keys, row, alarm): each onset with detected and lead (rows, earliest alarm in [row - horizon, row - 1]).
 

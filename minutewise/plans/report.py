@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from minutewise.functions.scalars import interval, percent, series_component, series_kpi, signed, title_case
+from minutewise.functions.scalars import interval, percent, series_component, series_kpi, shown, signed, title_case
 
 #: Run names with their labels, and the prefixes that are cut from metric names. The other strings of this
 #: module (labels of stages, kinds, metrics and settings) are the report's too.
@@ -82,7 +82,7 @@ def metrics_table(metrics: DataFrame, predictions: DataFrame | None = None, keys
         "horizon",
         F.bround("base_rate", 3).alias("base_rate"),
         interval(F.col("pr_auc"), F.col("pr_auc_lo"), F.col("pr_auc_hi")).alias("pr_auc"),
-        F.format_string("%.2f", "pr_lift").alias("lift"),
+        shown("%.2f", F.col("pr_lift")).alias("lift"),
         F.bround("roc_auc", 3).alias("roc_auc"),
         percent(F.col("alarmed")).alias("alarmed"),
         F.format_string("%d / %d", "events_detected", "n_events").alias("caught"),
@@ -132,8 +132,8 @@ def study_lifts(lookback: DataFrame, hidden: DataFrame) -> DataFrame:  # Q15
 
 
 def seed_stability(seeds: DataFrame) -> DataFrame:  # Q16
-    spread = lambda c: F.format_string("%.2f (%.2f)", F.avg(c), F.stddev_samp(c))
-    reach = lambda c: F.format_string("%.2f to %.2f", F.min(c), F.max(c))
+    spread = lambda c: F.concat(shown("%.2f", F.avg(c)), F.lit(" ("), shown("%.2f", F.stddev_samp(c)), F.lit(")"))
+    reach = lambda c: F.concat(shown("%.2f", F.min(c)), F.lit(" to "), shown("%.2f", F.max(c)))
     return seeds.groupBy("system").agg(F.count("*").alias("runs"), spread("val_lift").alias("val_lift"), spread("test_lift").alias("test_lift"), reach("test_lift").alias("test_range"), reach("test_roc").alias("roc_range"))
 
 
@@ -152,6 +152,6 @@ def top_features(saliency: DataFrame, n: int = 8) -> DataFrame:  # Q19
 
 
 def compare_systems(metrics: DataFrame) -> DataFrame:  # Q20
-    reach = lambda c: F.format_string("%.2f to %.2f", F.min(c), F.max(c))
+    reach = lambda c: F.concat(shown("%.2f", F.min(c)), F.lit(" to "), shown("%.2f", F.max(c)))
     above = F.format_string("%d of %d", F.count_if(F.col("pr_auc_lo") > F.col("base_rate")), F.count("*"))
     return metrics.groupBy("system").agg(reach("pr_lift").alias("lift_range"), reach("roc_auc").alias("roc_range"), above.alias("above_base"), F.min_by("n_events", "horizon").alias("test_faults"))

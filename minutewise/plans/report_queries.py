@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from minutewise.functions.scalars import clip, sigmoid
 from minutewise.operators import clean, evaluate, explore, features
+from minutewise.operators.grid import exact_grid
 from minutewise.operators.labels import label_and_mask
 from minutewise.operators.stage import kept
 from minutewise.plans import report
 from minutewise.plans import telemetry as T
-from minutewise.plans.catalog import SERIES, bootstrap_sql, query, r6
+from minutewise.plans.catalog import QUERIES, SERIES, bootstrap_sql, query, r6
+from minutewise.sources.files import write_result
 
 HORIZONS = [1, 3, 6]
 RUN = ["system", "run"]
@@ -118,12 +120,52 @@ def predicted(spark, sf) -> DataFrame:
     return rows.where("split = 'test'").join(cut, [*RUN, "fold", "horizon"]).withColumn("alarm", F.col("score") >= F.col("threshold"))
 
 
-def metrics(spark, sf) -> DataFrame:
+def run_days(spark, sf) -> DataFrame:
+    """run, fold, day of the test days."""
     runs = folds(spark, sf).where("split = 'test'").withColumn("inputs", F.explode(F.array(F.lit("level"), F.lit("change"))))
-    days = runs.select(F.concat_ws("-", "kind", "inputs").alias("run"), "fold", "day")
-    onsets = faults(spark, sf).join(days, "day").withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS)))).select(*RUN, "fold", "horizon", "event_id", T.row_of("day", "t").alias("row"))
-    tested = days.crossJoin(spark.createDataFrame([("Bank",), ("Telecom",)], "system string"))
-    return evaluate.metrics(predicted(spark, sf), onsets, tested, RUN)
+    return runs.select(F.concat_ws("-", "kind", "inputs").alias("run"), "fold", "day")
+
+
+def onsets_tested(spark, sf) -> DataFrame:
+    """system, run, fold, horizon, event_id, component, reason, row of the onsets on test days."""
+    grid = exact_grid(T.days(spark, sf), T.BUCKETS).withColumn("row", T.row_of("day", "t"))
+    onsets = evaluate.located(faults(spark, sf), grid, ["day", "t"]).join(run_days(spark, sf), "day").withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
+    return onsets.select(*RUN, "fold", "horizon", "event_id", "component", "reason", "row")
+
+
+def metrics(spark, sf) -> DataFrame:
+    tested = run_days(spark, sf).crossJoin(spark.createDataFrame([("Bank",), ("Telecom",)], "system string"))
+    return evaluate.metrics(predicted(spark, sf), onsets_tested(spark, sf), tested, RUN)
+
+
+def events(spark, sf) -> DataFrame:
+    """Each onset of each run with whether it was detected, and how long before."""
+    return evaluate.event_detection(onsets_tested(spark, sf), predicted(spark, sf), [*RUN, "fold", "horizon"], "horizon").withColumnRenamed("lead", "lead_min")
+
+
+def splits(spark, sf) -> DataFrame:
+    """A row a system, run, fold, split and horizon: days, windows, positives, shape, and the share of inputs at the bounds of clipping."""
+    rows = scored(spark, sf)
+    bounded = F.aggregate(F.transform("window", lambda x: (F.abs((x - 50) / 25) >= 10).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size("window")
+    return rows.groupBy(*RUN, "fold", "split", "horizon").agg(
+        F.array_join(F.array_sort(F.collect_set(F.col("day").cast("string"))), ", ").alias("days"), F.count("*").alias("windows"), F.sum("y").alias("positive"),
+        F.concat_ws(" x ", F.count("*"), F.max(F.size("window"))).alias("shape"), F.avg(bounded).alias("clipped_share"),
+    )
+
+
+def write_results(spark, sf, path: str, recurrent: bool = True) -> list[str]:
+    """Writes the study's result tables as CSV folders under `path`, and returns their names. recurrent: those of the recurrent model too."""
+    tables = {
+        "metrics": metrics(spark, sf), "predictions": predicted(spark, sf).select(*KEYS, "fold", (T.row_of("day", "t") * 1800).alias("timestamp"), "y", "score", "alarm"), "events": events(spark, sf),
+        "split": splits(spark, sf), "prep": clean.prep_summary(kept(T.grid(spark, sf)), T.train_days(spark, sf)), "drift": drift(spark, sf), "missingness": missingness(spark, sf),
+        "onset_profile": profiles(spark, sf), "closeup": QUERIES["q6_closeup_panels"](spark, sf),
+    }
+    if recurrent:
+        for name, query_name in (("history", "lstm_history"), ("study", "lstm_study"), ("gates", "lstm_gates"), ("saliency_time", "lstm_saliency"), ("saliency_feature", "lstm_top_features")):
+            tables[name] = QUERIES[query_name](spark, sf)
+    for name, table in tables.items():
+        write_result(table, f"{path}/{name}")
+    return list(tables)
 
 
 def smoothed(spark, sf) -> DataFrame:
@@ -258,7 +300,7 @@ def q7_profile_band(spark, sf):
 @query(
     f""", {QUIET}, ph AS (SELECT system, reason, CASE WHEN minute < -3 THEN 'base' WHEN minute < 0 THEN 'pre' WHEN minute <= 1 THEN 'onset' ELSE 'later' END AS period, avg(change) AS c FROM pf WHERE kind = 'fault' GROUP BY ALL),
 wi AS (SELECT system, reason, max(c) FILTER (period = 'base') AS b, max(c) FILTER (period = 'pre') AS p, max(c) FILTER (period = 'onset') AS o FROM ph GROUP BY ALL)
-SELECT system, reason, (SELECT count(DISTINCT onset) FROM pf WHERE kind = 'fault' AND pf.system = wi.system AND pf.reason = wi.reason) AS faults, coalesce(printf('%+.3f', p - b), 'null') AS before_start, coalesce(printf('%+.3f', o - b), 'null') AS after_start FROM wi"""
+SELECT system, reason, (SELECT count(DISTINCT onset) FROM pf WHERE kind = 'fault' AND pf.system = wi.system AND pf.reason = wi.reason) AS faults, coalesce(printf('%+.3f', round(p - b, 3)), 'NA') AS before_start, coalesce(printf('%+.3f', round(o - b, 3)), 'NA') AS after_start FROM wi"""
 )
 def q8_change_by_type(spark, sf):
     return report.change_by_type(profiles(spark, sf), -3, 1)
@@ -276,12 +318,26 @@ def run_metrics(spark, sf):
     return metrics(spark, sf).withColumns({c: r6(c) for c in ROUNDED})
 
 
-F3 = "coalesce(printf('%.3f', {0}), 'null')"
+@query(f", {METRICS} SELECT system, run, fold, horizon, event_id, component, reason, row, CAST(lead AS INTEGER) AS lead_min, lead IS NOT NULL AS detected FROM ed JOIN (SELECT event_id, component, reason FROM fb) USING (event_id)")
+def run_events(spark, sf):
+    return events(spark, sf)
+
+
+@query(
+    f""", {BASE} SELECT sd.system, run, fold, split, horizon, string_agg(DISTINCT CAST(sd.day AS VARCHAR), ', ' ORDER BY CAST(sd.day AS VARCHAR)) AS days, count(*) AS windows, CAST(sum(y) AS BIGINT) AS positive, count(*) || ' x 6' AS shape,
+ round(avg(len(list_filter(w, lambda x: abs((x - 50) / 25) >= 10)) / 6), 6) AS clipped_share FROM sd JOIN w6 ON w6.system = sd.system AND w6.day = sd.day AND w6.t = sd.t GROUP BY ALL"""
+)
+def run_splits(spark, sf):
+    return splits(spark, sf).withColumn("clipped_share", r6("clipped_share"))
+
+
+F2 = "coalesce(printf('%.2f', round({0}, 2)), 'NA')"
+F3 = "coalesce(printf('%.3f', round({0}, 3)), 'NA')"
 
 
 @query(
-    f""", {METRICS} SELECT system, run, horizon, round_even(base_rate, 3) AS base_rate, {F3.format("pr_auc")} || ' [' || {F3.format("pr_auc_lo")} || ', ' || {F3.format("pr_auc_hi")} || ']' AS pr_auc, coalesce(printf('%.2f', pr_lift), 'null') AS lift,
- round_even(roc_auc, 3) AS roc_auc, printf('%.1f%%', 100.0 * (tp + fp) / (tp + fp + fn + tn)) AS alarmed, events_detected || ' / ' || n_events AS caught, round_even(false_alarms_per_day, 1) AS false_alarms_per_day FROM mt"""
+    f""", {METRICS} SELECT system, run, horizon, round_even(base_rate, 3) AS base_rate, {F3.format("pr_auc")} || ' [' || {F3.format("pr_auc_lo")} || ', ' || {F3.format("pr_auc_hi")} || ']' AS pr_auc, coalesce(printf('%.2f', round(pr_lift, 2)), 'NA') AS lift,
+ round_even(roc_auc, 3) AS roc_auc, printf('%.1f%%', round(100.0 * (tp + fp) / (tp + fp + fn + tn), 1)) AS alarmed, events_detected || ' / ' || n_events AS caught, round_even(false_alarms_per_day, 1) AS false_alarms_per_day FROM mt"""
 )
 def q9_metrics_table(spark, sf):
     return report.metrics_table(metrics(spark, sf), predicted(spark, sf), ("system", "run"))
@@ -372,7 +428,7 @@ def q13_lift_by_run(spark, sf):
 
 @query(
     f""", {BASE}, sp AS (SELECT system, split, string_agg(DISTINCT CAST(day AS VARCHAR), ', ' ORDER BY CAST(day AS VARCHAR)) AS days, count(*) AS windows, CAST(sum(y) AS BIGINT) AS positive FROM sd WHERE run = 'chrono-level' AND horizon = 3 GROUP BY ALL)
-SELECT system, upper(left(split, 1)) || substr(split, 2) AS split, regexp_replace(days, '20\\d\\d-', '', 'g') AS days, windows, positive, printf('%.1f%%', 100.0 * positive / windows) AS share, windows || ' x 6' AS shape FROM sp"""
+SELECT system, upper(left(split, 1)) || substr(split, 2) AS split, regexp_replace(days, '20\\d\\d-', '', 'g') AS days, windows, positive, printf('%.1f%%', round(100.0 * positive / windows, 1)) AS share, windows || ' x 6' AS shape FROM sp"""
 )
 def q14_split_table(spark, sf):
     rows = scored(spark, sf).where("run = 'chrono-level' and horizon = 3")
@@ -403,7 +459,7 @@ def q15_study_lifts(spark, sf):
     f""", {BASE}, cv AS (SELECT * FROM sd WHERE run = 'cv-level' AND horizon = 3), c1 AS (SELECT * FROM cv WHERE split = 'val'), c2 AS (SELECT * FROM cv WHERE split = 'test'),
 {auc_sql("c1", ["system", "fold"], "va")}, {auc_sql("c2", ["system", "fold"], "ta")}, rn AS (SELECT va.system, va.pr_auc / va.base AS vl, ta.pr_auc / ta.base AS tl, ta.roc_auc AS roc FROM va JOIN ta USING (system, fold)),
 f2 AS (SELECT system, count(*) AS runs, avg(vl) AS a, stddev_samp(vl) AS b, avg(tl) AS c, stddev_samp(tl) AS d, min(tl) AS e, max(tl) AS f, min(roc) AS g, max(roc) AS h FROM rn GROUP BY system)
-SELECT system, runs, printf('%.2f (%.2f)', a, b) AS val_lift, printf('%.2f (%.2f)', c, d) AS test_lift, printf('%.2f to %.2f', e, f) AS test_range, printf('%.2f to %.2f', g, h) AS roc_range FROM f2"""
+SELECT system, runs, {F2.format('a')} || ' (' || {F2.format('b')} || ')' AS val_lift, {F2.format('c')} || ' (' || {F2.format('d')} || ')' AS test_lift, {F2.format('e')} || ' to ' || {F2.format('f')} AS test_range, {F2.format('g')} || ' to ' || {F2.format('h')} AS roc_range FROM f2"""
 )
 def q16_seed_stability(spark, sf):
     rows = scored(spark, sf).where("run = 'cv-level' and horizon = 3")
@@ -447,7 +503,7 @@ def q19_top_features(spark, sf):
 
 
 @query(
-    f""", {METRICS} SELECT system, printf('%.2f to %.2f', min(pr_lift), max(pr_lift)) AS lift_range, printf('%.2f to %.2f', min(roc_auc), max(roc_auc)) AS roc_range,
+    f""", {METRICS} SELECT system, {F2.format('min(pr_lift)')} || ' to ' || {F2.format('max(pr_lift)')} AS lift_range, {F2.format('min(roc_auc)')} || ' to ' || {F2.format('max(roc_auc)')} AS roc_range,
  count(*) FILTER (pr_auc_lo > base_rate) || ' of ' || count(*) AS above_base, min_by(n_events, horizon) AS test_faults FROM mt WHERE run = 'chrono-level' GROUP BY system"""
 )
 def q20_compare_systems(spark, sf):

@@ -17,7 +17,7 @@ CHOSEN = [
     "window_stats", "change_inputs", "label_mask", "folds_cv", "neg_subsample_count", "split_summary", "pr_auc", "roc_auc", "threshold_confusion", "event_detection", "pooled_metrics", "onset_profile",
     "quiet_times", "closeup", "drift", "string_funcs", "ts_funcs", "math_funcs", "dot_product", "union_by_name", "bootstrap_ci", "series_missingness", "prepared_fold", "q1_first_faults", "q2_fault_types",
     "q3_faults_per_day", "q4_faults_on_recorded_days", "q5_missingness_histogram", "q6_closeup_panels", "q7_profile_band", "q8_change_by_type", "q9_metrics_table", "q10_history", "q11_timeline", "q11_onsets", "q12_drift",
-    "q12_bands", "q13_lift_by_run", "q14_split_table", "q15_study_lifts", "q16_seed_stability", "q17_gates", "q18_saliency_by_minute", "q19_top_features", "q20_compare_systems",
+    "q12_bands", "q13_lift_by_run", "q14_split_table", "q15_study_lifts", "q16_seed_stability", "q17_gates", "q18_saliency_by_minute", "q19_top_features", "q20_compare_systems", "run_events", "run_splits",
 ]
 
 
@@ -51,3 +51,23 @@ def test_same_rows(spark, duck, name):
 
 def test_every_query_has_a_name_and_most_a_twin():
     assert set(SQL) < set(QUERIES) and len(QUERIES) - len(SQL) < 12
+
+
+def test_result_tables_are_written_and_read_back(spark, tmp_path):
+    from minutewise.sources.files import read_csv_by_name
+
+    names = report_queries.write_results(spark, SF, str(tmp_path), recurrent=False)
+    assert len(names) == 9
+    back = read_csv_by_name(spark, f"{tmp_path}/metrics", "system string, run string, horizon int, tp int, pr_auc double, median_lead_min double, absent int")
+    want = {(r["system"], r["run"], r["horizon"]): (r["tp"], r["pr_auc"], r["median_lead_min"], None) for r in report_queries.metrics(spark, SF).collect()}
+    assert {(r["system"], r["run"], r["horizon"]): tuple(r)[3:] for r in back.collect()} == want
+    assert all(spark.read.option("header", True).csv(f"{tmp_path}/{name}").count() for name in names)
+
+
+def test_onsets_that_the_grid_lacks_are_an_error(spark):
+    from minutewise.operators.evaluate import located
+
+    grid = spark.createDataFrame([(1, 5, 53)], "day int, t int, row long")
+    assert located(spark.createDataFrame([(1, 5, "a")], "day int, t int, r string"), grid, ["day", "t"]).first()["row"] == 53
+    with pytest.raises(Exception, match="no grid row for the onset at 1 6"):
+        located(spark.createDataFrame([(1, 6, "a")], "day int, t int, r string"), grid, ["day", "t"]).collect()
