@@ -89,7 +89,9 @@ class Index:
     def occurrences(self) -> DataFrame:
         """row, window, start, size: where windows occur, all their words in place."""
         candidates = staged(self.candidates(), "candidates")
-        there = self.postings.join(candidates.select("row").distinct(), "row", "left_semi").select("row", "term_id", "pos")
+        # A number a document with candidates: written, so that Spark knows how few they are.
+        rows = staged(candidates.select("row").distinct(), "rows")
+        there = self.postings.join(rows, "row", "left_semi").select("row", "term_id", "pos")
         asked = candidates.join(self.windows, "window").select("row", "window", "start", F.size("w").alias("size"), F.posexplode("w").alias("off", "term_id"))
         met = asked.withColumn("pos", F.col("start") + F.col("off")).join(there, ["row", "term_id", "pos"])
         return met.groupBy("row", "window", "start", "size").agg(F.count("*").alias("n")).where("n = size").drop("n")
