@@ -17,7 +17,7 @@ CHOSEN = [
     "window_stats", "change_inputs", "label_mask", "folds_cv", "neg_subsample_count", "split_summary", "pr_auc", "roc_auc", "threshold_confusion", "event_detection", "pooled_metrics", "onset_profile",
     "quiet_times", "closeup", "drift", "string_funcs", "ts_funcs", "math_funcs", "dot_product", "union_by_name", "bootstrap_ci", "series_missingness", "prepared_fold", "q1_first_faults", "q2_fault_types",
     "q3_faults_per_day", "q4_faults_on_recorded_days", "q5_missingness_histogram", "q6_closeup_panels", "q7_profile_band", "q8_change_by_type", "q9_metrics_table", "q10_history", "q11_timeline", "q11_onsets", "q12_drift",
-    "q12_bands", "q13_lift_by_run", "q14_split_table", "q15_study_lifts", "q16_seed_stability", "q17_gates", "q18_saliency_by_minute", "q19_top_features", "q20_compare_systems", "run_events", "run_splits",
+    "q12_bands", "q14_split_table", "q15_study_lifts", "q16_seed_stability", "q17_gates", "q18_saliency_by_minute", "q19_top_features", "q20_compare_systems", "run_events", "run_splits",
 ]
 
 
