@@ -79,5 +79,11 @@ def floor_div(a: Column, b: int) -> Column:
     return F.floor(a / b).cast("long")
 
 
+def draw(*parts: Column | int) -> Column:
+    """A number below 2**48 by a hash of the parts (as texts), the same in any SQL engine that knows MD5."""
+    texts = [F.lit(p).cast("string") if isinstance(p, int) else p.cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *texts)), 1, 12), 16, 10).cast("long")
+
+
 def local_day(second: Column, offset: int) -> Column:
     return F.date_from_unix_date(F.floor((second + offset) / 86400).cast("int"))

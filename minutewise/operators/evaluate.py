@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from minutewise.functions.scalars import draw
 from minutewise.operators.stage import kept
 
 RANGES = 64
@@ -142,8 +143,7 @@ def block_draws(counts: DataFrame, reps: int = 300, block: int = 60, seed: int =
     row is in no block.)"""
     per = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n_rows") / block))
     asked = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), per - 1)))
-    drawn = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), "rep", "_b")), 1, 12), 16, 10).cast("long")
-    starts = asked.withColumn("start", drawn % F.greatest(F.lit(1).cast("long"), F.col("n_rows") - block + 1))
+    starts = asked.withColumn("start", draw(seed, F.col("rep"), F.col("_b")) % F.greatest(F.lit(1).cast("long"), F.col("n_rows") - block + 1))
     return starts.withColumn("upto", F.least(F.col("start") + block, F.col("n_rows"))).drop("_b", "n_rows")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minutewise.functions.scalars import clip, floor_div
+from minutewise.functions.scalars import clip, draw, floor_div
 
 
 def around(times: DataFrame, values: DataFrame, before: int, after: int) -> DataFrame:
@@ -43,7 +43,7 @@ def quiet_times(grid: DataFrame, onsets: DataFrame, distance: int, row: str = "r
 
 def sample_rows(df: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
     """n rows by the smallest hashes of key and seed: the sample is the operator's purpose."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    return df.orderBy(draw(*(F.col(k) for k in key), seed), *key).limit(n)
 
 
 def closeup(window: DataFrame, series: list[str], k: int = 4) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from minutewise.functions.scalars import draw
+
 
 def label_and_mask(grid: DataFrame, onsets: DataFrame, horizons: list[int], buckets: int, first: int = 59, blackout: int = 10, keys: tuple[str, ...] = ("day",)) -> DataFrame:
     """grid (keys, t), onsets (keys, t): keys, t, horizon, y, is_onset, usable.
@@ -34,11 +36,11 @@ def subsample_quota(train: DataFrame, by: list[str], per_positive: int = 5, leas
 def subsample_rows(train: DataFrame, by: list[str], key: list[str], seed: int, per_positive: int = 5, least: int = 500) -> DataFrame:
     """All positives, and the quota of negatives with the smallest hashes of key and seed.
 
-    The quota's hash is found among hash ranges first, so that no group is ranked in one task: rows below the range in
+    Hashes count in the order of their rest by the number of ranges, then of their size. The quota's hash is found among hash ranges first, so that no group is ranked in one task: rows below the range in
     which the quota ends are kept, and only that range is ranked.
     """
     ranges = 4096
-    hashed = train.withColumn("_h", F.xxhash64(*key, F.lit(seed))).withColumn("_r", F.pmod("_h", F.lit(ranges)))
+    hashed = train.withColumn("_h", draw(*(F.col(k) for k in key), seed)).withColumn("_r", F.pmod("_h", F.lit(ranges)))
     quota = subsample_quota(train, by, per_positive, least).select(*by, "negative")
     spread = hashed.where("y = 0").groupBy(*by, "_r").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)

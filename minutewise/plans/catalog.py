@@ -297,9 +297,17 @@ def neg_subsample_count(spark, sf):
     return labels.subsample_quota(labelled_folds(spark, sf).where("split = 'train'"), ["fold", "horizon"], least=50)
 
 
-@query()
+HASH = "CAST('0x' || substr(md5(day || '/' || t || '/20260916'), 1, 12) AS BIGINT)"
+
+
+@query(
+    f""", tn AS (SELECT fold, horizon, cf.day, t, y, {HASH.replace("md5(day", "md5(cf.day")} AS h FROM lb JOIN cf ON cf.day = lb.day WHERE usable AND split = 'train'),
+qt AS (SELECT fold, horizon, greatest(5 * count(*) FILTER (y = 1), 50) AS quota FROM tn GROUP BY ALL),
+rk AS (SELECT tn.*, row_number() OVER (PARTITION BY fold, horizon ORDER BY h % 4096, h, day, t) AS k FROM tn WHERE y = 0)
+SELECT fold, horizon, day, t, y FROM tn WHERE y = 1 UNION ALL SELECT fold, horizon, day, t, y FROM rk JOIN qt USING (fold, horizon) WHERE k <= quota"""
+)
 def neg_subsample_rows(spark, sf):
-    return labels.subsample_rows(labelled_folds(spark, sf).where("split = 'train'"), ["fold", "horizon"], ["day", "t"], 20260916, least=50)
+    return labels.subsample_rows(labelled_folds(spark, sf).where("split = 'train'"), ["fold", "horizon"], ["day", "t"], 20260916, least=50).select("fold", "horizon", "day", "t", "y")
 
 
 @query(
@@ -477,7 +485,9 @@ def quiet_times(spark, sf):
     return explore.quiet_times(cells, on, 4).select("day", "t")
 
 
-@query()
+@query(
+    f"SELECT day, t FROM dy CROSS JOIN bk WHERE NOT EXISTS (SELECT 1 FROM fa WHERE abs((datediff('day', fa.day, dy.day) * 48 + bk.t) - fa.t) <= 4) ORDER BY {HASH}, day, t LIMIT 300"
+)
 def quiet_sample(spark, sf):
     return explore.sample_rows(quiet_times(spark, sf), ["day", "t"], 300, 20260916)
 
