@@ -39,7 +39,7 @@ from minutewise.llm.token_ids import PieceEncoder
 
 CAPACITY = 2048
 END = 0
-#: Nodes of the search; beyond, the best plan so far is taken.
+#: Nodes of the search and fillings looked at, together; beyond, the best plan so far is taken.
 NODES = 12_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -119,25 +119,36 @@ def copies(reach: int, n: int, stock: int) -> int:
     return reach
 
 
-def is_dominated(filling: list[int], slack: int, stock: dict[int, int]) -> bool:
-    """Whether one piece that is left over could take the place of several, or of a smaller one."""
+def is_dominated(filling: list[int], slack: int, stock: dict[int, int], there: int | None = None) -> bool:
+    """Whether one piece that is left over could take the place of several, or of a smaller one. there: the lengths of the stock, as bits."""
     one = several = 0
+    if there is None:
+        there = sum(1 << n for n in stock if stock[n])
     for n in filling:
         several |= several << n | one << n
         one |= 1 << n
-    used = {n: filling.count(n) for n in set(filling)}
-    for x, there in stock.items():
-        if there > used.get(x, 0):
-            window = ((1 << (slack + 1)) - 1) << max(0, x - slack) if x >= slack else (1 << (x + 1)) - 1
-            if several & window & ((1 << (x + 1)) - 1) or one & window & ((1 << x) - 1):
-                return True
-    return False
-
-
-def fillings(left: np.ndarray, capacity: int, most_waste: int) -> Iterator[tuple[list[int], int]]:
+    for n in set(filling):
+        if filling.count(n) >= stock.get(n, 0):
+            there &= ~(1 << n)
+    # Sums, and sums up to `slack` above them; of single pieces only what is above.
+    above, width = several, 1
+    more, wide = one << 1 if slack else 0, 1
+    while width <= slack:
+        step = min(width, slack + 1 - width)
+        above |= above << step
+        width += step
+    while wide < slack:
+        step = min(wide, slack - wide)
+        more |= more << step
+        wide += step
+    return bool((above | more) & there)
+
+
+def fillings(left: np.ndarray, capacity: int, most_waste: int, budget: list[int]) -> Iterator[tuple[list[int], int]]:
     """The undominated fillings around the largest length left, with their waste, from full ones on up to `most_waste`.
 
     Sums within reach of the lengths from each place on (bits of a number) lead the enumeration, so that it has no dead ends.
+    Each filling looked at, dominated or not, takes one from the budget; without a budget there are no more.
     """
     largest = int(np.flatnonzero(left)[-1])
     rest = capacity - largest
@@ -145,6 +156,7 @@ def fillings(left: np.ndarray, capacity: int, most_waste: int) -> Iterator[tuple
     if largest in stock:
         stock[largest] = min(int(left[largest]) - 1, rest // largest)
     lengths = [n for n in stock if stock[n]]
+    there = sum(1 << n for n in lengths)
     keep = (1 << (rest + 1)) - 1
     reach = [1]
     for n in reversed(lengths):
@@ -157,18 +169,22 @@ def fillings(left: np.ndarray, capacity: int, most_waste: int) -> Iterator[tuple
             return
         while i < len(lengths) and lengths[i] > total:
             i += 1
-        if i == len(lengths) or not reach[i] >> total & 1:
-            return
-        n = lengths[i]
-        for c in range(min(stock[n], total // n), -1, -1):
-            if reach[i + 1] >> (total - n * c) & 1:
-                for more in exact(i + 1, total - n * c):
-                    yield [n] * c + more
+        # The first place from which the total can be made with its length: those before it only pass it on.
+        while i < len(lengths) and reach[i] >> total & 1:
+            n = lengths[i]
+            for c in range(min(stock[n], total // n), 0, -1):
+                if reach[i + 1] >> (total - n * c) & 1:
+                    for more in exact(i + 1, total - n * c):
+                        yield [n] * c + more
+            i += 1
 
     for waste in range(min(rest, most_waste) + 1):
         if reach[0] >> (rest - waste) & 1:
             for f in exact(0, rest - waste):
-                if not is_dominated(f, waste, stock):
+                budget[0] -= 1
+                if budget[0] < 0:
+                    return
+                if not is_dominated(f, waste, stock, there):
                     yield [largest, *f], waste
 
 
@@ -178,7 +194,8 @@ def search(counts: np.ndarray, capacity: int, most: int, bound: int, nodes: int)
     tokens = int((counts * size).sum())
     best, plan = None, []
     left, used, wasted = counts.copy(), 0, 0
-    # A node: its fillings still to come, and the ones to apply once on the way back.
+    budget = [nodes]
+    # A node: its fillings still to come, the one to apply once on the way back, what it has applied.
     stack: list[list] = []
     down = True
     while True:
@@ -188,7 +205,9 @@ def search(counts: np.ndarray, capacity: int, most: int, bound: int, nodes: int)
                 if used == bound:
                     return best, True
             elif used + lower_bound(left, capacity) <= most:
-                stack.append([fillings(left, capacity, most * capacity - tokens - wasted), None, None])
+                stack.append([fillings(left, capacity, most * capacity - tokens - wasted, budget), None, None])
+        if budget[0] < 0:
+            return best, False
         if not stack:
             return best, True
         node = stack[-1]
@@ -215,9 +234,7 @@ def search(counts: np.ndarray, capacity: int, most: int, bound: int, nodes: int)
         if wasted + times * waste > most * capacity - tokens:
             down = False
             continue
-        nodes -= 1
-        if nodes < 0:
-            return best, False
+        budget[0] -= 1
         np.subtract.at(left, filling, times)
         plan.append((filling, times))
         used, wasted, node[2] = used + times, wasted + times * waste, (filling, times, waste)
