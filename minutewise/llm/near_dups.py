@@ -163,17 +163,21 @@ def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of every id in the links (a, b), by large-star and small-star steps."""
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, rows: int) -> DataFrame:
         around = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
-        least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        joined = around.join(least, "u")
+        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        # Ids with more than one of HOT equal shares of the links: 2 * HOT at most, as a link has two ends. These by a broadcast.
+        many = F.col("n") * HOT > rows
+        told = around.join(F.broadcast(least.where(many).select("u", "m")), "u", "left")
+        joined = told.where("m is not null").unionByName(told.where("m is null").select("u", "v").join(least.where(~many).select("u", "m"), "u"))
         # Large: larger neighbours go to the smallest around; small: smaller neighbours and the id itself do.
         moved = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         return moved.where("u <> v").distinct()
 
     # Done when only stars are left: each u has one v, and no v is a u. The steps keep what is connected together.
     while True:
-        edges = staged(star(star(edges, True), False), "links")
+        rows = edges.count()
+        edges = staged(star(star(edges, True, rows), False, rows), "links")
         several = edges.groupBy("u").count().where("count > 1").select("u")
         inner = edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u")
         if several.union(inner).isEmpty():
