@@ -12,8 +12,8 @@
 4. In each band group every document is held against the group's smallest: as many pairs as documents. Pairs are
    verified on the full sets; the links' components are found by alternating large-star and small-star steps.
 5. Band groups that still hold several components are searched in full, pairs of different components only: groups
-   that share documents are searched as one, in cells of about `BLOCK` documents or, if they are larger, in pairs of
-   blocks. Within a cell the sketches tell which pairs are worth verifying (an estimate `SLACK` below the threshold has
+   that share documents are searched as one, in cells of about `BLOCK` documents or, if that is larger, band by band,
+   a pair in the first band it shares, band groups over `BLOCK` in pairs of blocks. Within a cell the sketches tell which pairs are worth verifying (an estimate `SLACK` below the threshold has
    a chance of 1e-7 at the threshold, by Chernoff's bound), and those are verified on their full sets at once; only the
    links that join components leave the cell. No group is gathered in one task, no group's pairs are written out.
 
@@ -118,6 +118,15 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), hashed_words(F.col("text")).alias("hashes")).mapInArrow(made, SKETCHED)
 
 
+def band_hashes(grid: np.ndarray) -> np.ndarray:
+    """A column a band: the hash of the band's number and coordinates."""
+    bands = grid.reshape(len(grid), COORDINATES // ROWS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(COORDINATES // ROWS, dtype=np.uint64), bands.shape[:2])
+    for k in range(ROWS):
+        h = mix(h * np.uint64(SEED) + bands[:, :, k])
+    return h.view(np.int64)
+
+
 def band_rows(reps: DataFrame) -> DataFrame:
     """id, band (a hash of the band's number and coordinates): a row a band."""
 
@@ -125,12 +134,9 @@ def band_rows(reps: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            grid = np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint32).reshape(b.num_rows, COORDINATES // ROWS, ROWS).astype(np.uint64)
-            h = np.broadcast_to(np.arange(COORDINATES // ROWS, dtype=np.uint64), grid.shape[:2])
-            for k in range(ROWS):
-                h = mix(h * np.uint64(SEED) + grid[:, :, k])
+            h = band_hashes(np.frombuffer(b"".join(b.column("sketch").to_pylist()), np.uint32).reshape(b.num_rows, COORDINATES))
             ids = np.repeat(b.column("id").to_numpy(), COORDINATES // ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.reshape(-1).view(np.int64))], names=["id", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(h.reshape(-1))], names=["id", "band"])
 
     return reps.select("id", "sketch").mapInArrow(cut, "id long, band long")
 
@@ -185,9 +191,10 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def search(ids: np.ndarray, comps: np.ndarray, grid: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, main: int, percent: int) -> list[tuple[int, int]]:
+def search(ids: np.ndarray, comps: np.ndarray, grid: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, main: int, percent: int, own: int = -1) -> list[tuple[int, int]]:
     """Links between different components, of the rows `left` (none of component `main`) with the rows `right`.
 
+    own: the number of the band that the rows share, if they do; a pair is looked at in the first band it shares only.
     Pairs whose sketches reach the threshold less SLACK are verified on their sets, the most alike first; a pair whose
     components have met by then is left out, so that at most as many links as components come back.
     """
@@ -203,6 +210,8 @@ def search(ids: np.ndarray, comps: np.ndarray, grid: np.ndarray, sets: list[np.n
     for x in left.tolist():
         alike = (grid[right] == grid[x]).sum(axis=1)
         ok = (alike >= least) & (comps[right] != comps[x]) & ((comps[right] == main) | (ids[right] > ids[x]))
+        if own >= 0:
+            ok[ok] = (grid[right[ok]] == grid[x]).reshape(-1, COORDINATES // ROWS, ROWS).all(axis=2).argmax(axis=1) == own
         near = right[ok]
         for y in near[np.argsort(-alike[ok], kind="stable")].tolist():
             a, b = root(int(comps[x])), root(int(comps[y]))
@@ -218,30 +227,37 @@ def search(ids: np.ndarray, comps: np.ndarray, grid: np.ndarray, sets: list[np.n
 def crossing_links(rest: DataFrame, hot: DataFrame, sketches_of: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between the components left in band groups (rows: band, id, component).
 
-    Band groups that share documents form one candidate group, so that a pair is looked at once, not once a band. In a
-    candidate group only documents outside its most frequent component are held against all others. Groups of up to
-    BLOCK documents are dealt to cells of about BLOCK rows; larger ones are cut into blocks, each pair of blocks in a
-    place of its own.
+    Band groups that share documents form one candidate group, so that a pair is looked at once, not once a band, if it
+    has up to BLOCK documents. In larger ones each band group stays a group of its own, as most of their pairs may share
+    no band; a pair is looked at in its first band. In a group only documents outside its most frequent component are
+    held against all others. Groups of up to BLOCK documents are dealt to cells of about BLOCK rows; band groups that
+    are larger are cut into blocks, each pair of blocks in a place of its own.
     """
     first = rest.groupBy("band").agg(F.min("id").alias("a"))
     grouped = components(joined_on_band(rest, staged(first, "first"), hot).select("a", F.col("id").alias("b"))).withColumnRenamed("component", "g")
-    members = staged(rest.select("id", "component").distinct().join(grouped, "id"), "candidates")
-    parts = members.groupBy("g", "component").agg(F.count("*").alias("n"))
-    about = staged(parts.groupBy("g").agg(F.sum("n").alias("n"), F.max("n").alias("n_main"), F.max_by("component", F.struct("n", "component")).alias("main")), "groups")
+    grouped = staged(grouped.distinct(), "grouped")
+    large = grouped.groupBy("g").count().where(F.col("count") > BLOCK).select("g")  # fewer than a BLOCK-th of the documents
+    split = staged(grouped.join(large, "g", "left_semi").select("id"), "large")
+    whole = rest.select("id", "component").distinct().join(grouped.join(large, "g", "left_anti"), "id").select("id", "component", "g", F.lit(None).cast("long").alias("band"))
+    by_band = rest.join(split, "id", "left_semi").select("id", "component", F.col("band").alias("g"), "band").distinct()
+    members = staged(whole.unionByName(by_band), "candidates")
+    parts = members.groupBy("g", "band", "component").agg(F.count("*").alias("n"))
+    about = staged(parts.groupBy("g", "band").agg(F.sum("n").alias("n"), F.max("n").alias("n_main"), F.max_by("component", F.struct("n", "component")).alias("main")), "groups")
     cells = max(1, -(-members.count() // BLOCK))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    told = members.join(about, "g").withColumns({"big": F.col("n") > BLOCK, "n_left": F.col("n") - F.col("n_main"), "other": F.col("component") != F.col("main")})
+    told = members.join(about.withColumnsRenamed({"g": "about_g", "band": "about_band"}), F.expr("g = about_g and band <=> about_band")).withColumns({"big": F.col("n") > BLOCK, "n_left": F.col("n") - F.col("n_main"), "other": F.col("component") != F.col("main")})
     told = told.withColumns({"nl": F.greatest(F.lit(1), blocks("n_left")), "nr": blocks("n")})
     block = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    place = lambda cell, i, j, side: F.struct(F.xxhash64(cell).alias("cell"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
+    # A candidate group and a band may have the same number: cells are told apart by both.
+    place = lambda cell, i, j, side: F.struct(F.xxhash64(cell, F.col("band").isNull()).alias("cell"), i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
     as_right = F.transform(upto("nl"), lambda i: place(F.col("g"), i, block("nr", 1), "r"))
     as_left = F.when(F.col("other"), F.transform(upto("nr"), lambda j: place(F.col("g"), block("nl", 2), j, "l"))).otherwise(F.slice(as_right, 1, 0))
     alone = F.array(place(F.pmod(F.xxhash64("g"), F.lit(cells)), F.lit(-1), F.lit(-1), "b"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    whole = told.join(sketches_of.select("id", "sketch").dropDuplicates(["id"]), "id").join(texts, "id").dropDuplicates(["id"])
-    whole = whole.select("id", "g", "component", "main", "sketch", hashed_words(F.col("text")).alias("hashes"), F.when(F.col("big"), F.concat(as_right, as_left)).otherwise(alone).alias("places"))
-    dealt = whole.withColumn("p", F.explode("places")).select("p.*", "id", "g", "component", "main", "sketch", "hashes")
+    whole = told.join(sketches_of.select("id", "sketch").dropDuplicates(["id"]), "id").join(texts, "id").dropDuplicates(["id", "g", "band"])
+    whole = whole.select("id", "g", "band", "component", "main", "sketch", hashed_words(F.col("text")).alias("hashes"), F.when(F.col("big"), F.concat(as_right, as_left)).otherwise(alone).alias("places"))
+    dealt = whole.withColumn("p", F.explode("places")).select("p.*", "id", "g", "band", "component", "main", "sketch", "hashes")
 
     def searched(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -250,10 +266,13 @@ def crossing_links(rest: DataFrame, hot: DataFrame, sketches_of: DataFrame, docs
         grid = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(len(ids), COORDINATES)
         sets = shingle_sets(table.column("hashes").chunk(0), size)
         links = []
-        order = np.argsort(g, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
-            left = rows[(comps[rows] != main[rows[0]]) & (side[rows] != "r")]
-            links += search(ids, comps, grid, sets, left, rows[side[rows] != "l"], int(main[rows[0]]), percent)
+        band, banded = table.column("band").fill_null(0).to_numpy(), table.column("band").is_valid().to_numpy(zero_copy_only=False)
+        order = np.lexsort((banded, g))
+        for rows in np.split(order, np.flatnonzero(np.diff(g[order]) | np.diff(banded[order].astype(np.int8))) + 1):
+            first = rows[0]
+            own = int(np.flatnonzero(band_hashes(grid[first : first + 1])[0] == band[first])[0]) if banded[first] else -1
+            left = rows[(comps[rows] != main[first]) & (side[rows] != "r")]
+            links += search(ids, comps, grid, sets, left, rows[side[rows] != "l"], int(main[first]), percent, own)
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return dealt.groupBy("cell", "i", "j").applyInArrow(searched, "a long, b long").distinct()
