@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from minutewise.llm.alignment import alignment_query
 from minutewise.llm.decontaminate import DECONTAMINATION_SQL, decontamination_query
 from minutewise.llm.html_main import main_text_query
 from minutewise.llm.license_scan import licenses_query
+from minutewise.llm.mixing import MIXING_SQL, mixing_query
 from minutewise.llm.near_dups import NEAR_DUPLICATES_SQL, near_duplicates_query
 from minutewise.llm.packing import packing_query
 from minutewise.llm.quality_rules import QUALITY_SQL, quality_query
@@ -16,6 +18,7 @@ from minutewise.llm.secret_scan import secrets_query
 from minutewise.llm.sharding import shards_query
 from minutewise.llm.token_counts import token_counts_query
 from minutewise.llm.token_files import token_files_query
+from minutewise.llm.whitening import whitening_query
 
 
 def vocabulary(name: str) -> str:
@@ -79,10 +82,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_query(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_query(documents(spark, sf_dir))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_query(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_shards, op3_licenses, op4_near_dups, op5_token_files, op6_packing, op7_secrets, op8_quality, op9_main_text, op10_decontamination,
+        op1_token_counts, op2_shards, op3_licenses, op4_near_dups, op5_token_files, op6_packing, op7_secrets, op8_quality, op9_main_text, op10_decontamination, op11_whitening, op12_mixing, op13_alignment,
     )
 }
-SQL: dict[str, str] = {"op4_near_dups": NEAR_DUPLICATES_SQL, "op8_quality": QUALITY_SQL, "op10_decontamination": DECONTAMINATION_SQL}
+SQL: dict[str, str] = {"op4_near_dups": NEAR_DUPLICATES_SQL, "op8_quality": QUALITY_SQL, "op10_decontamination": DECONTAMINATION_SQL, "op12_mixing": MIXING_SQL}
