@@ -84,7 +84,7 @@ def size_of(text: Column) -> Column:
     return F.size(words(text, BLANKS)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 16, shard: int = 4_000_000, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, block: int = 16, shard: int = 500_000, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """doc_id, source, size, source_size, target, taken of each document; and the quotas: place, shard, words, quota."""
     key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("="), "source"))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")).withColumn("key", key)
@@ -126,7 +126,7 @@ tg AS (SELECT s.*, least(cap, weight * (SELECT level FROM ll)) AS target FROM ra
 n1 AS (SELECT *, CAST(round((SELECT sum(target) FROM tg) / 16) AS BIGINT) AS seats FROM tg),
 q1 AS (SELECT place, target / (2 * k + 1) AS q, seats FROM (SELECT *, unnest(range(CAST(2 * target / 16 AS BIGINT) + 3)) AS k FROM n1)),
 g1 AS (SELECT place, count(*) AS quota FROM (SELECT * FROM q1 WHERE q > 0 QUALIFY row_number() OVER (ORDER BY q DESC, place) <= seats) GROUP BY place),
-hs AS (SELECT sz.*, place, source_size, target, CAST('0x' || substr(md5('20260916/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || size), 1, 12) AS BIGINT) AS h, greatest(1, CAST(ceil(source_size / 4000000) AS BIGINT)) AS shards FROM sz JOIN tg ON tg.source IS NOT DISTINCT FROM sz.source),
+hs AS (SELECT sz.*, place, source_size, target, CAST('0x' || substr(md5('20260916/' || coalesce(CAST(doc_id AS VARCHAR), '') || '/' || size), 1, 12) AS BIGINT) AS h, greatest(1, CAST(ceil(source_size / 500000) AS BIGINT)) AS shards FROM sz JOIN tg ON tg.source IS NOT DISTINCT FROM sz.source),
 sh AS (SELECT place, h % shards AS shard, sum(size) AS words FROM hs GROUP BY ALL),
 q2 AS (SELECT place, shard, words, words / (2 * k + 1) AS q, quota FROM (SELECT sh.*, quota, unnest(range(CAST(2 * quota * (words / sum(words) OVER (PARTITION BY place)) AS BIGINT) + 3)) AS k FROM sh JOIN g1 USING (place) WHERE words > 0)),
 g2 AS (SELECT place, shard, any_value(words) AS words, count(*) AS quota FROM (SELECT * FROM q2 QUALIFY row_number() OVER (PARTITION BY place ORDER BY q DESC, shard) <= quota) GROUP BY ALL),

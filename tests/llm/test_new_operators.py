@@ -144,7 +144,7 @@ def mixed_docs(spark):
     return rows, spark.createDataFrame(rows, "doc_id long, text string, source string, size int").repartition(4)
 
 
-@pytest.mark.parametrize("shard", [4_000_000, 700])
+@pytest.mark.parametrize("shard", [500_000, 700])
 def test_mixing(spark, shard):
     rows, docs = mixed_docs(spark)
     out, quotas = mixing.mix(docs, shard=shard)
