@@ -6,10 +6,13 @@ summed first, and running sums inside a range start from the sum of the ranges b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from minutewise.functions.scalars import draw
 from minutewise.operators.stage import kept
 
 RANGES = 64
@@ -137,36 +140,95 @@ def row_numbers(rows: DataFrame, keys: list[str], order: str, row: str = "i") ->
     return numbered.withColumn(row, F.col("c_one") - 1).drop("_one", "c_one", "t_one"), counts
 
 
-def block_draws(counts: DataFrame, reps: int = 300, block: int = 60, seed: int = 20260916) -> DataFrame:
-    """keys, rep, start, upto for each key of counts (keys, n_rows): n_rows div block blocks (one at least) of the key's own
-    rows, start..upto-1; starts are drawn up to n_rows - block by a hash of seed, repetition and block. (The study draws below that, so its last
-    row is in no block.)"""
-    per = F.greatest(F.lit(1).cast("long"), F.floor(F.col("n_rows") / block))
-    asked = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), per - 1)))
-    starts = asked.withColumn("start", draw(seed, F.col("rep"), F.col("_b")) % F.greatest(F.lit(1).cast("long"), F.col("n_rows") - block + 1))
-    return starts.withColumn("upto", F.least(F.col("start") + block, F.col("n_rows"))).drop("_b", "n_rows")
+#: Draws are taken modulo this prime (fixed value), so that products stay below 2**63 in any SQL engine.
+PRIME = 2**31 - 1
+
+
+def block_starts(n_rows: int, reps: int = 300, block: int = 60, seed: int = 20260916) -> np.ndarray:
+    """reps x max(1, n_rows div block) starts below n_rows - block + 1, drawn from seed, repetition and block number.
+
+    (The study draws below n_rows - block, so its last row is in no block.)"""
+    rep, b = np.arange(reps)[:, None], np.arange(max(1, n_rows // block))[None, :]
+    u = (rep * 40692 + b * 48271 + seed) % PRIME
+    v = (u * u + 12345) % PRIME
+    return (v * v + u) % PRIME % max(1, n_rows - block + 1)
+
+
+def times_drawn(at: np.ndarray, n_rows: int, starts: np.ndarray, block: int) -> np.ndarray:
+    """reps x rows: how many of a repetition's blocks the row numbers `at` lie in."""
+    reps = len(starts)
+    wide = n_rows + 2 * block
+    shift = np.arange(reps)[:, None] * wide
+    flat = (np.sort(starts, axis=1) + block + shift).ravel()
+    upto = lambda i: np.searchsorted(flat, (i[None, :] + block + shift).ravel(), "right").reshape(reps, -1)
+    return upto(at) - upto(at - block)
 
 
-def block_bootstrap(scores: DataFrame, keys: list[str], n_rows: int | DataFrame, row: str = "i", reps: int = 300, block: int = 60, seed: int = 20260916) -> DataFrame:
+def block_bootstrap(scores: DataFrame, keys: list[str], n_rows: int | DataFrame, row: str = "i", reps: int = 300, block: int = 60, seed: int = 20260916, part: int = 4096) -> DataFrame:
     """keys, pr_auc_lo, pr_auc_hi: 2.5 and 97.5 percentiles of PR-AUC over block resamples of all rows 0..n_rows-1 of each key.
 
-    n_rows: a number that all keys share, or a table keys, n_rows. The drawn blocks are a table that is joined by key and
-    row; repetitions of one class only are left out, and a key of one class has null bounds.
+    n_rows: a number that all keys share, or a table keys, n_rows. No resampled row is ever made: a row's number of
+    drawings follows from the sorted starts of a repetition's blocks. A key's scores are cut into ranges of about `part` rows
+    (64 at most); each range gives its drawn rows and positives by repetition, prefix sums of these tell what stands above
+    a range, and each range then adds its part of every repetition's area. Rows are shuffled as they are, and a range
+    adds a few hundred numbers. Repetitions of one class only are left out, and a key of one class has null bounds.
     """
     counts = n_rows if isinstance(n_rows, DataFrame) else scores.select(*keys).distinct().withColumn("n_rows", F.lit(n_rows).cast("long"))
-    drawn = block_draws(counts, reps, block, seed).select(*keys, "rep", F.explode(F.sequence(F.col("start"), F.col("upto") - 1)).alias(row))
-    # Ranges of the scores are cut once, not in each repetition.
-    drawn_scores = ranged(scores.select(*keys, row, "score", F.col("y").cast("long").alias("y")), keys).join(drawn, [*keys, row])
-    ties = drawn_scores.groupBy(*keys, "rep", "_r", "score").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    steps = running(ties, [*keys, "rep"])
-    both = (F.max("tp") > 0) & (F.max("tp") < F.max("tn"))
-    aps = steps.groupBy(*keys, "rep").agg(F.when(both, F.sum(F.try_divide("p", "tp") * F.col("cp") / F.col("cn"))).alias("pr_auc"))
-    q = F.percentile("pr_auc", F.array(F.lit(0.025), F.lit(0.975)))  # `reps` numbers a key
-    bounds = aps.groupBy(*keys).agg(q.alias("_q"))
-    classes = scores.groupBy(*keys).agg((F.min("y") < F.max("y")).alias("_both"))
-    out = classes.join(bounds, keys, "left")
-    told = lambda i: F.when(F.col("_both"), F.col("_q")[i])
-    return out.select(*keys, told(0).alias("pr_auc_lo"), told(1).alias("pr_auc_hi"))
+    cut = ranged(scores.select(*keys, F.col(row).cast("long").alias("_i"), F.col("score").cast("double").alias("score"), F.col("y").cast("long").alias("y")), keys)
+    ranges = F.least(F.lit(RANGES), F.ceil(F.col("n_rows") / part)).cast("int")
+    rows = kept(cut.join(counts, keys).withColumn("_r", F.floor(F.col("_r") * ranges / RANGES).cast("int")))
+    of = {f.name: f.dataType.simpleString() for f in rows.schema}
+    named = ", ".join(f"{k} {of[k]}" for k in keys)
+    by = [*keys, "_r"]
+
+    def drawn(pdf: pd.DataFrame) -> Iterator[np.ndarray]:
+        """The rows' drawings, some repetitions at a time."""
+        n = int(pdf.n_rows.iloc[0])
+        starts, step = block_starts(n, reps, block, seed), max(1, 4_000_000 // len(pdf))
+        for a in range(0, reps, step):
+            yield times_drawn(pdf["_i"].to_numpy(), n, starts[a : a + step], block)
+
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.y.to_numpy()
+        n, p = zip(*((m.sum(1), m @ y) for m in drawn(pdf)), strict=True)
+        return pdf[by].head(1).assign(n=[np.concatenate(n)], p=[np.concatenate(p)])
+
+    def above(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_r", ascending=False)
+        n, p = np.stack(pdf.n.to_list()), np.stack(pdf.p.to_list())
+        return pdf[by].assign(bn=list(np.cumsum(n, 0) - n), bp=list(np.cumsum(p, 0) - p), tn=[n.sum(0)] * len(pdf), tp=[p.sum(0)] * len(pdf))
+
+    def areas(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(before):
+            return pd.DataFrame(columns=[*keys, "ap"])
+        pdf, b = pdf.sort_values("score", ascending=False), before.iloc[0]
+        y, score = pdf.y.to_numpy(), pdf.score.to_numpy()
+        last = np.flatnonzero(np.r_[score[1:] != score[:-1], True])
+        out, a = [], 0
+        for m in drawn(pdf):
+            z = a + len(m)
+            n, p = np.cumsum(m, 1)[:, last], np.cumsum(m * y, 1)[:, last]
+            gained = np.diff(p, axis=1, prepend=0)
+            bn, bp, tn, tp = (np.asarray(b[c])[a:z, None] for c in ("bn", "bp", "tn", "tp"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                area = np.where(gained > 0, gained / tp * (bp + p) / (bn + n), 0.0).sum(1)
+            out.append(np.where((tp > 0) & (tp < tn), area[:, None], np.nan)[:, 0])
+            a = z
+        return pdf[keys].head(1).assign(ap=[np.concatenate(out)])
+
+    def bounds(pdf: pd.DataFrame) -> pd.DataFrame:
+        ap = np.sum(pdf.ap.to_list(), axis=0)
+        ap = ap[~np.isnan(ap)]
+        low, high = np.percentile(ap, [2.5, 97.5]) if len(ap) else (None, None)
+        return pdf[keys].head(1).assign(pr_auc_lo=low, pr_auc_hi=high)
+
+    sums = rows.groupBy(*by).applyInPandas(totals, f"{named}, _r int, n array<long>, p array<long>")
+    before = sums.groupBy(*keys).applyInPandas(above, f"{named}, _r int, bn array<long>, bp array<long>, tn array<long>, tp array<long>")
+    parts = rows.groupBy(*by).cogroup(before.groupBy(*by)).applyInPandas(areas, f"{named}, ap array<double>")
+    out = parts.groupBy(*keys).applyInPandas(bounds, f"{named}, pr_auc_lo double, pr_auc_hi double")
+    classes = rows.groupBy(*keys).agg((F.min("y") < F.max("y")).alias("_both"))
+    told = lambda c: F.when(F.col("_both"), F.col(c)).alias(c)
+    return classes.join(out, keys, "left").select(*keys, told("pr_auc_lo"), told("pr_auc_hi"))
 
 
 def metrics(predictions: DataFrame, onsets: DataFrame, test_days: DataFrame, run: list[str], horizon: str = "horizon", fold: str = "fold", reps: int = 300, block: int = 60) -> DataFrame:
@@ -179,7 +241,7 @@ def metrics(predictions: DataFrame, onsets: DataFrame, test_days: DataFrame, run
     predictions = kept(predictions)  # seven plans read it
     counts = confusion(predictions, keys)
     numbered, n_rows = row_numbers(predictions.select(*keys, "row", "y", "score"), keys, "row")
-    bounds = kept(block_bootstrap(kept(numbered), keys, n_rows, reps=reps, block=block))
+    bounds = kept(block_bootstrap(numbered, keys, n_rows, reps=reps, block=block))
     events = event_detection(onsets, predictions, [*keys, fold], horizon)
     caught = event_summary(events, keys)
     starts = false_alarm_episodes(predictions, [*keys, fold, "day"]).groupBy(*keys).agg(F.count("*").alias("_starts"))

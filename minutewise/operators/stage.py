@@ -1,4 +1,4 @@
-"""Cutting the lineage of a small table that several plans read."""
+"""Cutting the lineage of a table that several plans read."""
 
 from __future__ import annotations
 
@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The table, computed once and written to the folder in spark.checkpoint.dir (one of its own only if none is set)."""
+    """The table, computed once and written to the folder in spark.checkpoint.dir.
+
+    A folder of its own is made only if none is set and all runs on one machine; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

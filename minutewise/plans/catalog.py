@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from minutewise.functions import scalars as S
-from minutewise.operators import clean, evaluate, explore, features, labels, logistic, lstm
+from minutewise.operators import clean, evaluate, explore, features, labels
 from minutewise.operators.grid import lengthen, widen
 from minutewise.operators.stage import kept
 from minutewise.plans import telemetry as T
@@ -38,7 +38,7 @@ def bootstrap_sql(source: str, keys: list[str], to: str, reps: int = 300, block:
     k, on = ", ".join(keys), " AND ".join(f"d.{c} = s.{c}" for c in keys)
     return f"""{to}_n AS (SELECT {k}, count(*) AS n_rows, min(y) < max(y) AS two FROM {source} GROUP BY ALL),
 {to}_b AS (SELECT {k}, n_rows, rep, unnest(range(greatest(1, n_rows // {block}))) AS b FROM (SELECT *, unnest(range({reps})) AS rep FROM {to}_n)),
-{to}_d AS (SELECT *, CAST('0x' || substr(md5('{seed}/' || rep || '/' || b), 1, 12) AS BIGINT) % greatest(1, n_rows - {block} + 1) AS start FROM {to}_b),
+{to}_d AS (SELECT *, (v * v + u) % 2147483647 % greatest(1, n_rows - {block} + 1) AS start FROM (SELECT *, (u * u + 12345) % 2147483647 AS v FROM (SELECT *, (rep * 40692 + b * 48271 + {seed}) % 2147483647 AS u FROM {to}_b))),
 {to}_t AS (SELECT {", ".join(f"d.{c}" for c in keys)}, rep, score, count(*) AS n, sum(y) AS p FROM {to}_d d JOIN {source} s ON {on} AND s.i >= d.start AND s.i < d.start + {block} GROUP BY ALL),
 {to}_c AS (SELECT *, sum(n) OVER w AS cn, sum(p) OVER w AS cp, sum(p) OVER (PARTITION BY {k}, rep) AS tp, sum(n) OVER (PARTITION BY {k}, rep) AS tn FROM {to}_t WINDOW w AS (PARTITION BY {k}, rep ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
 {to}_a AS (SELECT {k}, rep, sum(p / tp * cp / cn) AS ap FROM {to}_c WHERE tp > 0 AND tp < tn GROUP BY ALL),
@@ -592,79 +592,3 @@ def math_funcs(spark, sf):
 def dot_product(spark, sf):
     e = T.table(spark, sf, "embeddings")
     return e.select("vec_id", F.round(S.dot(F.col("embedding"), F.col("embedding")), 4).alias("norm"), F.round(S.array_median(F.transform("embedding", lambda x: x.cast("double"))), 9).alias("middle"))
-
-
-# Models
-
-
-def model_rows(spark, sf):
-    """fold, split, day, t, y and the summaries of the look-back window of each usable bucket (chronological split)."""
-    w = features.window_stats(window_arrays(spark, sf))
-    return T.labels(spark, sf).where("usable").join(T.chrono(spark, sf), "day").join(w, ["day", "t"]).select("fold", "split", "day", "t", "y", "window", "last", "mean", "std", "min", "max", "delta")
-
-
-@query()
-def logreg_scores(spark, sf):
-    columns = ["last", "mean", "std", "min", "max", "delta"]
-    rows = model_rows(spark, sf).drop("window")
-    scaled = kept(features.standardise(rows, rows.where("split = 'train'"), ["fold"], columns))
-    _, model, _ = logistic.choose_c(scaled.where("split = 'train'"), scaled.where("split = 'val'"), columns)
-    return logistic.score(model, scaled.where("split = 'test'"), columns).select("fold", "day", "t", "y", "score")
-
-
-def lstm_rows(spark, sf, horizons=(1, 3, 6), length=T.LOOKBACK):
-    """fold, horizon, split, day, t, y, window (two features a step): training rows subsampled, both kinds of folds, so that each model's
-    group is bounded by its quota and a validation day."""
-    windows = features.look_back(bucket_scores(spark, sf), length, ["day"], "score", pad=length > T.LOOKBACK).withColumn("window", F.transform("window", lambda x: F.array((x - 50) / 25, F.abs(x - 50) / 25)))
-    folds = T.chrono(spark, sf).unionByName(T.cv(spark, sf))
-    rows = T.labels(spark, sf, list(horizons)).where("usable").join(folds, "day").join(windows, ["day", "t"]).select("fold", "horizon", "split", "day", "t", "y", "window")
-    return labels.subsample_rows(rows.where("split = 'train'"), ["fold", "horizon"], ["day", "t"], 20260916).unionByName(rows.where("split <> 'train'"))
-
-
-MODEL = ["fold", "horizon"]
-
-
-def lstm_fitted(spark, sf):
-    rows = kept(lstm_rows(spark, sf))
-    return rows, kept(lstm.fit_models(rows, MODEL))
-
-
-@query()
-def lstm_history(spark, sf):
-    return lstm.history(lstm_fitted(spark, sf)[1], MODEL)
-
-
-@query()
-def lstm_scores(spark, sf):
-    return lstm.lstm_scores(*lstm_fitted(spark, sf), MODEL)
-
-
-@query()
-def lstm_gates(spark, sf):
-    return lstm.lstm_gates(*lstm_fitted(spark, sf), MODEL)
-
-
-@query()
-def lstm_saliency(spark, sf):
-    return lstm.saliency_time(lstm.lstm_saliency(*lstm_fitted(spark, sf), MODEL), MODEL)
-
-
-@query()
-def lstm_top_features(spark, sf):
-    return lstm.saliency_feature(lstm.lstm_saliency(*lstm_fitted(spark, sf), MODEL), MODEL)
-
-
-#: The study's settings: look-backs, sizes and seeds, the others at their defaults.
-STUDY = [(3, 64, 20260916), (6, 64, 20260916), (12, 64, 20260916), (6, 8, 20260916), (6, 16, 20260916), (6, 32, 20260916), (6, 64, 1), (6, 64, 2), (6, 64, 3), (6, 64, 4)]
-
-
-@query()
-def lstm_study(spark, sf):
-    rows = None
-    for lookback, hidden, seed in STUDY:
-        of = lstm_rows(spark, sf, [T.HORIZON], lookback).where("fold = 'chrono'")
-        one = of.withColumns({"lookback": F.lit(lookback), "hidden": F.lit(hidden), "seed": F.lit(seed).cast("long")})
-        rows = one if rows is None else rows.unionByName(one)
-    rows, by = kept(rows), ["lookback", "hidden", "seed"]
-    models = kept(lstm.fit_models(rows, by))
-    return lstm.sweep(lstm.lstm_scores(rows, models, by), models, by)

@@ -1,8 +1,8 @@
-"""The report's twenty queries over tables derived from the driver's: two systems, their faults, scores, metrics and studies.
+"""The report's queries over tables derived from the driver's: two systems, their faults, scores and metrics.
 
-A system is the even or the odd half of the components. A bucket's score is its mean reading (`level`) or the distance of
-that from the median of the last six (`change`); studies vary how many of the six buckets the mean takes in. Each query
-derives its input and applies the function of report.py.
+A system is the even or the odd half of the components. Here a bucket's score is its mean reading (`level`) or the distance
+of that from the median of the last six (`change`), which SQL can score too; plans/models.py applies the same functions to
+the trained models. Each query derives its input and applies the function of report.py.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minutewise.functions.scalars import clip, sigmoid
+from minutewise.functions.scalars import clip
 from minutewise.operators import clean, evaluate, explore, features
 from minutewise.operators.grid import exact_grid
 from minutewise.operators.labels import label_and_mask
@@ -20,7 +20,6 @@ from minutewise.operators.stage import kept
 from minutewise.plans import report
 from minutewise.plans import telemetry as T
 from minutewise.plans.catalog import QUERIES, SERIES, bootstrap_sql, query, r6
-from minutewise.sources.files import write_result
 
 HORIZONS = [1, 3, 6]
 RUN = ["system", "run"]
@@ -74,12 +73,6 @@ mt AS (SELECT cm.*, au.base AS base_rate, au.pr_auc, au.roc_auc, pr_auc_lo, pr_a
   event_recall, median_lead_min, test_days, coalesce(starts, 0) / test_days AS false_alarms_per_day
   FROM cm JOIN au USING (system, run, horizon) JOIN bt USING (system, run, horizon) LEFT JOIN es USING (system, run, horizon) LEFT JOIN fc USING (system, run, horizon)
   JOIN (SELECT run, count(*) AS test_days FROM td2 GROUP BY run) USING (run))"""
-#: How a smoothing scorer does with the mean of the last 1 to 6 buckets (chronological split, horizon 3).
-SMOOTH = f"""{BASE},
-sl AS (SELECT sd.system, l.lookback, split, row, y, list_avg(w[7 - l.lookback : 6]) AS score FROM sd JOIN w6 ON w6.system = sd.system AND w6.day = sd.day AND w6.t = sd.t
-  CROSS JOIN (SELECT unnest(range(1, 7)) AS lookback) l WHERE run = 'chrono-level' AND horizon = 3),
-sv AS (SELECT * FROM sl WHERE split = 'val'), st AS (SELECT * FROM sl WHERE split = 'test'),
-{auc_sql("sv", ["system", "lookback"], "va")}, {auc_sql("st", ["system", "lookback"], "ta")}"""
 
 
 def faults(spark, sf) -> DataFrame:
@@ -120,19 +113,27 @@ def predicted(spark, sf) -> DataFrame:
     return rows.where("split = 'test'").join(cut, [*RUN, "fold", "horizon"]).withColumn("alarm", F.col("score") >= F.col("threshold"))
 
 
-def run_days(spark, sf) -> DataFrame:
-    """run, fold, day of the test days."""
-    runs = folds(spark, sf).where("split = 'test'").withColumn("inputs", F.explode(F.array(F.lit("level"), F.lit("change"))))
+def run_days_of(spark, sf, inputs: list[str]) -> DataFrame:
+    """run, fold, day of the test days, of runs with these inputs."""
+    runs = folds(spark, sf).where("split = 'test'").withColumn("inputs", F.explode(F.array(*map(F.lit, inputs))))
     return runs.select(F.concat_ws("-", "kind", "inputs").alias("run"), "fold", "day")
 
 
-def onsets_tested(spark, sf) -> DataFrame:
-    """system, run, fold, horizon, event_id, component, reason, row of the onsets on test days."""
+def run_days(spark, sf) -> DataFrame:
+    return run_days_of(spark, sf, ["level", "change"])
+
+
+def onsets_tested_of(spark, sf, tested: DataFrame) -> DataFrame:
+    """system, run, fold, horizon, event_id, component, reason, row of the onsets on the test days (run, fold, day)."""
     grid = exact_grid(T.days(spark, sf), T.BUCKETS).withColumn("row", T.row_of("day", "t"))
-    onsets = evaluate.located(faults(spark, sf), grid, ["day", "t"]).join(run_days(spark, sf), "day").withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
+    onsets = evaluate.located(faults(spark, sf), grid, ["day", "t"]).join(tested, "day").withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
     return onsets.select(*RUN, "fold", "horizon", "event_id", "component", "reason", "row")
 
 
+def onsets_tested(spark, sf) -> DataFrame:
+    return onsets_tested_of(spark, sf, run_days(spark, sf))
+
+
 def metrics(spark, sf) -> DataFrame:
     tested = run_days(spark, sf).crossJoin(spark.createDataFrame([("Bank",), ("Telecom",)], "system string"))
     return evaluate.metrics(predicted(spark, sf), onsets_tested(spark, sf), tested, RUN)
@@ -143,52 +144,6 @@ def events(spark, sf) -> DataFrame:
     return evaluate.event_detection(onsets_tested(spark, sf), predicted(spark, sf), [*RUN, "fold", "horizon"], "horizon").withColumnRenamed("lead", "lead_min")
 
 
-def splits(spark, sf) -> DataFrame:
-    """A row a system, run, fold, split and horizon: days, windows, positives, shape, and the share of inputs at the bounds of clipping."""
-    rows = scored(spark, sf)
-    bounded = F.aggregate(F.transform("window", lambda x: (F.abs((x - 50) / 25) >= 10).cast("double")), F.lit(0.0), lambda s, x: s + x) / F.size("window")
-    return rows.groupBy(*RUN, "fold", "split", "horizon").agg(
-        F.array_join(F.array_sort(F.collect_set(F.col("day").cast("string"))), ", ").alias("days"), F.count("*").alias("windows"), F.sum("y").alias("positive"),
-        F.concat_ws(" x ", F.count("*"), F.max(F.size("window"))).alias("shape"), F.avg(bounded).alias("clipped_share"),
-    )
-
-
-def write_results(spark, sf, path: str, recurrent: bool = True) -> list[str]:
-    """Writes the study's result tables as CSV folders under `path`, and returns their names. recurrent: those of the recurrent model too."""
-    tables = {
-        "metrics": metrics(spark, sf), "predictions": predicted(spark, sf).select(*KEYS, "fold", (T.row_of("day", "t") * 1800).alias("timestamp"), "y", "score", "alarm"), "events": events(spark, sf),
-        "split": splits(spark, sf), "prep": clean.prep_summary(kept(T.grid(spark, sf)), T.train_days(spark, sf)), "drift": drift(spark, sf), "missingness": missingness(spark, sf),
-        "onset_profile": profiles(spark, sf), "closeup": QUERIES["q6_closeup_panels"](spark, sf),
-    }
-    if recurrent:
-        for name, query_name in (("history", "lstm_history"), ("study", "lstm_study"), ("gates", "lstm_gates"), ("saliency_time", "lstm_saliency"), ("saliency_feature", "lstm_top_features")):
-            tables[name] = QUERIES[query_name](spark, sf)
-    for name, table in tables.items():
-        write_result(table, f"{path}/{name}")
-    return list(tables)
-
-
-def smoothed(spark, sf) -> DataFrame:
-    rows = scored(spark, sf).where("run = 'chrono-level' and horizon = 3").withColumn("lookback", F.explode(F.sequence(F.lit(1), F.lit(6))))
-    mean = F.aggregate(F.expr("slice(window, 7 - lookback, lookback)"), F.lit(0.0), lambda s, x: s + x) / F.col("lookback")
-    return rows.withColumn("score", mean).select("system", "lookback", "split", "row", "y", "score")
-
-
-def rated(rows: DataFrame, keys: list[str], prefix: str) -> DataFrame:
-    """keys, <prefix>_pr_auc, _roc, _base, _lift."""
-    base = rows.groupBy(*keys).agg(F.avg(F.col("y").cast("double")).alias(f"{prefix}_base"))
-    out = evaluate.pr_auc(rows, keys).withColumnRenamed("pr_auc", f"{prefix}_pr_auc").join(evaluate.roc_auc(rows, keys).withColumnRenamed("roc_auc", f"{prefix}_roc"), keys).join(base, keys)
-    return out.withColumn(f"{prefix}_lift", F.try_divide(f"{prefix}_pr_auc", f"{prefix}_base"))
-
-
-def study(spark, sf) -> DataFrame:
-    rows, keys = kept(smoothed(spark, sf)), ["system", "lookback"]
-    test = rows.where("split = 'test'")
-    numbered, counts = evaluate.row_numbers(test, keys, "row")
-    bounds = evaluate.block_bootstrap(numbered, keys, counts).withColumnsRenamed({"pr_auc_lo": "test_lo", "pr_auc_hi": "test_hi"})
-    return rated(rows.where("split = 'val'"), keys, "val").join(rated(test, keys, "test"), keys).join(bounds, keys)
-
-
 @query(f", {BASE} SELECT system, level, component, reason, strftime(onset, '%Y-%m-%d %H:%M:%S') AS onset FROM fb QUALIFY row_number() OVER (PARTITION BY system ORDER BY onset, component, reason) <= 3")
 def q1_first_faults(spark, sf):
     return report.first_faults(faults(spark, sf)).withColumn("onset", F.date_format("onset", "yyyy-MM-dd HH:mm:ss"))
@@ -323,14 +278,6 @@ def run_events(spark, sf):
     return events(spark, sf)
 
 
-@query(
-    f""", {BASE} SELECT sd.system, run, fold, split, horizon, string_agg(DISTINCT CAST(sd.day AS VARCHAR), ', ' ORDER BY CAST(sd.day AS VARCHAR)) AS days, count(*) AS windows, CAST(sum(y) AS BIGINT) AS positive, count(*) || ' x 6' AS shape,
- round(avg(len(list_filter(w, lambda x: abs((x - 50) / 25) >= 10)) / 6), 6) AS clipped_share FROM sd JOIN w6 ON w6.system = sd.system AND w6.day = sd.day AND w6.t = sd.t GROUP BY ALL"""
-)
-def run_splits(spark, sf):
-    return splits(spark, sf).withColumn("clipped_share", r6("clipped_share"))
-
-
 F2 = "coalesce(printf('%.2f', round({0}, 2)), 'NA')"
 F3 = "coalesce(printf('%.3f', round({0}, 3)), 'NA')"
 
@@ -343,21 +290,6 @@ def q9_metrics_table(spark, sf):
     return report.metrics_table(metrics(spark, sf), predicted(spark, sf), ("system", "run"))
 
 
-@query(
-    f""", {SMOOTH}, lo AS (SELECT system, lookback, avg((y - score / 100) * (y - score / 100)) AS train_loss FROM sl WHERE split = 'train' GROUP BY ALL),
-hi AS (SELECT system, lookback AS epoch, train_loss, pr_auc AS val_pr_auc, arg_max(lookback, (coalesce(pr_auc, 0), -lookback)) OVER (PARTITION BY system) AS best FROM lo JOIN va USING (system, lookback)),
-ln AS (SELECT *, 'Training loss' AS metric, train_loss AS v, false AS is_best FROM hi UNION ALL SELECT *, 'Validation PR-AUC', val_pr_auc, epoch = best FROM hi)
-SELECT system, 3 AS horizon, 'H = 3' AS h, CAST(epoch AS INTEGER) AS epoch, metric, round(v, 6) AS value, is_best FROM ln"""
-)
-def q10_history(spark, sf):
-    rows = smoothed(spark, sf)
-    loss = rows.where("split = 'train'").groupBy("system", "lookback").agg(F.avg((F.col("y") - F.col("score") / 100) * (F.col("y") - F.col("score") / 100)).alias("train_loss"))
-    ap = evaluate.pr_auc(rows.where("split = 'val'"), ["system", "lookback"]).withColumnRenamed("pr_auc", "val_pr_auc")
-    best = ap.groupBy("system").agg(F.max_by("lookback", F.struct(F.coalesce("val_pr_auc", F.lit(0.0)), -F.col("lookback"))).alias("best_epoch"))
-    table = loss.join(ap, ["system", "lookback"]).join(best, "system").withColumnsRenamed({"lookback": "epoch"}).withColumns({"horizon": F.lit(3), "fold": F.lit("chrono")})
-    return report.history_long(table, ("system",)).withColumn("value", r6("value"))
-
-
 TIMED = "CAST(datediff('day', DATE '1970-01-01', pd.day) AS BIGINT) * 86400 + pd.t * 1800"
 
 
@@ -426,82 +358,6 @@ def q13_lift_by_run(spark, sf):
     return report.lift_by_run(labelled, ("system",)).withColumns({c: r6(c) for c in ("pr_lift", "lift_lo", "lift_hi")})
 
 
-@query(
-    f""", {BASE}, sp AS (SELECT system, split, string_agg(DISTINCT CAST(day AS VARCHAR), ', ' ORDER BY CAST(day AS VARCHAR)) AS days, count(*) AS windows, CAST(sum(y) AS BIGINT) AS positive FROM sd WHERE run = 'chrono-level' AND horizon = 3 GROUP BY ALL)
-SELECT system, upper(left(split, 1)) || substr(split, 2) AS split, regexp_replace(days, '20\\d\\d-', '', 'g') AS days, windows, positive, printf('%.1f%%', round(100.0 * positive / windows, 1)) AS share, windows || ' x 6' AS shape FROM sp"""
-)
-def q14_split_table(spark, sf):
-    rows = scored(spark, sf).where("run = 'chrono-level' and horizon = 3")
-    splits = rows.groupBy("system", "split", "horizon").agg(
-        F.array_join(F.array_sort(F.collect_set(F.col("day").cast("string"))), ", ").alias("days"), F.count("*").alias("windows"), F.sum("y").alias("positive"),
-        F.concat_ws(" x ", F.count("*"), F.max(F.size("window"))).alias("shape"),
-    )
-    return report.split_table(splits, 3, r"20\d\d-")
-
-
-STUDIED = f"""{SMOOTH}, sn AS (SELECT system, lookback, y, score, row_number() OVER (PARTITION BY system, lookback ORDER BY row) - 1 AS i FROM st), {bootstrap_sql("sn", ["system", "lookback"], "sb")},
-sy2 AS (SELECT va.system, va.lookback, va.pr_auc / va.base AS vl, ta.pr_auc / ta.base AS tl, pr_auc_lo / ta.base AS lo, pr_auc_hi / ta.base AS hi FROM va JOIN ta USING (system, lookback) JOIN sb USING (system, lookback))"""
-
-
-@query(
-    f""", {STUDIED}, nm AS (SELECT *, 'Look-back L (minutes)' AS setting, lookback AS value FROM sy2 UNION ALL SELECT *, 'Hidden units d', 8 * lookback FROM sy2)
-SELECT system, setting, CAST(value AS INTEGER) AS value, 'Validation' AS data, round(vl, 6) AS lift, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi FROM nm
-UNION ALL SELECT system, setting, CAST(value AS INTEGER), 'Test', round(tl, 6), round(lo, 6), round(hi, 6) FROM nm"""
-)
-def q15_study_lifts(spark, sf):
-    s = study(spark, sf)
-    lookback = s.withColumn("hidden", F.lit(64))
-    hidden = s.withColumns({"hidden": F.col("lookback") * 8, "lookback": F.lit(60)})
-    return report.study_lifts(lookback, hidden).withColumns({c: r6(c) for c in ("lift", "lo", "hi")})
-
-
-@query(
-    f""", {BASE}, cv AS (SELECT * FROM sd WHERE run = 'cv-level' AND horizon = 3), c1 AS (SELECT * FROM cv WHERE split = 'val'), c2 AS (SELECT * FROM cv WHERE split = 'test'),
-{auc_sql("c1", ["system", "fold"], "va")}, {auc_sql("c2", ["system", "fold"], "ta")}, rn AS (SELECT va.system, va.pr_auc / va.base AS vl, ta.pr_auc / ta.base AS tl, ta.roc_auc AS roc FROM va JOIN ta USING (system, fold)),
-f2 AS (SELECT system, count(*) AS runs, avg(vl) AS a, stddev_samp(vl) AS b, avg(tl) AS c, stddev_samp(tl) AS d, min(tl) AS e, max(tl) AS f, min(roc) AS g, max(roc) AS h FROM rn GROUP BY system)
-SELECT system, runs, {F2.format('a')} || ' (' || {F2.format('b')} || ')' AS val_lift, {F2.format('c')} || ' (' || {F2.format('d')} || ')' AS test_lift, {F2.format('e')} || ' to ' || {F2.format('f')} AS test_range, {F2.format('g')} || ' to ' || {F2.format('h')} AS roc_range FROM f2"""
-)
-def q16_seed_stability(spark, sf):
-    rows = scored(spark, sf).where("run = 'cv-level' and horizon = 3")
-    keys = ["system", "fold"]
-    return report.seed_stability(rated(rows.where("split = 'val'"), keys, "val").join(rated(rows.where("split = 'test'"), keys, "test"), keys))
-
-
-STEPS = f"""{BASE}, g0 AS (SELECT sd.system, CASE WHEN y = 1 THEN 'pre-fault' ELSE 'other' END AS label, i - 6 AS minute, (w[i] - 50) / 25 AS x FROM sd JOIN w6 ON w6.system = sd.system AND w6.day = sd.day AND w6.t = sd.t, LATERAL (SELECT unnest(range(1, 7)) AS i)
-  WHERE run = 'chrono-level' AND horizon = 3 AND split = 'test')"""
-
-
-def steps(spark, sf) -> DataFrame:
-    """system, label, minute, x: the inputs of the test windows, step by step."""
-    rows = scored(spark, sf).where("run = 'chrono-level' and horizon = 3 and split = 'test'")
-    label = F.when(F.col("y") == 1, "pre-fault").otherwise("other")
-    return rows.select("system", label.alias("label"), F.posexplode("window").alias("i", "x")).select("system", "label", (F.col("i") - 5).alias("minute"), ((F.col("x") - 50) / 25).alias("x"))
-
-
-@query(
-    f""", {STEPS}, g1 AS (SELECT system, label, minute, avg(1 / (1 + exp(-x))) AS i, avg(1 / (1 + exp(x))) AS f, avg(1 / (1 + exp(-2 * x))) AS o FROM g0 GROUP BY ALL)
-SELECT system, CAST(minute AS INTEGER) AS minute, 'Input' AS gate, label, round(i, 6) AS mean FROM g1 UNION ALL SELECT system, CAST(minute AS INTEGER), 'Forget', label, round(f, 6) FROM g1 UNION ALL SELECT system, CAST(minute AS INTEGER), 'Output', label, round(o, 6) FROM g1"""
-)
-def q17_gates(spark, sf):
-    x = F.col("x")
-    gates = steps(spark, sf).withColumns({"input": sigmoid(x), "forget": sigmoid(-x), "output": sigmoid(2 * x)}).unpivot(["system", "label", "minute"], ["input", "forget", "output"], "gate", "v")
-    return report.gates_by_minute(gates.groupBy("system", "minute", "gate", "label").agg(r6(F.avg("v")).alias("mean")))
-
-
-@query(f", {STEPS} SELECT system, CAST(minute AS INTEGER) AS minute, label, round(avg(abs(x)), 6) AS saliency FROM g0 GROUP BY ALL")
-def q18_saliency_by_minute(spark, sf):
-    return report.saliency_by_minute(steps(spark, sf).groupBy("system", "minute", "label").agg(r6(F.avg(F.abs("x"))).alias("saliency")))
-
-
-@query(
-    f""", {BASE}, sf1 AS (SELECT {SYSTEM} AS system, component, kpi, stddev_pop(value) / avg(value) AS s FROM mn GROUP BY ALL)
-SELECT system, CAST(row_number() OVER (PARTITION BY system ORDER BY round(s, 9) DESC, component, kpi) AS INTEGER) AS rank, component, kpi FROM sf1 QUALIFY rank <= 3"""
-)
-def q19_top_features(spark, sf):
-    s = T.means(spark, sf).groupBy(system_of().alias("system"), *SERIES).agg(F.round(F.stddev_pop("value") / F.avg("value"), 9).alias("saliency"))
-    return report.top_features(s.withColumn("feature", F.concat_ws("||", *SERIES)), 3)
-
-
 @query(
     f""", {METRICS} SELECT system, {F2.format('min(pr_lift)')} || ' to ' || {F2.format('max(pr_lift)')} AS lift_range, {F2.format('min(roc_auc)')} || ' to ' || {F2.format('max(roc_auc)')} AS roc_range,
  count(*) FILTER (pr_auc_lo > base_rate) || ' of ' || count(*) AS above_base, min_by(n_events, horizon) AS test_faults FROM mt WHERE run = 'chrono-level' GROUP BY system"""

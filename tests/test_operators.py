@@ -137,8 +137,8 @@ def test_bootstrap_draws_all_rows_of_uneven_groups(spark):
     numbered, counts = evaluate.row_numbers(df, ["k"], "id")
     assert all(r["id"] == 3 * r["i"] + 1 for r in numbered.collect()) and {r["k"]: r["n_rows"] for r in counts.collect()} == sizes
     drawn = {}
-    for r in evaluate.block_draws(counts, 40, 20).collect():
-        drawn.setdefault(r["k"], {}).setdefault(r["rep"], []).extend(range(r["start"], r["upto"]))
+    for k, n in sizes.items():
+        drawn[k] = {rep: [i for a in starts for i in range(a, min(a + 20, n))] for rep, starts in enumerate(evaluate.block_starts(n, 40, 20).tolist())}
     assert {k: sorted({i for d in reps.values() for i in d}) for k, reps in drawn.items()} == {k: list(range(n)) for k, n in sizes.items()}
     got = {r["k"]: (r["pr_auc_lo"], r["pr_auc_hi"]) for r in evaluate.block_bootstrap(numbered, ["k"], counts, reps=40, block=20).collect()}
     for k, reps in drawn.items():
