@@ -8,17 +8,16 @@ which a stratum (language) goes is what its labelled holdouts certify:
 * holdout: labelled good documents, each distinct text of a stratum once. Exact copies are no independent draws; copies
   edited in a few words do count as draws of their own, so the bound holds as far as they behave like such;
 * a step passes if the chance of so few false rejections or fewer, were the true rate of the whole joint rule `alpha`,
-  is at most the family's level: the exact binomial upper bound (Clopper-Pearson) then lies under `alpha`;
+  is at most the stratum's level: the exact binomial upper bound (Clopper-Pearson) then lies under `alpha`;
 * steps are tried in order and the first that fails ends the search (fixed-sequence testing: the level needs no
-  correction along the sequence); the level is `delta` over the number of families (Bonferroni);
+  correction along the sequence); the level is `delta` over the number of tested strata (Bonferroni);
 * of the steps that pass, the rule goes no further than labelled bad documents tell: the last one at which one more of
-  the family's bad documents is rejected. A milder rule loses no more good documents, so the bound stays.
+  the stratum's bad documents is rejected. A milder rule loses no more good documents, so the bound stays.
 
-Families: a stratum with so many holdouts that it could pass without a false rejection is a family of its own. All
-others share one: of their pooled holdouts, or, if these are too few as well, of all holdouts. Which strata are pooled
-depends on the numbers of holdouts alone, not on what they show. So with probability 1 - delta no family loses more than
-a share `alpha` of its good documents to the signals; within the shared family that holds for the strata together, not
-for each of them.
+A stratum is tested if it has so many holdouts that it could pass without a false rejection at the level `delta`; which
+ones are depends on the numbers of holdouts alone, not on what they show. So with probability 1 - delta every stratum
+loses no more than a share `alpha` of its good documents to the signals: a tested one by its own test, and any other one,
+labelled too little or not at all, because nothing but the base rules is applied to it. No stratum borrows another's labels.
 
 The query measures all documents in one pass, in which only numbers are written, and judges from these. keep_good() needs
 the texts again: it measures the labelled documents first, then judges all. The cutoffs are a table with a row a family.
@@ -171,47 +170,36 @@ def holdout_numbers(docs: DataFrame, labelled: DataFrame, stratum: str) -> DataF
     return measured(small).select("doc_id", "_stratum", text, "_rejected_at")
 
 
-def certified_steps(numbers: DataFrame, labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> tuple[DataFrame, int]:
-    """A table _stratum, last_step of the strata that are families of their own, and the last step of the shared family.
-
-    numbers: doc_id, _stratum, _text, _rejected_at. A last step of -1 rejects nothing.
-    """
+def certified_steps(numbers: DataFrame, labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """A table _stratum, last_step of the tested strata. numbers: doc_id, _stratum, _text, _rejected_at. A last step of -1 rejects nothing."""
     distinct = numbers.join(labelled, F.col("doc_id") == F.col("_id")).groupBy("_stratum", "_text", "_good").agg(F.min("_rejected_at").alias("_at"))
     over = [F.count_if(F.col("_good") & (F.col("_at") <= i)).alias(f"k{i}") for i in range(len(STEPS))]
     bad = [F.count_if(~F.col("_good") & (F.col("_at") == i)).alias(f"b{i}") for i in range(len(STEPS))]
-    tried = staged(distinct.groupBy("_stratum").agg(F.count_if("_good").alias("n"), *over, *bad), "holdouts")  # a row a stratum
-    n_strata = tried.where("n > 0").count()
-    need = math.log(delta / (n_strata + 1)) / math.log1p(-alpha)
-    own = F.col("n") >= need
-    told = tried.agg(F.count_if(own).alias("own"), F.coalesce(F.sum(F.when(~own, F.col("n"))), F.lit(0)).alias("n")).first()
-    sums = [F.sum(c).alias(c) for c in tried.columns[1:]]
-    shared = (tried.where(~own) if told["n"] >= need else tried).agg(*sums).where("n > 0")
-    families = tried.where(own).withColumn("own", F.lit(True)).unionByName(shared.withColumns({"own": F.lit(False), "_stratum": F.lit(None).cast("string")}))
-    level = math.log(delta / (told["own"] + 1))
+    enough = math.log(delta) / math.log1p(-alpha)
+    tried = staged(distinct.groupBy("_stratum").agg(F.count_if("_good").alias("n"), *over, *bad).where(F.col("n") >= enough), "holdouts")  # a row a stratum
+    level = math.log(delta / max(1, tried.count()))
     counts = F.array(*(F.struct(F.col(f"k{i}").alias("k"), F.col(f"b{i}").alias("b")) for i in range(len(STEPS))))
-    tests = families.select("own", "_stratum", "n", F.posexplode(counts).alias("step", "c"))
-    fails = F.min(F.when(log_tail(F.col("n"), F.col("c.k"), F.lit(alpha)) > level, F.col("step"))).over(Window.partitionBy("own", "_stratum"))
+    tests = tried.select("_stratum", "n", F.posexplode(counts).alias("step", "c"))
+    fails = F.min(F.when(log_tail(F.col("n"), F.col("c.k"), F.lit(alpha)) > level, F.col("step"))).over(Window.partitionBy("_stratum"))
     # Of the steps before the first that fails, the last that rejects another bad document.
     useful = F.max(F.when((F.col("c.b") > 0) & (F.col("step") < F.coalesce("fails", F.lit(len(STEPS)))), F.col("step")))
-    judged = staged(tests.withColumn("fails", fails).groupBy("own", "_stratum").agg(F.coalesce(useful, F.lit(-1)).alias("last_step")), "cutoffs")
-    rest = judged.where("not own").first()
-    return judged.where("own").select("_stratum", "last_step"), rest["last_step"] if rest else -1
+    return staged(tests.withColumn("fails", fails).groupBy("_stratum").agg(F.coalesce(useful, F.lit(-1)).alias("last_step")), "cutoffs")
 
 
-def verdicts(rows: DataFrame, steps: DataFrame, shared: int, stratum: str) -> DataFrame:
+def verdicts(rows: DataFrame, steps: DataFrame, stratum: str) -> DataFrame:
     """Adds _base_failed and _kept to measured rows. steps, a written table of a row a stratum, is broadcast if it is small."""
     told = rows.withColumn("_s", F.col(stratum).cast("string")).join(steps, F.col("_s").eqNullSafe(F.col("_stratum")), "left")
     failed = (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words"))
-    rejected = F.coalesce(F.col("_rejected_at") <= F.coalesce("last_step", F.lit(shared)), F.lit(False))
+    rejected = F.coalesce(F.col("_rejected_at") <= F.coalesce("last_step", F.lit(-1)), F.lit(False))
     return told.withColumn("_base_failed", failed).withColumn("_kept", ~F.col("_base_failed") & ~rejected).drop("_s", "_stratum", "last_step")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     labelled = labelled_ids(labels)
-    steps, shared = certified_steps(staged(holdout_numbers(docs, labelled, stratum), "numbers"), labelled, alpha, delta)
+    steps = certified_steps(staged(holdout_numbers(docs, labelled, stratum), "numbers"), labelled, alpha, delta)
     rows = measured(docs.select(F.struct("*").alias("_row"), "text", F.col(stratum).alias("_lang")))
-    return verdicts(rows, steps, shared, "_lang").where("_kept").select("_row.*")
+    return verdicts(rows, steps, "_lang").where("_kept").select("_row.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -219,8 +207,8 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     text = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text")
     rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(stratum).cast("string").alias("_stratum")))
     numbers = staged(rows.select("doc_id", "_stratum", text, *(f"_{c}" for c in COUNTS), "_rejected_at"), "numbers")
-    steps, shared = certified_steps(numbers, labelled_ids(labels), alpha, delta)
-    out = verdicts(numbers.withColumnRenamed("_stratum", "_lang"), steps, shared, "_lang")
+    steps = certified_steps(numbers, labelled_ids(labels), alpha, delta)
+    out = verdicts(numbers.withColumnRenamed("_stratum", "_lang"), steps, "_lang")
     return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in COUNTS), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
@@ -254,30 +242,21 @@ r AS (SELECT doc_id, min(step) AS step FROM x JOIN cuts USING (signal) WHERE val
 told AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 hold AS (SELECT DISTINCT lang, text, step FROM v JOIN told USING (doc_id) LEFT JOIN r USING (doc_id) WHERE good),
 bad AS (SELECT DISTINCT lang, step FROM v JOIN told USING (doc_id) JOIN r USING (doc_id) WHERE NOT good),
-z AS (SELECT lang, count(*) AS n, count(*) >= ln(DELTA / ((SELECT count(DISTINCT coalesce(lang, chr(0))) FROM hold) + 1)) / ln(1 - RATE) AS own,
-        ln(DELTA / ((SELECT count(DISTINCT coalesce(lang, chr(0))) FROM hold) + 1)) / ln(1 - RATE) AS need FROM hold GROUP BY lang),
-fam AS (
-  SELECT true AS own, hold.lang, step FROM hold JOIN z ON z.lang IS NOT DISTINCT FROM hold.lang WHERE z.own
-  UNION ALL
-  SELECT false, NULL, step FROM hold JOIN z ON z.lang IS NOT DISTINCT FROM hold.lang
-  WHERE NOT z.own OR (SELECT coalesce(sum(n) FILTER (NOT own), 0) < any_value(need) FROM z)),
-t AS (SELECT own, lang, cuts.step, count(*) AS n, count(*) FILTER (fam.step <= cuts.step) AS k FROM fam, cuts GROUP BY ALL),
+z AS (SELECT lang, count(*) AS n FROM hold GROUP BY lang HAVING count(*) >= ln(DELTA) / ln(1 - RATE)),
+t AS (SELECT hold.lang, cuts.step, count(*) AS n, count(*) FILTER (hold.step <= cuts.step) AS k FROM hold JOIN z ON z.lang IS NOT DISTINCT FROM hold.lang CROSS JOIN cuts GROUP BY ALL),
 tail AS (
-  SELECT own, lang, step, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(RATE) + (n - i) * ln(1 - RATE))) AS p
+  SELECT lang, step, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(RATE) + (n - i) * ln(1 - RATE))) AS p
   FROM t, LATERAL (SELECT unnest(generate_series(0, k)) AS i) WHERE k < n * RATE GROUP BY ALL),
 failed AS (
-  SELECT t.own, t.lang, min(t.step) AS fail FROM t LEFT JOIN tail ON tail.own = t.own AND tail.lang IS NOT DISTINCT FROM t.lang AND tail.step = t.step
-  WHERE coalesce(p, 1) > DELTA / ((SELECT count(*) FILTER (own) FROM z) + 1) GROUP BY ALL),
-last AS (
-  SELECT f.own, f.lang, coalesce(fail, 1000000) AS upto FROM (SELECT DISTINCT own, lang FROM fam) f LEFT JOIN failed ON failed.own = f.own AND failed.lang IS NOT DISTINCT FROM f.lang),
+  SELECT t.lang, min(t.step) AS fail FROM t LEFT JOIN tail ON tail.lang IS NOT DISTINCT FROM t.lang AND tail.step = t.step
+  WHERE coalesce(p, 1) > DELTA / (SELECT count(*) FROM z) GROUP BY ALL),
 useful AS (
-  SELECT last.own, last.lang, max(bad.step) AS step FROM last JOIN bad ON bad.step < upto
-    AND CASE WHEN last.own THEN bad.lang IS NOT DISTINCT FROM last.lang ELSE (SELECT coalesce(sum(n) FILTER (NOT own), 0) < any_value(need) FROM z) OR NOT EXISTS (SELECT 1 FROM z WHERE z.own AND z.lang IS NOT DISTINCT FROM bad.lang) END
-  GROUP BY ALL),
+  SELECT z.lang, max(bad.step) AS step FROM z LEFT JOIN failed ON failed.lang IS NOT DISTINCT FROM z.lang
+  JOIN bad ON bad.lang IS NOT DISTINCT FROM z.lang AND bad.step < coalesce(fail, 1000000) GROUP BY ALL),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM v)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(r.step <= CASE WHEN EXISTS (SELECT 1 FROM z WHERE z.own AND z.lang IS NOT DISTINCT FROM b.lang) THEN u.step ELSE (SELECT step FROM useful WHERE NOT own) END, false) AS kept
-FROM b LEFT JOIN r USING (doc_id) LEFT JOIN useful u ON u.own AND u.lang IS NOT DISTINCT FROM b.lang
+       NOT base_failed AND NOT coalesce(r.step <= u.step, false) AS kept
+FROM b LEFT JOIN r USING (doc_id) LEFT JOIN useful u ON u.lang IS NOT DISTINCT FROM b.lang
 """
 for _name, _value in {
     "CUTS": " UNION ALL ".join(f"SELECT '{s}' AS signal, {i} AS step, {c}::DOUBLE AS cutoff" for i, (s, c) in enumerate(STEPS)),
