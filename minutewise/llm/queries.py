@@ -67,7 +67,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets_query(documents(spark, sf_dir))
+    return secrets_query(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

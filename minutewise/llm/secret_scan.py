@@ -3,8 +3,15 @@
 A value that follows a credential word ("passwd:", "pin =", a password in a connection address) is taken apart by the
 cheapest segmentation into known words, dates, repeats, keyboard walks, runs and brute-force spans, where each segment
 costs the logarithm of the guesses it takes; a value whose cheapest segmentation still takes 10**`MIN_LOG10` guesses
-is a secret of kind `guess`. Placeholders ("changeme", "xxxxxxxx") are cheap and so are left alone. Values have any
-length; repeats of blocks of more than `BLOCK` characters are no segments.
+is a secret of kind `guess`. Placeholders ("changeme", "xxxxxxxx") and words of a language are cheap and so are left
+alone, whatever their case; letters that are no words are not. Words are the frequent passwords below and, if its path is
+given, the whole words of a public tokenizer's file, in the order of their ids (which follows frequency). Values have
+any length; repeats of blocks of more than `BLOCK` characters are no segments.
+
+Where a value ends: a quoted one (' " `) at its closing quote on the same line, whatever stands inside; any other one at
+white space, or before the next `,` `;` or `&` with a name and `=`. Full stops, commas, colons and semicolons at an
+unquoted value's end belong to the sentence if the value is as dear without them; other signs belong to the value.
+An address is a value only if one of its parts is dear by itself.
 
 Kinds: `assign`, `access`, `hex` by the fixed patterns, all of them, leftmost and non-overlapping for each kind, whole
 match, code points; `guess` spans cover the value only, and are left out where fixed spans cover all of it. A value that
@@ -19,6 +26,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -43,11 +51,18 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: Words before a value that make it a credential (several languages), and passwords inside addresses.
-CONTEXT = re.compile(
-    r"""(?i)(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pw|pin|secret|token|api[_-]?key|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|contrase(?:ñ|n)a|clave|passwort|kennwort|mot\x20de\x20passe)["']?\x20*(?:\bis\b\x20*[:=]?|:=|=>|[:=])\x20*["']?(?:(?:bearer|basic)\x20+)?([^\s"'<>,;]++)"""
-)
+NAME = r"""(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pw|pin|secret|token|api[_-]?key|credentials?|auth(?:orization)?|bearer|private[_-]?key|access[_-]?key|contrase(?:ñ|n)a|clave|passwort|kennwort|mot\x20de\x20passe)"""
+GAP = r"[ \t]*+(?:\r?\n[ \t]*+)?+"
+SIGN = rf"(?:[ \t]+is\b{GAP}[:=]?|{GAP}(?::=|=>|[:=]))"
+QUOTED = r"""(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`)"""
+BARE = r"""["'`]?((?:(?![,;&][ \t]*[A-Za-z_][\w.-]*=)\S)++)"""
+CONTEXT = re.compile(rf"""(?i){NAME}["'`]?{SIGN}{GAP}(?:(?:bearer|basic)\x20+)?(?:{QUOTED}|{BARE})""")
 BEARER = re.compile(r"(?i)(?<![a-z0-9])bearer\x20+([a-z0-9._~+/=-]++)")
-ADDRESS = re.compile(r"""[a-z][a-z0-9+]{1,15}://[^\s/:@"']++:([^\s/@"']++)@""")
+ADDRESS = re.compile(r"""(?i)(?<![a-z0-9+])[a-z][a-z0-9+]{1,15}://[^\s/:@"']*+:([^\s/@"']++)@""")
+URL = re.compile(r"(?i)[a-z][a-z0-9+]*://[^@\s]*")
+SENTENCE = ".,:;"
+#: Names that stand for a value that is put in later.
+TEMPLATE = re.compile(r"\$?\{+ ?[A-Za-z_][\w.]* ?\}+|<[A-Za-z_][\w -]*>|\$[A-Z_]+|%[A-Z_]+%")
 HINTS = ("pass", "pwd", "pw", "pin", "secret", "token", "key", "credential", "auth", "bearer", "contrase", "clave", "kennwort", "mot de passe", "://")
 
 #: Frequent passwords and words in them, most frequent first: a word's rank is its number of guesses.
@@ -62,16 +77,28 @@ soccer hockey george charlie tigger jennifer orange banana apple cookie chocolat
 diamond phoenix matrix spider eagle falcon tiger lion bear wolf horse water fire earth wind storm cloud river ocean
 mountain forest garden house castle king queen prince knight""".split()
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "qwertzuiop", "azertyuiop")
-LEET = str.maketrans("4@8310$57!", "aabeiosstl"[:10])
+#: Signs for letters; some stand for two.
+LEETS = (str.maketrans("4@8310$57!", "aabeiosstl"), str.maketrans("4@6319$52!(|+", "aagelgsszicl" + "t"))
 DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])(?:[-./]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-./]?(?:0?[1-9]|1[0-2])[-./]?(?:(?:19|20)\d\d|\d\d)")
 
 
+def whole_words(vocabulary: str) -> list[str]:
+    """The words of three letters and more that the vocabulary file holds whole, by id."""
+    with open(vocabulary, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model.get("end_of_word_suffix") or ""
+    blank = "" if end else "\u0120"  # byte-level vocabularies put a blank's sign before a word
+    said = sorted((i, t) for t, i in model["vocab"].items() if t.endswith(end) and t.startswith(blank))
+    words = (t[len(blank) : len(t) - len(end)] for _, t in said)
+    return [w.lower() for w in words if len(w) > 2 and w.isascii() and w.isalpha()]
+
+
 class GuessCost:
     """Minimum-cost segmentation; costs are log10 of guesses."""
 
-    def __init__(self) -> None:
+    def __init__(self, vocabulary: str | None = None) -> None:
         self.words = {}
-        for rank, word in enumerate(dict.fromkeys(COMMON), 1):
+        for rank, word in enumerate(dict.fromkeys([*COMMON, *(whole_words(vocabulary) if vocabulary else [])]), 1):
             self.words[word] = math.log10(rank + 1)
         self.longest = max(map(len, self.words))
         self.next_to = set()
@@ -87,11 +114,13 @@ class GuessCost:
     def segments(self, text: str) -> Iterator[tuple[int, int, float]]:
         """(start, end, cost) of every pattern in the text; brute force is added by cost()."""
         low = text.lower()
-        plain = low.translate(LEET)
+        if len(low) != len(text):  # a letter that becomes two
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+        forms = [(low, 0.0), *((f, 0.5) for f in dict.fromkeys(low.translate(t) for t in LEETS) if f != low)]
         n = len(text)
         for i in range(n):
             for j in range(i + 2, min(n, i + self.longest) + 1):
-                for form, extra in ((low, 0.0), (plain, 0.5)):
+                for form, extra in forms:
                     cost = self.words.get(form[i:j])
                     if cost is not None:
                         part = text[i:j]
@@ -177,36 +206,54 @@ def covers(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
+def bare_end(text: str, a: int, z: int, guesses: GuessCost, least: float) -> int:
+    """An unquoted value's end: without the sentence's last signs if what is left is a secret as well, or if the whole is none."""
+    short = z
+    while short > a and text[short - 1] in SENTENCE:
+        short -= 1
+    if short == z or short == a:
+        return short
+    return z if guesses.cost(text[a:z]) >= least > guesses.cost(text[a:short]) else short
+
+
 def all_spans(text: str, guesses: GuessCost, least: float = MIN_LOG10) -> list[tuple[int, int, int, float | None]]:
     """(start, order of kind, end, log10 of guesses) of every span, sorted."""
     base = fixed_spans(text)
     spans: list[tuple[int, int, int, float | None]] = [(*s, None) for s in base]
     low = text.lower()
     if any(h in low for h in HINTS):
-        values = {m.span(1) for p in (CONTEXT, ADDRESS, BEARER) for m in p.finditer(text)}
+        values = {}
+        for p in (CONTEXT, ADDRESS, BEARER):
+            for m in p.finditer(text):
+                values[m.span(m.lastindex)] = values.get(m.span(m.lastindex), False) or (p is CONTEXT and m.lastindex <= 3)
         starts, ends = covers(base)
         taken = -1
-        for a, z in sorted(values):
-            while z > a and text[z - 1] in ".:!?)]}":
-                z -= 1
+        for (a, z), quoted in sorted(values.items()):
+            if not quoted:
+                z = bare_end(text, a, z, guesses, least)
             at = bisect.bisect_right(starts, a) - 1
-            if z <= taken or z == a or (at >= 0 and z <= ends[at]):
+            if z <= taken or z <= a or (at >= 0 and z <= ends[at]):
                 continue
             value = text[a:z]
-            # A word of a language is no password; a value has a digit, a sign or mixed case.
-            if value.isalpha() and (value[1:].islower() or value.isupper()):
+            if TEMPLATE.fullmatch(value):
                 continue
-            if (cost := guesses.cost(value)) >= least:
+            cost = guesses.cost(value)
+            inside = ADDRESS.match(value)
+            if cost >= least and (inside or URL.fullmatch(value)):
+                # An address's own password is a value by itself; here only its other parts count.
+                parts = re.split(r"[/?&=#.:]+", value[inside.end() :] if inside else value)
+                cost = max((guesses.cost(part) for part in parts if part), default=0.0)
+            if cost >= least:
                 spans.append((a, 3, z, cost))
                 taken = z
     return sorted(spans, key=lambda s: s[:3])
 
 
-def scan_secrets(docs: DataFrame, least: float = MIN_LOG10) -> DataFrame:
-    """doc_id, spans (kind, start, end, log10_guesses), by start and kind."""
+def scan_secrets(docs: DataFrame, least: float = MIN_LOG10, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, spans (kind, start, end, log10_guesses), by start and kind. vocabulary: a tokenizers file with words."""
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        guesses = per_worker("guesses", GuessCost)
+        guesses = per_worker(f"guesses {vocabulary}", lambda: GuessCost(vocabulary))
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("log10_guesses", pa.float64())]))
         for b in batches:
             for s in slices(b):
@@ -216,7 +263,7 @@ def scan_secrets(docs: DataFrame, least: float = MIN_LOG10) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scanned, f"doc_id long, spans {SPANS}")
 
 
-def redact(docs: DataFrame, mark: str = "[secret]", least: float = MIN_LOG10, length: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", least: float = MIN_LOG10, length: str | None = "n_chars", vocabulary: str | None = None) -> DataFrame:
     """The documents with every secret replaced by `mark`; all columns stay, `length` (if it is there) is counted anew.
 
     A null text stays null. Overlapping spans are replaced as one.
@@ -235,7 +282,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", least: float = MIN_LOG10, le
         return "".join([*out, text[upto:]]) if out else text
 
     def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        guesses = per_worker("guesses", GuessCost)
+        guesses = per_worker(f"guesses {vocabulary}", lambda: GuessCost(vocabulary))
         for b in batches:
             for s in slices(b):
                 columns = list(s.columns)
@@ -250,10 +297,10 @@ def redact(docs: DataFrame, mark: str = "[secret]", least: float = MIN_LOG10, le
     return docs.mapInArrow(changed, T.StructType(schema.fields))
 
 
-def secrets_query(docs: DataFrame) -> DataFrame:
+def secrets_query(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     told = lambda kinds: F.array_join(F.transform(F.filter("spans", lambda s: s["kind"].isin(kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    return scan_secrets(docs).select(
+    return scan_secrets(docs, vocabulary=vocabulary).select(
         "doc_id",
         *(count(k).alias(f"n_{k}") for k in KINDS),
         F.sha2(told(list(KINDS[:3])).cast("binary"), 256).alias("base_sha256"),

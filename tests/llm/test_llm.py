@@ -294,7 +294,7 @@ def test_secrets(docs, empty, spark):
 def test_secrets_that_fixed_spans_cover_in_part(spark):
     rows = [
         ("password = Kq7xZm2pLw9R!vT$e8#uB and more", "[secret] and more"), ("pwd: Xy!9-deadbeefdeadbeef-zQ$4, so", "pwd: [secret], so"),
-        ("token: 'abcdefghij12345'", "[secret]'"), ("token=abc://u:x7$Kq!9z,zT%4w@host/", "token=[secret]@host/"),
+        ("token: 'abcdefghij12345'", "[secret]'"), ("token=abc://u:x7$Kq!9z,zT%4w@host/", "token=abc://u:[secret]@host/"),
     ]
     df = spark.createDataFrame([(i, t, len(t)) for i, (t, _) in enumerate(rows)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: r for r in secret_scan.secrets_query(df).collect()}
@@ -604,6 +604,54 @@ def test_license_texts_notices_and_suppression(spark):
     assert (row["n_base"], row["first_word"], row["last_word"]) == (len(at), min(at), max(at))
 
 
+def cheapest(guesses, text):
+    """log10 of guesses by trying every segmentation: each part is a pattern, a repeat, or single characters."""
+    letter, n = math.log10(guesses.alphabet(text)), len(text)
+    found = collections.defaultdict(lambda: math.inf)
+    for i, j, c in guesses.segments(text):
+        found[i, j] = min(found[i, j], c)
+    best = math.inf
+    for marks in range(1 << (n - 1)):
+        cuts = [0, *(k for k in range(1, n) if marks >> (k - 1) & 1), n]
+        total = 0.0
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            part = text[i:j]
+            costs = [found[i, j], letter if j - i == 1 else math.inf]
+            for size in range(1, (j - i) // 2 + 1):
+                if (j - i) % size == 0 and part == part[:size] * ((j - i) // size):
+                    costs.append(min(size * letter, cheapest(guesses, part[:size])) + math.log10((j - i) // size))
+            total += min(costs)
+        best = min(best, total)
+    return best
+
+
+def test_guess_costs_like_every_segmentation():
+    guesses, rng = secret_scan.GuessCost(WORD), random.Random(11)
+    parts = ["key", "p@ss", "12", "99", "qwe", "abc", "x", "X", "$", "é", "2024", "aa", "lion", "zz9", "1l0n"]
+    for _ in range(150):
+        text = "".join(rng.choices(parts, k=4))[:9]
+        assert math.isclose(secret_scan.GuessCost.cost(guesses, text), cheapest(guesses, text)), text
+
+
+@pytest.mark.parametrize(
+    ("text", "clean"),
+    [
+        ('pwd: "aX9,kLm2;Qz81" end', 'pwd: "[secret]" end'), ("pwd: 'p@ss<w>ord19X'", "pwd: '[secret]'"), ("pwd: aX9kLm2Qz! and", "pwd: [secret] and"), ("pwd: aX9kLm2Qz? and", "pwd: [secret] and"),
+        ("pwd: xkqzwjvbnplmtrgh", "pwd: [secret]"), ("PWD=XKQZWJVBNPLMTRGH", "PWD=[secret]"), ("HTTPS://u:pwX9!kq2Lm@h", "HTTPS://u:[secret]@h"), ("password\t: aX9kLm2Qz1", "password\t: [secret]"),
+        ("password\n: aX9kLm2Qz1", "password\n: [secret]"), ("user=foo;password=aX9$kLm2Qz;host=db", "user=foo;password=[secret];host=db"), ("pwd: aX9$kLm2Qz, ok", "pwd: [secret], ok"),
+        ("pwd: `a b;c,d$9Kq` x", "pwd: `[secret]` x"), ('pwd: "aX9kLm2Qz\nmore"', 'pwd: "[secret]\nmore"'),
+        *((t, t) for t in ("secret: http://host/page?id=12", "the password is welcome", "the password is required for everyone", "password: correct", "PASSWORD: REQUIRED", "pass: Bearer", "secret is out", "pwd: ${DB_PASSWORD}", "token: <your token>", "pin: 4711.")),
+    ],
+)
+def test_where_secrets_end(text, clean):
+    guesses, out, upto = secret_scan.GuessCost(WORD), [], 0
+    for a, _, z, _ in secret_scan.all_spans(text, guesses):
+        if a >= upto:
+            out += [text[upto:a], "[secret]"]
+        upto = max(upto, z)
+    assert "".join([*out, text[upto:]]) == clean
+
+
 def test_secrets_behind_bearer_and_is_and_in_long_runs():
     guesses = secret_scan.GuessCost()
     guess = lambda t: [t[a:z] for a, k, z, _ in secret_scan.all_spans(t, guesses) if k == 3]
