@@ -12,7 +12,8 @@ first element that no head may hold or at the first text, and a self-closed svg
 a block becomes one blank, and the main blocks are joined by line feeds in page order.
 
 Defined results: null and empty pages, and pages without a main block, give an empty text; unclosed elements end where
-the next block begins or the page ends; repeated rows are extracted one by one; extra columns are ignored.
+the next block begins or the page ends; pages of any length and depth are read in steps that grow with their length;
+ties between labels go to "other"; repeated rows are extracted one by one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from pyspark.sql import functions as F
 
 from minutewise.llm.token_counts import slices
 
-SKIPPED = "script|style|noscript|template|svg|iframe|object|canvas"
+SKIPPED = "script|style|noscript|template|svg|iframe|object|canvas|textarea"
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({SKIPPED})(?=[\s/>])(?:(?<=<svg)[^>]*+(?<=/)>|[^>]*+>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-z][^>]*+(?:>|\Z)""", re.S | re.I
+    rf"""<!--(?:-?>|.*?(?:--!?>|\Z))|<({SKIPPED})(?=[\s/>])(?:(?<=<svg)[^>]*+(?<=/)>|[^>]*+>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-z][^>]*+(?:>|\Z)""", re.S | re.I
 )
 #: What a head may hold; anything else, and text, begins the body, as the end tag of the head may be left out.
 IN_HEAD = frozenset("head html base basefont bgsound link meta title script style noscript template".split())
@@ -61,17 +62,46 @@ WORD_OF = {w: k for k, ws in NAMED.items() for w in ws.split()}
 CALLS = re.compile(r"©|\(c\)|copyright|all rights reserved|cookie|privacy|subscribe|sign up|log ?in|click here|read more|share|advert|sponsor", re.I)
 
 
+class Path:
+    """An open block element and all above it, as features: each level adds to its parent's, whose number is bounded by the
+    tables of tags and words, so a page of any depth is read in steps that grow with its length."""
+
+    __slots__ = ("parts", "closest", "article", "features")
+
+    def __init__(self, parent: Path | None, tag: str, names: str):
+        self.parts, self.closest, self.article = (parent.parts, parent.closest, parent.article) if parent else (frozenset(), frozenset(), False)
+        told = [WORD_OF[w] for w in re.split(r"[^a-z]+", names) if w in WORD_OF]
+        own = {f"named {k}" for k in told} | ({f"in {tag}"} if tag in TAGS else set())
+        if not own <= self.parts:
+            self.parts = self.parts | own
+        # The innermost element that tells what it holds.
+        if told or tag in LANDMARKS:
+            closest = {f"closest {k}" for k in told or [tag]} | {f"closest {k} within {self.article}" for k in told or [tag]}
+            if told and tag in LANDMARKS:
+                closest.add(f"closest {tag} named {told[0]}")
+            self.closest = frozenset(closest)
+        self.article = self.article or tag in ("article", "main")
+        self.features = tuple(sorted({"bias", f"leaf {tag}"} | self.parts | self.closest))
+
+
+NO_PATH = ("bias", "leaf none")
+
+
 class Block:
+    """A leaf block: `path` are the features of the elements that hold it."""
+
     __slots__ = ("path", "text", "linked")
 
-    def __init__(self, path: tuple[tuple[str, str], ...], text: str, linked: int):
+    def __init__(self, path: tuple[str, ...], text: str, linked: int):
         self.path, self.text, self.linked = path, text, linked
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """The page's leaf blocks in order. path: (tag, names) of the ancestors, the outermost first."""
+    """The page's leaf blocks in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    #: Open elements by tag, each with the path of the innermost block element; and how many of each tag are open.
+    stack: list[tuple[str, Path | None]] = []
+    open_now: dict[str, int] = {}
     parts: list[str] = []
     linked = anchors = 0
     in_head, titles_end = False, True
@@ -81,7 +111,8 @@ def leaf_blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(tuple(s for s in stack if s[0] not in INLINE), text, linked))
+                path = stack[-1][1] if stack else None
+                blocks.append(Block(path.features if path else NO_PATH, text, linked))
             parts.clear()
         linked = 0
 
@@ -89,6 +120,7 @@ def leaf_blocks(page: str) -> list[Block]:
         nonlocal anchors
         for tag, _ in stack[upto:]:
             anchors -= tag == "a"
+            open_now[tag] -= 1
         del stack[upto:]
 
     def text_of(piece: str) -> None:
@@ -124,7 +156,10 @@ def leaf_blocks(page: str) -> list[Block]:
                 at = end.end() if end else following if following >= 0 else len(page)
             continue
         if m[2]:
-            if tag in INLINE:
+            if not open_now.get(tag):
+                if tag not in INLINE:
+                    flush()
+            elif tag in INLINE:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == tag:
                         close(i)
@@ -154,7 +189,9 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in VOID or m[4].endswith("/"):
             continue
         names = " ".join(a or b or c for a, b, c in NAMES.findall(m[4])) if m[4] else ""
-        stack.append((tag, names.lower()))
+        above = stack[-1][1] if stack else None
+        stack.append((tag, above if tag in INLINE else Path(above, tag, names.lower())))
+        open_now[tag] = open_now.get(tag, 0) + 1
         anchors += tag == "a"
     text_of(page[at:])
     flush()
@@ -165,28 +202,6 @@ def bucket(n: float, edges: tuple[float, ...]) -> int:
     return sum(n >= e for e in edges)
 
 
-def path_features(path: tuple[tuple[str, str], ...]) -> tuple[str, ...]:
-    """Features of the ancestors' tags and names."""
-    out = {"bias", f"leaf {path[-1][0] if path else 'none'}"}
-    for tag, names in path:
-        if tag in TAGS:
-            out.add(f"in {tag}")
-        for word in re.split(r"[^a-z]+", names):
-            if word in WORD_OF:
-                out.add(f"named {WORD_OF[word]}")
-    # The innermost ancestor that tells what it holds.
-    for depth in range(len(path) - 1, -1, -1):
-        tag, names = path[depth]
-        told = [WORD_OF[w] for w in re.split(r"[^a-z]+", names) if w in WORD_OF]
-        if told or tag in LANDMARKS:
-            within = any(t in ("article", "main") for t, _ in path[:depth])
-            out |= {f"closest {k}" for k in told or [tag]} | {f"closest {k} within {within}" for k in told or [tag]}
-            if told and tag in LANDMARKS:
-                out.add(f"closest {tag} named {told[0]}")
-            break
-    return tuple(sorted(out))
-
-
 def text_features(block: Block) -> tuple[str, ...]:
     text = block.text
     words = text.count(" ") + 1
@@ -210,12 +225,12 @@ class Field:
         found = [self.weights[f] for f in features if f in self.weights]
         return sum(x for x, _ in found), sum(y for _, y in found)
 
-    def of_path(self, path: tuple[tuple[str, str], ...]) -> tuple[float, float]:
+    def of_path(self, path: tuple[str, ...]) -> tuple[float, float]:
         """The score of a path's features, kept for the paths to come."""
         if path not in self.paths:
             if len(self.paths) > 50_000:
                 self.paths.clear()
-            self.paths[path] = self.score(path_features(path))
+            self.paths[path] = self.score(path)
         return self.paths[path]
 
     def decode(self, blocks: list[Block]) -> list[int]:
@@ -246,7 +261,7 @@ def train(pages: list[tuple[str, list[int]]], rounds: int = 120, rate: float = 0
     """Fits a field to labelled pages (page, label of each leaf block) by Adam on the mean log-likelihood."""
     found = [(leaf_blocks(p), y) for p, y in pages]
     found = [(b, y) for b, y in found if b and len(b) == len(y)]
-    names = sorted({f for b, _ in found for x in b for f in (*path_features(x.path), *text_features(x))})
+    names = sorted({f for b, _ in found for x in b for f in (*x.path, *text_features(x))})
     number = {f: i for i, f in enumerate(names)}
     n, longest, width = len(found), max(len(b) for b, _ in found), len(names)
     x = np.zeros((n, longest, width), np.float32)
@@ -254,7 +269,7 @@ def train(pages: list[tuple[str, list[int]]], rounds: int = 120, rate: float = 0
     there = np.zeros((n, longest), bool)
     for i, (blocks, labels) in enumerate(found):
         for t, b in enumerate(blocks):
-            for f in (*path_features(b.path), *text_features(b)):
+            for f in (*b.path, *text_features(b)):
                 x[i, t, number[f]] = 1
         y[i, : len(labels)] = labels
         there[i, : len(labels)] = True
