@@ -10,7 +10,8 @@ out of reach. A branch is left when its bins and the lower bound of what is left
 the incumbent has, or if its waste is more than such a packing can afford. The incumbent is best-fit decreasing at first.
 
 The plan of the search is taken if it has no more bins than best fit. It is proven optimal if it meets the lower bound or
-the search ends before `NODES` nodes; else `plan_gap` tells how far from the bound it may be.
+the search ends before `NODES` nodes; else the plan is the best one met, and `plan_gap`, a column of the result, tells how
+many sequences it may be from the fewest.
 
 The plan is a list of fillings with multiplicities: a few thousand numbers at most, proven by the number of lengths. A
 piece's sequence follows from its rank among the pieces of its length, by arithmetic: ranks come from prefix sums over
@@ -264,7 +265,7 @@ def plan_gap(histogram: dict[int, int], plan: list[tuple[list[int], int]], capac
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to the rows of token_pieces()."""
+    """Adds sequence_id, offset, and plan_gap (sequences over the lower bound, 0: proven fewest) to the rows of token_pieces()."""
     spark = pieces.sparkSession
     rows = staged(pieces, "pieces")
     counts = staged(rows.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
@@ -273,7 +274,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # from `first_sequence` on, from `first_offset` on.
     taken: dict[int, int] = dict.fromkeys(histogram, 0)
     runs, sequence = [], 0
-    for filling, times in plan_bins(histogram, capacity):
+    plan = plan_bins(histogram, capacity)
+    gap = plan_gap(histogram, plan, capacity) if histogram else 0
+    for filling, times in plan:
         sizes, uses = np.unique(filling, return_counts=True)
         offset = 0
         for n, u in zip(sizes.tolist()[::-1], uses.tolist()[::-1], strict=True):
@@ -292,6 +295,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32",
         F.expr("first_sequence + (rank - low) div uses").alias("sequence_id"),
         F.expr("first_offset + (rank - low) % uses * length").alias("offset"),
+        F.lit(gap).cast("long").alias("plan_gap"),
     )
 
 
