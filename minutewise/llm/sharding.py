@@ -29,14 +29,21 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, also: str | None = None) -
     return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "start", "shard", (F.col("row") - F.col("first_row")).alias("slot"), *more)
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> None:
-    """Writes the documents, all their columns, to one folder a shard (shard=0 and so on), in order within it.
+def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> str:
+    """Writes the documents, all their columns, to one folder a shard (shard=0 and so on), in order within it; returns the
+    name of the folders' column: `shard`, with underscores before it as long as the documents have such a column.
 
     Rows are told apart by a number of their own, written with them first, so that repeated and null ids stay as they are.
     """
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    placed = assign_shards(rows, n_shards, "_row").select("_row", "shard", "slot")
-    rows.join(placed, "_row").drop("_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    folder = "shard"
+    while folder in {c.lower() for c in docs.columns}:
+        folder = f"_{folder}"
+    numbered = docs.select(F.struct("*").alias("_doc")).withColumn("_row", F.monotonically_increasing_id())
+    rows = staged(numbered, "numbered")
+    placed = assign_shards(rows.select("_row", "_doc.doc_id", "_doc.text"), n_shards, "_row").select("_row", "shard", "slot")
+    laid = rows.join(placed, "_row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    laid.select("_doc.*", F.col("shard").alias(folder)).write.partitionBy(folder).parquet(path)
+    return folder
 
 
 def shards_query(docs: DataFrame, n_shards: int = 8) -> DataFrame:

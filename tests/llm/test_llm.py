@@ -576,6 +576,27 @@ def test_write_shards_keeps_repeated_and_null_ids(spark, tmp_path):
     assert collections.Counter(back) == collections.Counter(rows)
 
 
+def test_write_shards_keeps_columns_of_any_name(spark, tmp_path):
+    rows = [(i, f"text {i}", 7, i * 2, "r", 1.5) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, slot int, _row string, start double")
+    assert sharding.write_shards(df, str(tmp_path / "s"), 3) == "_shard"
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(tuple(r) for r in back.select(*df.columns).collect()) == rows and {r["_shard"] for r in back.collect()} == {0, 1, 2}
+
+
+def test_comments_text_fields_and_deep_pages():
+    import time
+
+    found = lambda page: [b.text for b in html_main.leaf_blocks(page)]
+    for empty in ("<!-->", "<!--->", "<!-- x --!>", "<!---->"):
+        assert found(f"<p>One.{empty}Two.<p>Three.") == ["One.Two.", "Three."]
+    assert found("<form><textarea><script></textarea></form><p>One.") == ["One."] and found("<p>One.<!-- open <p>Two.") == ["One."]
+    began = time.perf_counter()
+    deep = html_main.leaf_blocks("<div class=content>text" * 50_000)
+    assert len(deep) == 50_000 and deep[-1].path == deep[1].path and len(html_main.leaf_blocks("<p>a</section></b>" * 50_000)) == 50_000
+    assert time.perf_counter() - began < 10
+
+
 def test_license_texts_notices_and_suppression(spark):
     cases = {
         "GPLv3": {"gpl-3.0"}, "AGPLv3": {"agpl-3.0"}, "WTFPL": {"wtfpl"}, "SPDX-License-Identifier: GPL-3.0-or-later": {"gpl-3.0-or-later"}, "GPL version 2 or later": {"gpl-2.0-or-later"},
