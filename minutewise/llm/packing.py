@@ -29,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -264,18 +265,12 @@ def plan_gap(histogram: dict[int, int], plan: list[tuple[list[int], int]], capac
     return bins(plan) - lower_bound(counts, capacity)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id, offset, and plan_gap (sequences over the lower bound, 0: proven fewest) to the rows of token_pieces()."""
-    spark = pieces.sparkSession
-    rows = staged(pieces, "pieces")
-    counts = staged(rows.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
-    # Runs of ranks of one length that are laid out alike: from the rank `low`, `uses` of them in each of the sequences
-    # from `first_sequence` on, from `first_offset` on.
+def laid_out(histogram: dict[int, int], capacity: int) -> pd.DataFrame:
+    """The plan as runs of ranks of one length that are laid out alike: from the rank `low` to `high`, `uses` of them in each
+    of the sequences from `first_sequence` on, from `first_offset` on; and the plan's gap."""
     taken: dict[int, int] = dict.fromkeys(histogram, 0)
     runs, sequence = [], 0
     plan = plan_bins(histogram, capacity)
-    gap = plan_gap(histogram, plan, capacity) if histogram else 0
     for filling, times in plan:
         sizes, uses = np.unique(filling, return_counts=True)
         offset = 0
@@ -284,7 +279,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             taken[n] += u * times
             offset += n * u
         sequence += times
-    layout = spark.createDataFrame(runs, "length long, low long, high long, uses long, first_sequence long, first_offset long")
+    return pd.DataFrame(runs, columns=["length", "low", "high", "uses", "first_sequence", "first_offset"]).assign(plan_gap=plan_gap(histogram, plan, capacity))
+
+
+LAYOUT = "length long, low long, high long, uses long, first_sequence long, first_offset long, plan_gap long"
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Adds sequence_id, offset, and plan_gap (sequences over the lower bound, 0: proven fewest) to the rows of token_pieces()."""
+    rows = staged(pieces, "pieces")
+    counts = staged(rows.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
+
+    def planned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        histogram = {n: k for pdf in frames for n, k in zip(pdf.length.tolist(), pdf.n.tolist(), strict=True)}
+        if histogram:
+            yield laid_out(histogram, capacity)
+
+    # One task plans, from `capacity` rows at most.
+    layout = staged(counts.groupBy("length").agg(F.sum("n").alias("n")).repartition(1).mapInPandas(planned, LAYOUT), "layout")
     # Which ranks each part's pieces of a length have: parts x lengths small rows, added up length by length.
     before = F.expr("coalesce(sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding), 0)")
     ranks = counts.select("part", "length", before.alias("before"))
@@ -295,7 +307,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "doc_id", "piece", "start", "length", "ids_crc32",
         F.expr("first_sequence + (rank - low) div uses").alias("sequence_id"),
         F.expr("first_offset + (rank - low) % uses * length").alias("offset"),
-        F.lit(gap).cast("long").alias("plan_gap"),
+        "plan_gap",
     )
 
 
