@@ -80,10 +80,10 @@ def test_model_tables_hang_together(spark):
 def test_result_tables_are_written_and_read_back(spark, tmp_path):
     from minutewise.sources.files import read_csv_by_name
 
-    names = models.write_results(spark, SF, str(tmp_path), recurrent=False)
+    names = models.write_results(spark, MORE, str(tmp_path), recurrent=False)
     assert len(names) == 6
     back = read_csv_by_name(spark, f"{tmp_path}/missingness", "component string, kpi string, raw double, after_cleaning double, absent int")
-    want = {(r["component"], r["kpi"]): (r["raw"], r["after_cleaning"], None) for r in report_queries.missingness(spark, SF).collect()}
+    want = {(r["component"], r["kpi"]): (r["raw"], r["after_cleaning"], None) for r in report_queries.missingness(spark, MORE).collect()}
     assert {(r["component"], r["kpi"]): tuple(r)[2:] for r in back.collect()} == want
     assert all(spark.read.option("header", True).csv(f"{tmp_path}/{name}").count() for name in names)
 
