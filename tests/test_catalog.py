@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from minutewise.plans import models, report_queries
+from minutewise.plans import models, report_queries, streams  # noqa: F401
 from minutewise.plans.catalog import QUERIES, SQL
 
 SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -18,6 +18,7 @@ CHOSEN = [
     "quiet_times", "closeup", "drift", "string_funcs", "ts_funcs", "math_funcs", "dot_product", "union_by_name", "bootstrap_ci", "series_missingness", "prepared_fold", "q1_first_faults", "q2_fault_types",
     "q3_faults_per_day", "q4_faults_on_recorded_days", "q5_missingness_histogram", "q6_closeup_panels", "q7_profile_band", "q8_change_by_type", "q9_metrics_table", "q11_timeline", "q11_onsets", "q12_drift",
     "q12_bands", "q14_split_table", "q20_compare_systems", "run_events", "run_splits", "fold_scaling", "fold_prep", "fold_series", "fold_windows",
+    "stream_features", "stream_episodes", "stream_day_sketch", "rolling_thresholds", "rolling_alarms",
 ]
 
 
