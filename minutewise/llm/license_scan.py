@@ -1,9 +1,11 @@
 """License detection by ordered signature rules.
 
 A text becomes its lower-cased words, one blank apart; rules are regular expressions over that line, written by hand:
-sentences of license texts and notices (`TEXTS`), and a table of license families (names, short names, versions) in a
-handful of phrase forms, SPDX tags and "or later" grants among them, each with a priority and a score. A rule runs only
-if a keyword of it stands in the text. Where detections overlap, priority decides: a detection that lies within one of
+sentences of license texts and notices (`TEXTS`), a table of license families (names, short names, versions) in a
+handful of phrase forms, SPDX tags and "or later" grants among them, and exceptions (`EXCEPTIONS`, which have labels of
+their own), each with a priority and a score. A rule runs only if a keyword of it stands in the text. All operands of an
+SPDX expression are detections. Signs are no words, but a plus right behind the version of a GNU license ("LGPL-2.1+")
+makes its label "or later". Where detections overlap, priority decides: a detection that lies within one of
 higher priority, or of the same priority and longer, is dropped (ties: the earlier place, then the rule's name). Scanning
 takes time in proportion to the text, suppression n log n for n detections.
 
@@ -107,6 +109,25 @@ TEXTS = [
 ]
 #: Of the GNU licenses: the notice that names the version.
 GNU_NOTICES = [("gpl", "general", ["1.0", "2.0", "3.0"]), ("lgpl", "(?:lesser|library) general", ["2.0", "2.1", "3.0"]), ("agpl", "affero general", ["1.0", "3.0"])]
+#: Exceptions to licenses: label, keyword, pattern over words.
+EXCEPTIONS = [
+    ("autoconf-exception", "autoconf", "autoconf exception(?: [23] 0)?"),
+    ("bison-exception-2.2", "bison", "bison exception(?: 2 2)?"),
+    ("classpath-exception-2.0", "classpath", "classpath exception(?: 2 0)?"),
+    ("classpath-exception-2.0", "exception", "as a special exception the copyright holders of this library give you permission to link this library with independent modules to produce an executable"),
+    ("font-exception-2.0", "font", "font exception(?: 2 0)?"),
+    ("gcc-exception", "gcc", "(?:gcc exception(?: [23] [01])?|gcc runtime library exception)"),
+    ("libtool-exception", "libtool", "libtool exception"),
+    ("linux-syscall-note", "syscall", "linux syscall note"),
+    ("llvm-exception", "llvm", "llvm exceptions?"),
+    ("openssl-exception", "openssl", "(?:openssl (?:linking )?exception|permission to link (?:[^ ]+ ){1,12}with the openssl (?:project s )?(?:library|openssl library))"),
+    ("qt-gpl-exception-1.0", "qt", "qt gpl exception(?: 1 0)?"),
+    ("qt-lgpl-exception-1.1", "qt", "qt lgpl exception(?: 1 1)?"),
+    ("u-boot-exception-2.0", "boot", "u boot exception(?: 2 0)?"),
+    ("wxwindows-exception-3.1", "wxwindows", "wxwindows exception(?: 3 1)?"),
+]
+#: Behind "licensed" these tell of somebody who licensed something, not of a license.
+OBJECTS = "to|the|its|their|his|her|our|it|them|this|that|these|those|a|an|some|several|patents?|technology|technologies"
 #: Short names that stand for a license even alone.
 DISTINCT = {"wtfpl", "0bsd", "cc0"}
 
@@ -161,11 +182,18 @@ def rules() -> list[Rule]:
                 add(f"{label} short", label, 2, 0.8, f"(?:{'|'.join(short)}){number}", keywords(short))
             if not v and DISTINCT & set(short):
                 add(f"{label} short", label, 4, 0.6, f"(?:{'|'.join(sorted(DISTINCT & set(short)))})", keywords(short))
+            # "MIT licensed", "Apache 2.0-licensed": gated by the participle, as some names are common words.
+            if short or stem.isalnum():
+                add(f"{label} participle", label, 2 if v else 4, 0.8 if v else 0.6, rf"(?:{'|'.join(short or [stem])}){number} licen[sc]ed(?! (?:{OBJECTS})(?![^ ]))", (b"licensed", b"licenced"))
         if "" not in versions:
+            if short:
+                add(f"{stem} participle", stem, 4, 0.6, rf"(?:{'|'.join(short)}) licen[sc]ed(?! (?:{OBJECTS})(?![^ ]))", (b"licensed", b"licenced"))
             add(f"{stem} grant", stem, 3, 0.8, GRANT + every, keywords(full + short))
             add(f"{stem} name", stem, 4, 0.6, names, keywords(full))
     for i, (label, key, pattern) in enumerate(TEXTS):
         add(f"{label} text {i}", label, 0, 1.0, pattern, (key.encode(),))
+    for i, (label, key, pattern) in enumerate(EXCEPTIONS):
+        add(f"{label} exception {i}", label, 0, 1.0, f"(?:with (?:the )?)?{pattern}", (key.encode(),))
     for stem, name, versions in GNU_NOTICES:
         for v in versions:
             number = f"either version {v.removesuffix('.0').replace('.', ' ')}(?: 0)? of the licen[sc]e or at your option any later version"
@@ -173,6 +201,19 @@ def rules() -> list[Rule]:
     return sorted(made, key=lambda r: (r.priority, r.name))
 
 
+def operands() -> dict[bytes, Rule]:
+    """The rule for an operand of an SPDX expression, by the operand's words; longer ones first."""
+    made = {}
+    for stem, _, _, versions in families():
+        for v in versions:
+            label = f"{stem}-{v}" if v else stem
+            spelled = label.replace("-", " ").replace(".", " ")
+            gnu = v and ("gpl" in stem or stem == "gfdl")
+            for words, to in [(spelled, label), *([(f"{spelled} only", label), (f"{spelled} or later", f"{label}-or-later")] if gnu else [])]:
+                made[words.encode()] = Rule(f"{to} operand", to, 0, 1.0, (b"spdx",), re.compile(rf"(?<![^ ]){words}(?![^ ])".encode()))
+    return dict(sorted(made.items(), key=lambda m: (-len(m[0]), m[0])))
+
+
 def unsuppressed(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """The detections that lie within none of higher priority (or of the same and longer), by a tree of the furthest ends."""
     starts = sorted({a for a, _, _ in found})
@@ -196,6 +237,14 @@ class Scanner:
     def __init__(self) -> None:
         self.rules = rules()
         self.keywords = {k for r in self.rules for k in r.keywords}
+        self.operands = operands()
+        one = b"(?:" + b"|".join(self.operands) + b")(?![^ ])"
+        # Operands unknown here, of up to five words, don't end the expression; exceptions have rules of their own.
+        part = b"(?:" + one + rb"|[^ ]+(?: [^ ]+){0,4}?(?= (?:and|or|with) ))"
+        self.expression = re.compile(rb"(?<![^ ])spdx licen[sc]e identifier (" + part + rb"(?: (?:and|or|with) " + part + rb")*)")
+        self.operand = re.compile(rb"(?<![^ ])" + one)
+        #: Labels that a plus makes "or later".
+        self.versions = {r.label.removesuffix("-or-later") for r in self.rules if r.label.endswith("-or-later")}
         # Separators to blanks, A-Z to a-z; bytes of other characters belong to words.
         table = bytearray(range(256))
         for c in range(128):
@@ -229,7 +278,14 @@ class Scanner:
             if there.isdisjoint(r.keywords):
                 continue
             found += [(m.start(), m.end(), r) for m in r.pattern.finditer(line)]
+        if b"spdx" in there:
+            for e in self.expression.finditer(line):
+                found += [(m.start(), m.end(), self.operands[m.group()]) for m in self.operand.finditer(line, e.start(1), e.end(1))]
         spans = [(before(a), before(z + 1), r.label, r.name, r.score) for a, z, r in unsuppressed(found)]
+        if any(label in self.versions for _, _, label, _, _ in spans) and re.search(rb"[0-9]\+", text):
+            held = np.frombuffer(text.translate(self.table) + b" ", np.uint8) != 32
+            ends = np.flatnonzero(held[:-1] & ~held[1:]) + 1  # of each word, in the text
+            spans = [(a, z, f"{label}-or-later" if label in self.versions and text[ends[z - 1] : ends[z - 1] + 1] == b"+" else label, name, score) for a, z, label, name, score in spans]
         return len(words), sorted(base), spans
 
 

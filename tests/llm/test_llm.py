@@ -734,3 +734,37 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         bench.write.parquet(str(folder / "benchmark.parquet"))
         out = corpus_pipeline.run(spark, str(folder)).collect()
         assert sorted({r["doc_id"] for r in out}) == ([1, 4] if name == "some" else [])
+
+
+def test_license_exceptions_operands_signs_and_participles(spark):
+    cases = {
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0": {"gpl-2.0", "classpath-exception-2.0"},
+        "SPDX-License-Identifier: BSD-3-Clause AND ISC": {"bsd-3-clause", "isc"},
+        "SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-3.0-or-later": {"mit", "apache-2.0", "gpl-3.0-or-later"},
+        "SPDX-License-Identifier: LGPL-2.1+": {"lgpl-2.1-or-later"},
+        "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR MIT\nThe ISC met in May": {"gpl-2.0", "linux-syscall-note", "mit"},
+        "SPDX-License-Identifier: LicenseRef-Foo-1.0 AND (Sleepycat OR ISC)": {"isc"},
+        "released under GPLv2+, see below": {"gpl-2.0-or-later"},
+        "GPL v2, 3 + 4 more": {"gpl-2.0"},
+        "Apache-2.0+": {"apache-2.0"},
+        "a small MIT licensed library": {"mit"},
+        "the code is Apache 2.0 licensed.": {"apache-2.0"},
+        "BSD-licensed; no warranty": {"bsd"},
+        "MIT licensed its patents to the firm": set(),
+        "MIT licensed the technology": set(),
+        "with the exception of 2 0 fonts": set(),
+        "mit einer Ausnahme": set(),
+        "As a special exception, the copyright holders of this library give you permission to link this library with independent modules to produce an executable": {"classpath-exception-2.0"},
+        "This part falls under the Apache License v2.0 with LLVM Exceptions": {"apache-2.0", "llvm-exception"},
+        "+": set(),
+        "gpl 3+\u00e9 gpl-3+": {"gpl-3.0-or-later"},
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: {d["label"] for d in r["detections"]} for r in license_scan.scan_licenses(df).collect()}
+    assert {text: got[i] for i, text in enumerate(cases)} == cases
+    # Every operand is found wherever it stands in an expression, and is named by its own words.
+    words = license_scan.operands()
+    assert len(words) > 100
+    several = [(i, "SPDX-License-Identifier: Zlib AND " + w.decode()) for i, w in enumerate(words)]
+    found = {r["doc_id"]: {d["label"] for d in r["detections"]} for r in license_scan.scan_licenses(spark.createDataFrame(several, "doc_id long, text string")).collect()}
+    assert all({"zlib", r.label} <= found[i] for i, r in enumerate(words.values()))
