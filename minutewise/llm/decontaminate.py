@@ -19,8 +19,8 @@ a skewed join key, which adaptive execution splits.
 
 Defined results: null texts and texts without words have 0 words and no hits; an item without words is no item; items
 that share an item_id count once, those with a null id not by name; repeated rows are judged one by one; ties in rarity
-go by place; extra columns, also of the benchmark, are ignored, or kept by drop_contaminated(), which keeps documents
-without an id; an empty benchmark or document table gives no hits or no rows. Windows are told apart by 64-bit hashes.
+go by place; extra columns, also of the benchmark, are ignored, or kept by drop_contaminated(), which judges rows
+without an id, and rows that share one, each by its own text; an empty benchmark or document table gives no hits or no rows. Windows are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -127,8 +127,22 @@ def near_matches(docs: DataFrame, benchmark: DataFrame, slack: int = 3, window:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no benchmark window occurs, with their own columns."""
-    hit = contamination(docs, benchmark, window).where("n_hit > 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    hit = staged(contamination(docs, benchmark, window).where("n_hit > 0").select("doc_id").distinct(), "hit")
+    clean = docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    # Which row an id stands for isn't told by ids that are null or stand for several: these rows are numbered and judged once more.
+    several = docs.join(hit, "doc_id", "left_semi").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    unclear = docs.join(several, "doc_id", "left_semi").select(*docs.columns)
+    if not hit.where("doc_id is null").isEmpty():
+        clean = clean.where("doc_id is not null")
+        unclear = unclear.unionByName(docs.where("doc_id is null"))
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    unclear = staged(unclear.withColumn(row, F.monotonically_increasing_id()), "unclear")
+    if unclear.isEmpty():
+        return clean
+    found = contamination(unclear.select(F.col(row).alias("doc_id"), "text"), benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(row))
+    return clean.unionByName(unclear.join(found, row, "left_anti").select(*docs.columns))
 
 
 def decontamination_query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

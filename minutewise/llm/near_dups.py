@@ -21,8 +21,10 @@ Sets of copies never meet as pairs: they are one class from step 2 on. Sets are
 pairs; within one document of 100,000 shingles a collision has a chance under 1e-9.
 
 Defined results: null and empty texts and texts without words have an empty set and stand alone; a text with fewer
-words than a shingle is one shingle; repeated rows get the same verdict each; extra columns are ignored (and kept by
-drop_near_duplicates(), which also keeps one of the rows that repeat a doc_id); documents with a null id stand alone.
+words than a shingle is one shingle; repeated rows get the same verdict each; rows that share a doc_id but not their sets
+are documents of their own, which their id doesn't link (if there are such, rows are numbered first, and the numbers go
+through the steps above in the ids' place); extra columns are ignored (and kept by drop_near_duplicates(), which keeps one
+row of a doc_id and component, and one of a doc_id's rows without words); documents with a null id stand alone.
 """
 
 from __future__ import annotations
@@ -285,9 +287,8 @@ def joined_on_band(rows: DataFrame, table: DataFrame, hot: DataFrame) -> DataFra
     return rows.join(F.broadcast(known), "band").unionByName(rows.join(F.broadcast(hot), "band", "left_anti").join(rest, "band"))
 
 
-def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """A row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
-    every = staged(sketched(docs, size), "sketches")
+def classes_of(every: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """near_duplicate_classes() of documents whose ids have one set each; every: their sketches."""
     full = every.where("n_shingles > 0 and id is not null")
     classes = staged(full.groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     # One document of each set: its smallest id (a repeated id is there once).
@@ -315,11 +316,52 @@ def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80) ->
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
+def ids_of_several_sets(every: DataFrame) -> bool:
+    """Whether rows with different sets share an id."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("d1", "d2", "n_shingles") for n, f in (("low", F.min), ("high", F.max))]
+    spread = every.where("id is not null").groupBy("id").agg(*ends)
+    return not spread.where("low_d1 <> high_d1 or low_d2 <> high_d2 or low_n_shingles <> high_n_shingles").isEmpty()
+
+
+def row_classes(numbered: DataFrame, row: str, size: int, percent: int) -> DataFrame:
+    """row, doc_id, n_shingles, component (its smallest row), component_id (its smallest doc_id); numbered: written, with a number a row."""
+    rows = numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = rows.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text")
+    found = staged(near_duplicate_classes(known, size, percent).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "row_components")
+    told = rows.select("row", "doc_id").join(found, "row", "left")
+    least = told.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    sizes = sketched(rows.select(F.col("row").alias("doc_id"), "text"), size).select(F.col("id").alias("row"), "n_shingles")
+    return told.join(least, "component", "left").join(sizes, "row").select("row", "doc_id", "n_shingles", "component", "component_id")
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a number a row, written, and the column's name, which none of theirs has."""
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+def near_duplicate_classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """A row a document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept."""
+    every = staged(sketched(docs, size), "sketches")
+    if not ids_of_several_sets(every):
+        return classes_of(every, docs, size, percent)
+    out = row_classes(*numbered(docs.select("doc_id", "text")), size, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that link to a smaller doc_id, with their own columns; a repeated doc_id stays once."""
-    gone = near_duplicate_classes(docs, size, percent).where("not kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """The documents without those that link to a smaller doc_id, with their own columns; of a doc_id and component one row stays."""
+    every = staged(sketched(docs, size), "sketches")
+    nameless = docs.where("doc_id is null")
+    if not ids_of_several_sets(every):
+        gone = classes_of(every, docs, size, percent).where("not kept").select("doc_id").distinct()
+        named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+        return named.unionByName(nameless)
+    rows, row = numbered(docs)
+    stay = row_classes(rows, row, size, percent).where("component_id = doc_id").groupBy("doc_id", F.when(F.col("n_shingles") > 0, F.col("component"))).agg(F.min("row").alias(row))
+    return rows.join(stay.select(row), row, "left_semi").select(*docs.columns).unionByName(nameless)
 
 
 def near_duplicates_query(docs: DataFrame) -> DataFrame:

@@ -768,3 +768,24 @@ def test_license_exceptions_operands_signs_and_participles(spark):
     several = [(i, "SPDX-License-Identifier: Zlib AND " + w.decode()) for i, w in enumerate(words)]
     found = {r["doc_id"]: {d["label"] for d in r["detections"]} for r in license_scan.scan_licenses(spark.createDataFrame(several, "doc_id long, text string")).collect()}
     assert all({"zlib", r.label} <= found[i] for i, r in enumerate(words.values()))
+
+
+def test_rows_that_share_an_id_are_linked_and_judged_each(spark):
+    rng = random.Random(11)
+    line = lambda: [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    a, b, c = line(), line(), line()
+    near = lambda x: [*x[:-1], "end"]
+    text = " ".join
+    rows = [(1, text(a), "x"), (1, text(b), "y"), (2, text(near(a)), "z"), (3, text(near(b)), "u"), (0, text(c), "v"), (5, text(near(c)), "w"), (5, text(line()), "s"), (None, text(a), "n"), (6, "", "e"), (6, None, "e2"), (1, text(a), "r")]
+    for seed in range(3):
+        df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string, _row string").repartition(3)
+        classes = sorted(map(tuple, near_dups.near_duplicate_classes(df, 2).select("doc_id", "component_id", "kept", "n_shingles").collect()), key=str)
+        assert classes == sorted([(1, 1, True, 39)] * 3 + [(2, 1, False, 39), (3, 1, False, 39), (0, 0, True, 39), (5, 0, False, 39), (5, 5, True, 39), (None, None, True, 39), (6, 6, True, 0), (6, 6, True, 0)], key=str)
+        out = near_dups.drop_near_duplicates(df, 2)
+        stay = [r["_row"] for r in out.collect()]
+        assert out.columns == df.columns and len(stay) == 6
+        assert {"y", "v", "s", "n"} < set(stay) and {"x", "r"} & set(stay) and {"e", "e2"} & set(stay)
+    items = spark.createDataFrame([("i", text(a[:12]))], "item_id string, text string")
+    left = decontaminate.drop_contaminated(df, items)
+    assert left.columns == df.columns and sorted(r["_row"] for r in left.collect()) == sorted(["y", "u", "v", "w", "s", "e", "e2"])
+    assert sorted(r["_row"] for r in decontaminate.drop_contaminated(df, items.where("false")).collect()) == sorted(r[2] for r in rows)
