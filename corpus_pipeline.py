@@ -4,7 +4,8 @@ STAGES lists (name, function); a function takes (spark, docs, sf_dir) and return
 return the columns of documents; each result is written as Parquet and read again as the next stage's documents.
 
 Defined results: null and empty texts fail the quality rules, so they go in the first stage; null languages are a stratum
-of their own; rows that repeat a doc_id stay once after near-dedup, those without an id all stay; columns beyond those of
+of their own; of rows that share a doc_id and are near duplicates one stays, those
+without an id all stay in near-dedup; columns beyond those of
 documents, whatever their names, come along up to packing; labels and items that are null or have no id decide nothing;
 ties (copies) keep the smallest doc_id; texts of any length are worked through whole; empty tables give no rows.
 """
