@@ -7,6 +7,8 @@ summed first, and running sums inside a range start from the sum of the ranges b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 
 from minutewise.operators.stage import kept
 
-RANGES = 64
+RANGES = 64  # a power of two
+#: Tables of a few rows a key are broadcast if no more keys than these were counted: RANGES numbers each at most.
+FEW_KEYS = 10_000
 
 
 def by_score(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:
@@ -23,11 +27,21 @@ def by_score(scores: DataFrame, keys: list[str], score: str = "score", y: str =
     return scores.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("p"))
 
 
+def range_of(rows: DataFrame, score: str, to: str) -> DataFrame:
+    """Replaces the column _cuts, RANGES - 1 ascending numbers, by how many of them are less than the score: halved step by step."""
+    out = rows.withColumn(to, F.lit(0))
+    half = RANGES // 2
+    while half:
+        out = out.withColumn(to, F.col(to) + F.when(F.get("_cuts", F.col(to) + (half - 1)) < F.col(score), half).otherwise(0))
+        half //= 2
+    return out.drop("_cuts")
+
+
 def ranged(rows: DataFrame, keys: list[str], score: str = "score", to: str = "_r") -> DataFrame:
     """Adds the number of the row's range among `RANGES`, cut by approximate quantiles of the key."""
     cuts = rows.groupBy(*keys).agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts"))
     cut = rows.join(cuts, keys) if keys else rows.crossJoin(F.broadcast(cuts))
-    return cut.withColumn(to, F.size(F.filter("_cuts", lambda c: c < F.col(score)))).drop("_cuts")
+    return range_of(cut, score, to)
 
 
 def running(ties: DataFrame, keys: list[str], score: str = "score", columns: tuple[str, ...] = ("n", "p"), descending: bool = True) -> DataFrame:
@@ -63,18 +77,34 @@ def roc_auc(scores: DataFrame, keys: list[str], score: str = "score", y: str = "
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """keys, and the exact quantile (linear interpolation) of each share, by name; nulls are left out.
 
-    Equal values are counted first and ranked over ranges, so no key's values meet in one task.
+    Each key's values are cut into ranges, the ranges are counted, and only the ranges in which a wanted rank lies are
+    ranked: with no more than FEW_KEYS keys (counted) no other row is shuffled. The cuts are written before they are
+    used, so that both readings of the rows cut alike.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("n"))
-    steps = running(counted, keys, "_v", ("n",), descending=False)
-    at = lambda rank: F.max(F.when((F.col("cn") - F.col("n") <= rank) & (rank < F.col("cn")), F.col("_v").cast("double")))
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    cuts = kept(known.groupBy(*keys).agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 1000).alias("_cuts")))
+    few = cuts.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    small = lambda table: F.broadcast(table) if few else table  # noqa: E731  # a few rows a key
+    told = known.join(small(cuts), keys) if keys else known.crossJoin(F.broadcast(cuts))
+    cut = range_of(told, "_v", "_r")
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*keys, "_r").agg(F.count("*").alias("_n"))  # RANGES rows a key
+    sums = sums.select(*keys, "_r", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_total"))
+    places = {name: F.lit(float(share)) * (F.col("_total") - 1) for name, share in shares.items()}
+    ranks = [f(place) for place in places.values() for f in (F.floor, F.ceil)]
+    asked = reduce(or_, ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_n")) for r in ranks))
+    wanted = sums.where(asked).select(*keys, "_r", "_before", "_total")
+    ties = cut.join(small(wanted), [*keys, "_r"]).groupBy(*keys, "_r", "_before", "_total", "_v").agg(F.count("*").alias("_n"))
+    inside = Window.partitionBy(*keys, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    steps = ties.withColumn("_upto", F.sum("_n").over(inside) + F.col("_before"))
+    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")), F.col("_v").cast("double")))
     found = {}
-    for name, share in shares.items():
-        place = F.lit(float(share)) * (F.col("tn") - 1)
+    for name, place in places.items():
         low, high = F.floor(place), F.ceil(place)
         found |= {f"_{name}_low": at(low), f"_{name}_high": at(high), f"_{name}_part": F.max(place - low)}
     ends = steps.groupBy(*keys).agg(*(c.alias(k) for k, c in found.items()))
-    return ends.select(*keys, *((F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * F.col(f"_{n}_part")).alias(n) for n in shares))
+    return small(ends.select(*keys, *((F.col(f"_{n}_low") + (F.col(f"_{n}_high") - F.col(f"_{n}_low")) * F.col(f"_{n}_part")).alias(n) for n in shares)))
 
 
 def thresholds(scores: DataFrame, keys: list[str], share: float = 30 / 1440, score: str = "score") -> DataFrame:

@@ -443,7 +443,7 @@ pf AS (SELECT day, t, reason, component, minute, avg(least(abs(value - base), 10
 def profile(spark, sf):
     times = explore.whole_windows(T.faults(spark, sf).select("day", "t", "component", "reason").distinct(), T.BUCKETS, 6, 3)
     ids = ["day", "onset", "component", "reason"]
-    means = T.means(spark, sf)
+    means = kept(T.means(spark, sf))  # several plans read it
     fit = features.robust_fit(means.join(F.broadcast(T.train_days(spark, sf)), "day", "left_semi"))
     values = explore.by_spread(means, fit, SERIES).select("day", "t", F.col("component").alias("mc"), "kpi", "scaled")
     return explore.onset_profile(times.withColumn("onset", F.col("t")), values, ids, ["mc", "kpi"], 6, 3, 4)
@@ -511,7 +511,7 @@ dm AS (SELECT day, component, kpi, avg(value) AS v FROM mn GROUP BY ALL), rt AS
 
 @query(f", {DRIFT} SELECT dm.day, split, component, kpi, round((v - m) / q, 6) AS scaled_mean, round(rate, 6) AS positive_rate FROM dm JOIN fit USING (component, kpi) LEFT JOIN rt USING (day) JOIN ch USING (day)")
 def drift(spark, sf):
-    means = T.means(spark, sf)
+    means = kept(T.means(spark, sf))  # several plans read it
     fit = features.robust_fit(means.join(F.broadcast(T.train_days(spark, sf)), "day", "left_semi"))
     d = explore.drift(means, fit, T.labels(spark, sf), T.chrono(spark, sf), SERIES)
     return d.withColumns({"scaled_mean": r6("scaled_mean"), "positive_rate": r6("positive_rate")})

@@ -234,7 +234,7 @@ def profiles(spark, sf) -> DataFrame:
     cells = T.days(spark, sf).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(T.BUCKETS - 1)))).withColumn("row", T.row_of("day", "t"))
     quiet = [explore.quiet_times(cells, f.where(F.col("system") == s).select(T.row_of("day", "t").alias("row")), 9).select(F.lit(s).alias("system"), F.lit("random").alias("kind"), F.lit("").alias("reason"), "day", "t") for s in ("Bank", "Telecom")]
     times = explore.whole_windows(onsets.unionByName(quiet[0]).unionByName(quiet[1]), T.BUCKETS, 6, 3).withColumn("onset", T.row_of("day", "t"))
-    means = T.means(spark, sf)
+    means = kept(T.means(spark, sf))  # several plans read it
     fit = features.robust_fit(means.join(F.broadcast(T.train_days(spark, sf)), "day", "left_semi"))
     values = explore.by_spread(means, fit, SERIES).select("day", "t", F.col("component").alias("mc"), "kpi", "scaled", system_of().alias("of"))
     ids = ["system", "kind", "reason", "onset"]
@@ -326,7 +326,7 @@ dr AS (SELECT d.system, mn.day, split, component || '||' || kpi AS feature, (avg
 
 def drift(spark, sf) -> DataFrame:
     """system, day, split, feature, scaled_mean, positive_rate of each system's four most telling series."""
-    means, train, lab = T.means(spark, sf), F.broadcast(T.train_days(spark, sf)), usable(spark, sf).where("horizon = 3")
+    means, train, lab = kept(T.means(spark, sf)), F.broadcast(T.train_days(spark, sf)), usable(spark, sf).where("horizon = 3")
     rows = means.withColumn("system", system_of()).join(lab, ["system", "day", "t"]).join(train, "day", "left_semi").select(*SERIES, "system", "day", "value", "y")
     fit = features.robust_fit(rows)
     out = []

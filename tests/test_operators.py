@@ -5,6 +5,7 @@ import os
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -291,3 +292,28 @@ def test_models_are_rows_and_score_in_any_partition(spark):
     salient = lstm.lstm_saliency(df, models, ["fold"])
     assert lstm.saliency_time(salient, ["fold"]).count() == 16 and sorted(r["fold"] for r in lstm.saliency_feature(salient, ["fold"], 1).collect()) == ["a", "b"]
     assert lstm.history(models, ["fold"]).where("fold = 'b'").count() == len(told["b"]["epoch"])
+
+
+@pytest.mark.parametrize("few", [evaluate.FEW_KEYS, 0])
+def test_quantiles_are_exact_whether_broadcast_or_not(spark, monkeypatch, few):
+    monkeypatch.setattr(evaluate, "FEW_KEYS", few)
+    rng = np.random.default_rng(5)
+    values = {
+        "skewed": np.exp(rng.normal(0, 4, 5_000)),
+        "far": 1e9 + rng.normal(0, 1e-3, 500),
+        "ties": rng.integers(0, 3, 2_000).astype(float),
+        "half": np.r_[np.zeros(600), rng.normal(size=601)],
+        "one": np.array([7.0]),
+        "two": np.array([-1.0, 4.0]),
+    }
+    rows = [(k, float(x)) for k, xs in values.items() for x in xs] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    shares = {"low": 0.0, "q1": 0.25, "median": 0.5, "p999": 0.999, "high": 1.0}
+    got = {r["k"]: [r[n] for n in shares] for r in evaluate.quantiles(df, ["k"], "x", shares).collect()}
+    assert got.keys() == values.keys()
+    for k, xs in values.items():
+        assert got[k] == pytest.approx(np.quantile(xs, list(shares.values())).tolist(), rel=1e-15, abs=1e-15), k
+    whole = np.concatenate(list(values.values()))
+    r = evaluate.quantiles(df, [], "x", shares).first()
+    assert [r[n] for n in shares] == pytest.approx(np.quantile(whole, list(shares.values())).tolist(), rel=1e-15)
+    assert evaluate.quantiles(df.where("false"), ["k"], "x", shares).count() == 0
