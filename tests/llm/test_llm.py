@@ -368,19 +368,22 @@ def joint_rule(docs_, labels_, alpha=None, delta=None):
     at = {(s, t): first_step(t or "") for _, t, s in docs_}
     hold = {(s, t or "") for i, t, s in docs_ if worst.get(i) == 1}
     counts = collections.Counter(s for s, _ in hold)
-    tested = {s for s, n in counts.items() if n >= math.log(delta) / math.log1p(-alpha)}
+    need = math.log(delta / (len(counts) + 1)) / math.log1p(-alpha)
+    own = {s for s, n in counts.items() if n >= need}
+    small = [h for h in hold if h[0] not in own]
+    families = {s: [h for h in hold if h[0] == s] for s in own} | {"shared": small if len(small) >= need else list(hold)}
     last = {}
-    for f in tested:
-        steps = [first_step(t) for s, t in hold if s == f]
+    for f, hs in families.items():
+        steps = [first_step(t) for _, t in hs]
         last[f] = -1
         for k in range(len(quality_rules.STEPS)):
-            n, x = len(steps), sum(v is not None and v <= k for v in steps)
-            if x >= n * alpha or sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(x + 1)) > delta / len(tested):
+            n, x = len(hs), sum(v is not None and v <= k for v in steps)
+            if x >= n * alpha or sum(math.comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(x + 1)) > delta / (len(own) + 1):
                 break
             last[f] = k
-        seen = {first_step(t or "") for i, t, s in docs_ if worst.get(i) == 0 and s == f} - {None}
+        seen = {first_step(t or "") for i, t, s in docs_ if worst.get(i) == 0 and (s == f if f != "shared" else len(small) < need or s not in own)} - {None}
         last[f] = max((k for k in seen if k <= last[f]), default=-1)
-    over = {(s, t) for (s, t), k in at.items() if k is not None and k <= last.get(s, -1)}
+    over = {(s, t) for (s, t), k in at.items() if k is not None and k <= last[s if s in own else "shared"]}
     return last, over
 
 
@@ -398,13 +401,14 @@ def test_certified_cutoffs(spark):
     labels = spark.createDataFrame(told, "doc_id long, quality int, toxic int")
     last, over = joint_rule([d[:3] for d in rows], [t[:2] for t in told])
     ids = quality_rules.labelled_ids(labels)
-    steps = quality_rules.certified_steps(quality_rules.holdout_numbers(df, ids, "lang"), ids)
-    assert {r["_stratum"]: r["last_step"] for r in steps.collect()} == last and set(last) == {"en"}
-    # The large stratum goes as far as its bad documents tell; strata of few labels, or none, keep to the base rules.
-    assert quality_rules.STEPS[last["en"]] == ("symbols_per_word", 0.4)
+    steps, shared = quality_rules.certified_steps(quality_rules.holdout_numbers(df, ids, "lang"), ids)
+    assert {r["_stratum"]: r["last_step"] for r in steps.collect()} | {"shared": shared} == last
+    # The large stratum goes as far as its bad documents tell, the small ones as far as all holdouts together allow.
+    assert quality_rules.STEPS[last["en"]] == ("symbols_per_word", 0.4) and quality_rules.STEPS[shared] == ("symbols_per_word", 0.6)
     kept = {r["doc_id"] for r in quality_rules.keep_good(df, labels).collect()}
     assert kept == {d[0] for d in rows if (d[2], d[1]) not in over and not quality(d[1])[5]}
-    assert all((d[0] in kept) == (not quality(d[1])[5]) for d in few + none + worse) and all(d[0] in kept for d in few) and not any(d[0] in kept for d in bad)
+    assert all(d[0] in kept for d in few) and not any(d[0] in kept for d in bad + worse)
+    assert {d[0] in kept for d in none if d[0] % 2} == {False} and {d[0] in kept for d in none if d[0] % 2 == 0} == {True}
     assert {r["doc_id"] for r in quality_rules.judge(df, labels).where("kept").collect()} == kept
 
 
@@ -419,9 +423,35 @@ def test_joint_rule_without_a_broadcast_and_with_few_labels(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 0)
     assert sorted(r["doc_id"] for r in quality_rules.keep_good(df, labels, alpha=0.1).collect()) == want
     assert sorted(r["doc_id"] for r in quality_rules.judge(df, labels, alpha=0.1).where("kept").collect()) == want
-    none = quality_rules.labelled_ids(labels.where("false"))
-    assert quality_rules.certified_steps(quality_rules.holdout_numbers(df, none, "lang"), none).count() == 0
-    assert sorted(r["doc_id"] for r in quality_rules.judge(df, labels.where("false")).where("kept").collect()) == sorted(i for i, t, _ in rows if not quality(t)[5])
+    assert quality_rules.certified_steps(quality_rules.holdout_numbers(df, quality_rules.labelled_ids(labels.limit(0)), "lang"), quality_rules.labelled_ids(labels.limit(0)))[1] == -1
+
+
+def test_small_strata_are_judged_like_the_sql(spark):
+    # No small stratum could pass alone: 3 that share their pooled holdouts, or one whose pool is too small as well, beside a large one.
+    import duckdb
+
+    plain, marks = " ".join(f"w{k}" for k in range(24)), " ".join(f"# j{k}" for k in range(24))
+    for sizes, own in (({"aa": 200, "bb": 180, None: 160}, set()), ({"en": 600, "aa": 40, "bb": 0}, {"en"})):
+        rows, told = [], []
+        for s, n in sizes.items():
+            rows += [(len(rows) + i, f"good {s} {i} {plain}", s) for i in range(n)]
+            told += [(r[0], 1) for r in rows[len(rows) - n :]]
+            rows += [(len(rows) + i, f"bad {s} {i} {marks}", s) for i in range(12)]
+            told += [(r[0], 0) for r in rows[len(rows) - 12 :]]
+        df, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(told, "doc_id long, quality int")
+        got = sorted(map(tuple, quality_rules.quality_query(df, labels).collect()))
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR)").executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+        con.execute("CREATE TABLE labels (doc_id BIGINT, quality INT)").executemany("INSERT INTO labels VALUES (?, ?)", told)
+        assert got == sorted(con.execute(quality_rules.QUALITY_SQL).fetchall())
+        # Nothing fails the base rules; the good ones stay and the bad ones of every stratum go.
+        assert not any(r[6] for r in got) and [r[7] for r in got] == [bool(q) for _, q in sorted(told)]
+        assert {r["doc_id"] for r in quality_rules.keep_good(df, labels).collect()} == {i for i, q in told if q}
+        ids = quality_rules.labelled_ids(labels)
+        steps, shared = quality_rules.certified_steps(quality_rules.holdout_numbers(df, ids, "lang"), ids)
+        assert {r["_stratum"] for r in steps.collect()} == own and shared >= 0
+        # Without a label nothing is certified: the base rules decide.
+        assert quality_rules.judge(df, labels.where("false")).where("kept").count() == len(rows)
 
 
 def test_log_tail(spark):
