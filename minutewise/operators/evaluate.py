@@ -60,20 +60,36 @@ def running(ties: DataFrame, keys: list[str], score: str = "score", columns: tup
     return out.withColumns({f"c{c}": F.sum(c).over(inside) + F.col(f"_b{c}") for c in columns}).drop("_r", *(f"_b{c}" for c in columns))
 
 
+def tie_steps(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y", descending: bool = True) -> DataFrame:
+    """by_score() with running sums. The ties are cut and written once: two readings cut alike, and no plan holds them four times."""
+    return running(kept(ranged(by_score(scores, keys, score, y), keys, score)), keys, score, descending=descending)
+
+
 def pr_auc(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """keys, pr_auc: sum over score steps of recall gained times precision; null without positives."""
-    steps = running(by_score(scores, keys, score, y), keys, score)
+    steps = tie_steps(scores, keys, score, y)
     return steps.groupBy(*keys).agg(F.when(F.max("tp") > 0, F.sum(F.try_divide("p", "tp") * F.col("cp") / F.col("cn"))).alias("pr_auc"))
 
 
 def roc_auc(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """keys, roc_auc by mean ranks; null if one class is missing."""
-    steps = running(by_score(scores, keys, score, y), keys, score, descending=False)
+    steps = tie_steps(scores, keys, score, y, descending=False)
     rank = F.col("cn") - (F.col("n") - 1) / 2
     p, n = F.max("tp"), F.max("tn")
     return steps.groupBy(*keys).agg(F.when((p > 0) & (p < n), (F.sum(rank * F.col("p")) - p * (p + 1) / 2) / (p * (n - p))).alias("roc_auc"))
 
 
+def areas(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:
+    """keys, pr_auc, roc_auc: as pr_auc() and roc_auc() tell them, from the same running sums."""
+    steps = tie_steps(scores, keys, score, y)
+    rank = F.col("tn") - F.col("cn") + (F.col("n") + 1) / 2  # counted from the lowest score
+    p, n = F.max("tp"), F.max("tn")
+    return steps.groupBy(*keys).agg(
+        F.when(p > 0, F.sum(F.try_divide("p", "tp") * F.col("cp") / F.col("cn"))).alias("pr_auc"),
+        F.when((p > 0) & (p < n), (F.sum(rank * F.col("p")) - p * (p + 1) / 2) / (p * (n - p))).alias("roc_auc"),
+    )
+
+
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """keys, and the exact quantile (linear interpolation) of each share, by name; nulls are left out.
 
@@ -261,6 +277,12 @@ def block_bootstrap(scores: DataFrame, keys: list[str], n_rows: int | DataFrame,
     return classes.join(out, keys, "left").select(*keys, told("pr_auc_lo"), told("pr_auc_hi"))
 
 
+def beside(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The columns of tables that have a row a key at most, beside each other; null where a table lacks the key."""
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.groupBy(*keys).agg(*(F.max(c).alias(c) for c in every.columns if c not in keys))
+
+
 def metrics(predictions: DataFrame, onsets: DataFrame, test_days: DataFrame, run: list[str], horizon: str = "horizon", fold: str = "fold", reps: int = 300, block: int = 60) -> DataFrame:
     """A row a run and horizon, its folds pooled: from alarms to base rate, PR-AUC with its interval, ROC-AUC, confusion, events, false alarms.
 
@@ -268,15 +290,19 @@ def metrics(predictions: DataFrame, onsets: DataFrame, test_days: DataFrame, run
     that tell them apart (of test days); test_days: run, fold, day. `run`: the columns that name a run.
     """
     keys = [*run, horizon]
-    predictions = kept(predictions)  # seven plans read it
-    counts = confusion(predictions, keys)
-    numbered, n_rows = row_numbers(predictions.select(*keys, "row", "y", "score"), keys, "row")
-    bounds = kept(block_bootstrap(numbered, keys, n_rows, reps=reps, block=block))
-    events = event_detection(onsets, predictions, [*keys, fold], horizon)
-    caught = event_summary(events, keys)
-    starts = false_alarm_episodes(predictions, [*keys, fold, "day"]).groupBy(*keys).agg(F.count("*").alias("_starts"))
-    days = test_days.groupBy(*run).agg(F.count("*").alias("test_days"))
-    out = counts.join(pr_auc(predictions, keys), keys).join(roc_auc(predictions, keys), keys).join(bounds, keys).join(caught, keys, "left").join(starts, keys, "left").join(days, run)
+    predictions = kept(predictions)  # six plans read it
+    # Each part has few rows and is written on its own, and the parts are put beside each other without a join: a driver
+    # that plans, compiles and watches all of this as one job needs several times the memory.
+    numbered, n_rows = row_numbers(kept(ranged(predictions.select(*keys, "row", "y", "score"), keys, "row")), keys, "row")
+    parts = [
+        confusion(predictions, keys),
+        areas(predictions, keys),
+        block_bootstrap(kept(numbered), keys, n_rows, reps=reps, block=block),
+        event_summary(event_detection(onsets, predictions, [*keys, fold], horizon), keys),
+        false_alarm_episodes(predictions, [*keys, fold, "day"]).groupBy(*keys).agg(F.count("*").alias("_starts")),
+    ]
+    days = kept(test_days.groupBy(*run).agg(F.count("*").alias("test_days")))
+    out = beside([kept(part) for part in parts], keys).where("tp is not null").join(days, run)
     # Each fold's rate weighted by its days: all starts over all days.
     return out.withColumns(
         {

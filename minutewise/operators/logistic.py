@@ -107,10 +107,9 @@ def with_one(row) -> np.ndarray:
     return np.c_[x, np.ones(len(x))]
 
 
-def at_hand(models: DataFrame, grid: list[float]) -> DataFrame:
-    """The models' table, broadcast if it was counted to have no more than BROADCAST_NUMBERS numbers."""
-    numbers = models.agg(F.sum((2 * len(grid) + 2) * (F.col("p") + 1))).first()[0] or 0
-    return F.broadcast(models) if numbers <= BROADCAST_NUMBERS else models
+def fits(models: DataFrame, grid: list[float]) -> bool:
+    """Whether the models' table was counted to have no more than BROADCAST_NUMBERS numbers, and may be broadcast."""
+    return (models.agg(F.sum((2 * len(grid) + 2) * (F.col("p") + 1))).first()[0] or 0) <= BROADCAST_NUMBERS
 
 
 def fit_logistic(train: DataFrame, grid: list[float] | None = None, steps: int = STEPS) -> DataFrame:
@@ -147,9 +146,9 @@ def fit_logistic(train: DataFrame, grid: list[float] | None = None, steps: int =
             moved = max(moved, np.abs(new[i] - old[i]).max())
         return state.head(1).assign(w=[new.ravel()], before=[base.ravel()], loss=[loss], moved=moved)
 
-    schema = models.schema
+    schema, few = models.schema, fits(models, grid)  # no step changes a model's size
     for _ in range(steps):
-        partial = summed(train.join(at_hand(models, grid), MODEL), sums)
+        partial = summed(train.join(F.broadcast(models) if few else models, MODEL), sums)
         models = kept(partial.groupBy(*MODEL).cogroup(models.groupBy(*MODEL)).applyInPandas(step, schema))
         far = models.agg(F.max("moved")).first()[0]
         if far is None or far < CLOSE:
@@ -173,7 +172,7 @@ def score(models: DataFrame, rows: DataFrame, grid: list[float] | None = None) -
             if out:
                 yield pd.concat(out)
 
-    return rows.join(at_hand(models, grid), MODEL).mapInPandas(scored, kinds(rows, columns) + ", c double, t int, y int, score double")
+    return rows.join(F.broadcast(models) if fits(models, grid) else models, MODEL).mapInPandas(scored, kinds(rows, columns) + ", c double, t int, y int, score double")
 
 
 def choose_c(scores: DataFrame) -> DataFrame:

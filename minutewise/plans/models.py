@@ -40,19 +40,31 @@ def once(f: Callable) -> Callable:
     return table
 
 
+@once
+def recorded(spark, sf) -> DataFrame:
+    """day. What follows reads these few rows, not all events once more in each of its plans."""
+    return T.days(spark, sf)
+
+
+@once
+def dealt(spark, sf) -> DataFrame:
+    """kind, fold, split, day."""
+    return folds(spark, sf, recorded(spark, sf))
+
+
 @once
 def arrays(spark, sf) -> DataFrame:
     means = T.means(spark, sf).withColumn("system", system_of())
-    return tensors.day_arrays(means, means.select("system").distinct().crossJoin(T.days(spark, sf)), T.BUCKETS, ["system"])
+    return tensors.day_arrays(means, means.select("system").distinct().crossJoin(recorded(spark, sf)), T.BUCKETS, ["system"])
 
 
 @once
 def labelled(spark, sf) -> DataFrame:
-    return usable(spark, sf)
+    return usable(spark, sf, recorded(spark, sf))
 
 
 def every_fold(spark, sf) -> DataFrame:
-    return folds(spark, sf).drop("kind")
+    return dealt(spark, sf).drop("kind")
 
 
 @once
@@ -63,8 +75,10 @@ def fit(spark, sf) -> DataFrame:
 
 @once
 def blocks(spark, sf) -> DataFrame:
-    top = tensors.top_series(fit(spark, sf), HORIZONS, TOP)
-    return tensors.fold_data(arrays(spark, sf), top, tensors.samples(labelled(spark, sf), every_fold(spark, sf), SEED))
+    # Both are written first: a third of the plan each.
+    top = kept(tensors.top_series(fit(spark, sf), HORIZONS, TOP))
+    sampled = kept(tensors.samples(labelled(spark, sf), every_fold(spark, sf), SEED))
+    return tensors.fold_data(arrays(spark, sf), top, sampled)
 
 
 FOLDED = f"""{BASE},
@@ -254,30 +268,35 @@ def swept(spark, sf, column: str) -> DataFrame:
 # From scores to metrics
 
 
+@once
 def predictions(spark, sf) -> DataFrame:
     """system, run, fold, horizon, day, t, row, y, score, threshold, alarm of the test samples of both models.
 
-    A fold's threshold is its validation scores' quantile, in the scores' own type."""
-    out = None
-    for scores, suffix in ((recurrent_scores(spark, sf), ""), (logistic_scores(spark, sf), "-logreg")):
-        cut = evaluate.thresholds(scores.where("split = 'val'"), MODEL, 0.1)
-        one = scores.where("split = 'test'").join(cut, MODEL).withColumn("alarm", F.col("score") >= F.col("threshold"))
-        one = one.select("system", run_name(suffix).alias("run"), "fold", "horizon", "day", "t", T.row_of("day", "t").alias("row"), "y", F.col("score").cast("double").alias("score"), F.col("threshold").cast("double").alias("threshold"), "alarm")
-        out = one if out is None else out.unionByName(one)
-    return out
+    A fold's threshold is its validation scores' quantile, in the scores' own type: float those of the recurrent model, double the others."""
+    one = lambda scores, suffix: scores.select("system", run_name(suffix).alias("run"), "fold", "horizon", "split", "day", "t", "y", F.col("score").cast("double").alias("score"))
+    rows = kept(one(recurrent_scores(spark, sf), "").unionByName(one(logistic_scores(spark, sf), "-logreg")))
+    keys = [*RUN, "fold", "horizon"]
+    cut = evaluate.thresholds(rows.where("split = 'val'"), keys, 0.1)
+    own = F.when(F.col("run").endswith("-logreg"), F.col("threshold")).otherwise(F.col("threshold").cast("float").cast("double"))
+    out = rows.where("split = 'test'").join(cut, keys).withColumn("threshold", own)
+    return out.select(*keys, "day", "t", T.row_of("day", "t").alias("row"), "y", "score", "threshold", (F.col("score") >= F.col("threshold")).alias("alarm"))
 
 
 def test_days(spark, sf) -> DataFrame:
     """run, fold, day of the test days of every run."""
-    return run_days_of(spark, sf, ["level", "change", "level-logreg"])
+    return run_days_of(dealt(spark, sf), ["level", "change", "level-logreg"])
+
+
+def onsets(spark, sf) -> DataFrame:
+    """The onsets on the test days of every run."""
+    return onsets_tested_of(spark, sf, test_days(spark, sf), recorded(spark, sf))
 
 
 @once
 def metrics(spark, sf) -> DataFrame:
     """Metrics of each run and horizon, folds pooled, with the mean number of epochs."""
-    tested = test_days(spark, sf)
     systems = spark.createDataFrame([("Bank",), ("Telecom",)], "system string")
-    out = evaluate.metrics(predictions(spark, sf), onsets_tested_of(spark, sf, tested), tested.crossJoin(systems), RUN)
+    out = evaluate.metrics(predictions(spark, sf), onsets(spark, sf), test_days(spark, sf).crossJoin(systems), RUN)
     epochs = models(spark, sf).withColumn("run", run_name()).groupBy(*RUN, "horizon").agg(F.avg(F.size("epoch")).alias("epochs_run"))
     return out.join(epochs, [*RUN, "horizon"], "left").withColumn("epochs_run", F.when(F.col("run").endswith("-logreg"), 1.0).otherwise(F.col("epochs_run")))
 
@@ -299,7 +318,7 @@ def model_metrics_table(spark, sf):
 
 @query()
 def model_events(spark, sf):
-    found = evaluate.event_detection(onsets_tested_of(spark, sf, test_days(spark, sf)), predictions(spark, sf), [*RUN, "fold", "horizon"], "horizon")
+    found = evaluate.event_detection(onsets(spark, sf), predictions(spark, sf), [*RUN, "fold", "horizon"], "horizon")
     return found.withColumnRenamed("lead", "lead_min")
 
 

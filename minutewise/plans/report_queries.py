@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from minutewise.functions.scalars import clip
 from minutewise.operators import clean, evaluate, explore, features
+from minutewise.operators.folds import chrono_folds, cv_folds
 from minutewise.operators.grid import exact_grid
 from minutewise.operators.labels import label_and_mask
 from minutewise.operators.stage import kept
@@ -85,15 +86,16 @@ def windows(spark, sf) -> DataFrame:
     return features.look_back(score, T.LOOKBACK, ["system", "day"], "score").drop("score")
 
 
-def folds(spark, sf) -> DataFrame:
-    """kind, fold, split, day."""
-    return T.chrono(spark, sf).withColumn("kind", F.lit("chrono")).unionByName(T.cv(spark, sf).withColumn("kind", F.lit("cv")))
+def folds(spark, sf, days: DataFrame | None = None) -> DataFrame:
+    """kind, fold, split, day. days: the recorded days, if they are at hand (as below)."""
+    days = T.days(spark, sf) if days is None else days
+    return chrono_folds(days).withColumn("kind", F.lit("chrono")).unionByName(cv_folds(days).withColumn("kind", F.lit("cv")))
 
 
-def usable(spark, sf) -> DataFrame:
+def usable(spark, sf, days: DataFrame | None = None) -> DataFrame:
     """system, day, t, horizon, y of usable buckets."""
     systems = spark.createDataFrame([("Bank",), ("Telecom",)], "system string")
-    cells = systems.crossJoin(T.days(spark, sf)).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(T.BUCKETS - 1))))
+    cells = systems.crossJoin(T.days(spark, sf) if days is None else days).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(T.BUCKETS - 1))))
     return label_and_mask(cells, faults(spark, sf), HORIZONS, T.BUCKETS, T.LOOKBACK - 1, T.BLACKOUT, ("system", "day")).where("usable").select("system", "day", "t", "horizon", "y")
 
 
@@ -113,19 +115,19 @@ def predicted(spark, sf) -> DataFrame:
     return rows.where("split = 'test'").join(cut, [*RUN, "fold", "horizon"]).withColumn("alarm", F.col("score") >= F.col("threshold"))
 
 
-def run_days_of(spark, sf, inputs: list[str]) -> DataFrame:
-    """run, fold, day of the test days, of runs with these inputs."""
-    runs = folds(spark, sf).where("split = 'test'").withColumn("inputs", F.explode(F.array(*map(F.lit, inputs))))
+def run_days_of(dealt: DataFrame, inputs: list[str]) -> DataFrame:
+    """run, fold, day of the test days of the folds `dealt`, of runs with these inputs."""
+    runs = dealt.where("split = 'test'").withColumn("inputs", F.explode(F.array(*map(F.lit, inputs))))
     return runs.select(F.concat_ws("-", "kind", "inputs").alias("run"), "fold", "day")
 
 
 def run_days(spark, sf) -> DataFrame:
-    return run_days_of(spark, sf, ["level", "change"])
+    return run_days_of(folds(spark, sf), ["level", "change"])
 
 
-def onsets_tested_of(spark, sf, tested: DataFrame) -> DataFrame:
+def onsets_tested_of(spark, sf, tested: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """system, run, fold, horizon, event_id, component, reason, row of the onsets on the test days (run, fold, day)."""
-    grid = exact_grid(T.days(spark, sf), T.BUCKETS).withColumn("row", T.row_of("day", "t"))
+    grid = exact_grid(T.days(spark, sf) if days is None else days, T.BUCKETS).withColumn("row", T.row_of("day", "t"))
     onsets = evaluate.located(faults(spark, sf), grid, ["day", "t"]).join(tested, "day").withColumn("horizon", F.explode(F.array(*map(F.lit, HORIZONS))))
     return onsets.select(*RUN, "fold", "horizon", "event_id", "component", "reason", "row")
 

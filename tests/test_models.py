@@ -263,3 +263,56 @@ def test_bootstrap_like_resampled_rows(spark, part):
     got = {r["k"]: (r["pr_auc_lo"], r["pr_auc_hi"]) for r in evaluate.block_bootstrap(df, ["k"], df.groupBy("k").count().withColumnRenamed("count", "n_rows"), reps=50, block=20, part=part).collect()}
     assert got["c"] == want["c"] == (None, None)
     assert all(np.allclose(got[k], want[k]) for k in "ab")
+
+
+def test_areas_are_both_areas(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, float(np.round(rng.random(), 2)), int(y)) for k, share in (("a", 0.2), ("b", 0.5), ("none", 0), ("all", 1)) for y in rng.random(300) < share]
+    df = spark.createDataFrame(rows, "k string, score double, y int").repartition(3)
+    got = {r["k"]: (r["pr_auc"], r["roc_auc"]) for r in evaluate.areas(df, ["k"]).collect()}
+    pr, roc = ({r["k"]: r[c] for r in f(df, ["k"]).collect()} for c, f in (("pr_auc", evaluate.pr_auc), ("roc_auc", evaluate.roc_auc)))
+    assert set(got) == {"a", "b", "none", "all"} and got["none"] == (None, None) and got["all"][1] is None
+    for k in got:
+        assert all(a == b or abs(a - b) < 1e-12 for a, b in zip(got[k], (pr[k], roc[k]), strict=True))
+    y, s = (np.array([r[i] for r in rows if r[0] == "a"]) for i in (2, 1))
+    assert np.isclose(got["a"][0], lstm.pr_area(y.astype(float), s))
+    assert np.isclose(got["a"][1], np.mean([(p > n) + (p == n) / 2 for p in s[y == 1] for n in s[y == 0]]))
+
+
+def executed(df):
+    """The names of a table's operators, as they are planned."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_no_plan_of_the_metrics_is_large(spark, monkeypatch):
+    """The driver plans the parts of the metrics one by one: as one job they took more of its memory than it has."""
+    rng = np.random.default_rng(3)
+    p = [("r", h, "f", d, d * 48 + t, int(rng.random() < 0.2), float(rng.random())) for h in (1, 3) for d in range(4) for t in range(48)]
+    from pyspark.sql import functions as F
+
+    p = spark.createDataFrame(p, "run string, horizon int, fold string, day int, row long, y int, score double").withColumn("alarm", F.col("score") >= 0.9)
+    onsets = spark.createDataFrame([("r", h, "f", 1, 60) for h in (1, 3)], "run string, horizon int, fold string, event int, row long")
+    days = spark.createDataFrame([("r", "f", d) for d in range(4)], "run string, fold string, day int")
+    sizes, keep = [], evaluate.kept
+
+    def seen(df):
+        sizes.append(len(executed(df).splitlines()))
+        return keep(df)
+
+    monkeypatch.setattr(evaluate, "kept", seen)
+    out = evaluate.metrics(p, onsets, days, ["run"], reps=20, block=10)
+    sizes.append(len(executed(out).splitlines()))
+    assert out.count() == 2 and max(sizes) <= 40, sizes
+
+
+def test_large_models_do_not_pass_the_driver(made, monkeypatch):
+    level = made["blocks"].where("inputs = 'level' and fold = 'f1'")
+    models = lstm.fit_models(level, tensors.MODEL, hidden=3, epochs=1, lookback=L).persist()
+    gates = lambda: {tuple(r)[:-1]: r["mean"] for r in lstm.lstm_gates(level, models, tensors.MODEL, L).collect()}
+    want = gates()
+    # 192 models of the study's size are large.
+    assert 192 * lstm.n_parameters(6, 64) > lstm.BROADCAST_NUMBERS
+    monkeypatch.setattr(lstm, "BROADCAST_NUMBERS", 0)
+    monkeypatch.setattr(type(level.sparkSession.sparkContext), "broadcast", lambda *_: pytest.fail("the weights came to the driver"))
+    got = gates()
+    assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in want)
