@@ -47,9 +47,10 @@ def ranged(rows: DataFrame, keys: list[str], score: str = "score", to: str = "_r
 def running(ties: DataFrame, keys: list[str], score: str = "score", columns: tuple[str, ...] = ("n", "p"), descending: bool = True) -> DataFrame:
     """Adds c<column>: its sum over this score and all before it in order; t<column>: the key's total.
 
-    Rows that bring their range along (ranged()) are not cut anew.
+    Rows that bring their range along (ranged()) are not cut anew. Cut rows are written once: two plans read them, and
+    approximate quantiles that are worked out twice need not be the same, which gave wrong sums.
     """
-    cut = ties if "_r" in ties.columns else ranged(ties, keys, score)
+    cut = ties if "_r" in ties.columns else kept(ranged(ties, keys, score))
     order = F.desc("_r") if descending else F.asc("_r")
     before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -60,20 +61,15 @@ def running(ties: DataFrame, keys: list[str], score: str = "score", columns: tup
     return out.withColumns({f"c{c}": F.sum(c).over(inside) + F.col(f"_b{c}") for c in columns}).drop("_r", *(f"_b{c}" for c in columns))
 
 
-def tie_steps(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y", descending: bool = True) -> DataFrame:
-    """by_score() with running sums. The ties are cut and written once: two readings cut alike, and no plan holds them four times."""
-    return running(kept(ranged(by_score(scores, keys, score, y), keys, score)), keys, score, descending=descending)
-
-
 def pr_auc(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """keys, pr_auc: sum over score steps of recall gained times precision; null without positives."""
-    steps = tie_steps(scores, keys, score, y)
+    steps = running(by_score(scores, keys, score, y), keys, score)
     return steps.groupBy(*keys).agg(F.when(F.max("tp") > 0, F.sum(F.try_divide("p", "tp") * F.col("cp") / F.col("cn"))).alias("pr_auc"))
 
 
 def roc_auc(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """keys, roc_auc by mean ranks; null if one class is missing."""
-    steps = tie_steps(scores, keys, score, y, descending=False)
+    steps = running(by_score(scores, keys, score, y), keys, score, descending=False)
     rank = F.col("cn") - (F.col("n") - 1) / 2
     p, n = F.max("tp"), F.max("tn")
     return steps.groupBy(*keys).agg(F.when((p > 0) & (p < n), (F.sum(rank * F.col("p")) - p * (p + 1) / 2) / (p * (n - p))).alias("roc_auc"))
@@ -81,7 +77,7 @@ def roc_auc(scores: DataFrame, keys: list[str], score: str = "score", y: str = "
 
 def areas(scores: DataFrame, keys: list[str], score: str = "score", y: str = "y") -> DataFrame:
     """keys, pr_auc, roc_auc: as pr_auc() and roc_auc() tell them, from the same running sums."""
-    steps = tie_steps(scores, keys, score, y)
+    steps = running(by_score(scores, keys, score, y), keys, score)
     rank = F.col("tn") - F.col("cn") + (F.col("n") + 1) / 2  # counted from the lowest score
     p, n = F.max("tp"), F.max("tn")
     return steps.groupBy(*keys).agg(
@@ -293,7 +289,7 @@ def metrics(predictions: DataFrame, onsets: DataFrame, test_days: DataFrame, run
     predictions = kept(predictions)  # six plans read it
     # Each part has few rows and is written on its own, and the parts are put beside each other without a join: a driver
     # that plans, compiles and watches all of this as one job needs several times the memory.
-    numbered, n_rows = row_numbers(kept(ranged(predictions.select(*keys, "row", "y", "score"), keys, "row")), keys, "row")
+    numbered, n_rows = row_numbers(predictions.select(*keys, "row", "y", "score"), keys, "row")
     parts = [
         confusion(predictions, keys),
         areas(predictions, keys),

@@ -313,7 +313,7 @@ def model_metrics(spark, sf):
 
 @query()
 def model_metrics_table(spark, sf):
-    return report.metrics_table(metrics(spark, sf), predictions(spark, sf), tuple(RUN))
+    return report.metrics_table(metrics(spark, sf), keys=tuple(RUN))
 
 
 @query()

@@ -316,3 +316,33 @@ def test_large_models_do_not_pass_the_driver(made, monkeypatch):
     monkeypatch.setattr(type(level.sparkSession.sparkContext), "broadcast", lambda *_: pytest.fail("the weights came to the driver"))
     got = gates()
     assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_rows_are_numbered_by_one_cut(spark, monkeypatch):
+    """Approximate quantiles may differ from one reading to the next: here they do, and the numbers must not."""
+    from pyspark.sql import functions as F
+
+    def drawn(rows, *_):
+        """The bound between two ranges, drawn anew whenever the rows are read."""
+
+        def cut(frames):
+            for pdf in frames:
+                yield pdf.assign(_r=(pdf.row > np.random.default_rng().integers(100, 300)).astype("int32"))
+
+        return rows.mapInPandas(cut, "k string, row long, _one long, _r int")
+
+    monkeypatch.setattr(evaluate, "ranged", drawn)
+    df = spark.range(0, 400, 1, 1).select(F.lit("a").alias("k"), F.col("id").alias("row"))
+    for _ in range(3):
+        assert [r["i"] for r in evaluate.row_numbers(df, ["k"], "row")[0].orderBy("row").collect()] == list(range(400))
+
+
+def test_the_alarmed_share_needs_no_predictions(spark):
+    from minutewise.plans import report
+
+    p = spark.createDataFrame([("r", 1, i % 3 == 0, int(i % 5 == 0)) for i in range(70)], "run string, horizon int, alarm boolean, y int")
+    m = evaluate.confusion(p, ["run", "horizon"])
+    from pyspark.sql import functions as F
+
+    m = m.withColumns({c: F.lit(0.5) for c in ("pr_auc", "pr_auc_lo", "pr_auc_hi", "pr_lift", "roc_auc", "false_alarms_per_day")} | {c: F.lit(1) for c in ("events_detected", "n_events")})
+    assert report.metrics_table(m, keys=("run",)).collect() == report.metrics_table(m, p, ("run",)).collect()
