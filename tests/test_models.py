@@ -346,3 +346,9 @@ def test_the_alarmed_share_needs_no_predictions(spark):
 
     m = m.withColumns({c: F.lit(0.5) for c in ("pr_auc", "pr_auc_lo", "pr_auc_hi", "pr_lift", "roc_auc", "false_alarms_per_day")} | {c: F.lit(1) for c in ("events_detected", "n_events")})
     assert report.metrics_table(m, keys=("run",)).collect() == report.metrics_table(m, p, ("run",)).collect()
+
+
+def test_parts_stand_beside_each_other(spark):
+    a = spark.createDataFrame([("x", 1, 5), ("y", 1, 6)], "k string, h int, tp int")
+    b = spark.createDataFrame([("x", 1, 0.5), ("z", 2, None)], "k string, h int, auc double")
+    assert {tuple(r) for r in evaluate.beside([a, b], ["k", "h"]).collect()} == {("x", 1, 5, 0.5), ("y", 1, 6, None), ("z", 2, None, None)}
