@@ -352,3 +352,12 @@ def test_parts_stand_beside_each_other(spark):
     a = spark.createDataFrame([("x", 1, 5), ("y", 1, 6)], "k string, h int, tp int")
     b = spark.createDataFrame([("x", 1, 0.5), ("z", 2, None)], "k string, h int, auc double")
     assert {tuple(r) for r in evaluate.beside([a, b], ["k", "h"]).collect()} == {("x", 1, 5, 0.5), ("y", 1, 6, None), ("z", 2, None, None)}
+
+
+def test_days_at_hand_are_not_read_from_the_events_again(spark):
+    from minutewise.plans import report_queries
+
+    days = spark.createDataFrame([(datetime.date(2024, 1, d),) for d in range(1, 11)], "day date")
+    dealt = report_queries.folds(spark, "/no/such/folder", days)
+    assert dealt.where("fold = 'chrono'").count() == 10 and dealt.where("kind = 'cv'").count() == 50
+    assert report_queries.run_days_of(dealt, ["level"]).where("run = 'cv-level'").count() == 10
